@@ -29,6 +29,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Of op1: verdict and rule.
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the quality labels whose doc_id is a page's id, the only labels that the tables have."""
+    from strataforge.llm.url_reputation import apply_rules, judge, reputation, with_parts
+
+    parts = with_parts(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good")).where("good is not null")
+    hosts, prior = reputation(parts.join(labels, "page_id").select("host", "good"))
+    return judge(apply_rules(parts, RULES), hosts, prior).select("page_id", "host", "path", "rule", "verdict", "score", "lower")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataforge.llm.decontaminate import find_windows
 
@@ -45,6 +59,36 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Fitted on labelled rows of ``docs`` whose id is not held out."""
+    from strataforge.llm.quality_nbsvm import TRAIN_ROWS, fit
+    from strataforge.llm.training import labelled_sample
+
+    return fit(labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", TRAIN_ROWS, ~held_out(3, 1)))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataforge.llm.quality_nbsvm import score
+
+    docs = _table(spark, sf_dir, "documents")
+    found = score(docs, quality_model(spark, docs, sf_dir))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``flagged`` is the decision by the thresholds calibrated per language, where the row's language has one."""
+    from strataforge.llm.toxicity_cnn import TRAIN_ROWS, fit, score
+    from strataforge.llm.training import labelled_sample
+
+    docs = _table(spark, sf_dir, "documents")
+    model, by_lang, overall = fit(labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", TRAIN_ROWS, ~held_out(4, 2), extra=("lang",)), "lang")
+    threshold = F.lit(overall)
+    for lang, value in by_lang.items():
+        threshold = F.when(F.col("lang") == lang, value).otherwise(threshold)
+    found = score(docs, model, ("doc_id", "lang"))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("flagged"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataforge.llm.media_boxes import encode_media, probe
 
@@ -54,8 +98,24 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataforge.llm.langid_hd import identify, prototypes
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, prototypes(docs.where(~held_out(4, 2))))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_decontaminate": op3_decontaminate, "op4_packing": op4_packing, "op8_media": op8_media}
+    return {
+        "op1_url_reputation": op1_url_reputation,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_packing": op4_packing,
+        "op5_quality": op5_quality,
+        "op6_toxicity": op6_toxicity,
+        "op8_media": op8_media,
+        "op10_langid": op10_langid,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

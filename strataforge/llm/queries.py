@@ -43,6 +43,12 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(apply_rules(parts, RULES), hosts, prior).select("page_id", "host", "path", "rule", "verdict", "score", "lower")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataforge.llm.ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataforge.llm.decontaminate import find_windows
 
@@ -98,6 +104,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataforge.llm.ppm import build, count_grams, score
+
+    docs = _table(spark, sf_dir, "documents")
+    trie = build(count_grams(docs.where(~held_out(7, 2))))
+    return score(docs, held_out(7, 2), trie)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataforge.llm.langid_hd import identify, prototypes
 
@@ -109,11 +123,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
+        "op2_ngram_join": op2_ngram_join,
         "op3_decontaminate": op3_decontaminate,
         "op4_packing": op4_packing,
         "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,
         "op8_media": op8_media,
+        "op9_lm_score": op9_lm_score,
         "op10_langid": op10_langid,
     }
 

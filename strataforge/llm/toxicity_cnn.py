@@ -34,9 +34,10 @@ SIZE = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (6, 7, 9)
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 6000
 MIN_PER_LANGUAGE = 20
 MIN_DOCS = 5
+SETTLED = 0.01  # an error under it changes nothing
 
 
 def buckets(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +50,7 @@ def buckets(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.08, seed: int = 5) -> None:
+    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 5, rate: float = 0.08, seed: int = 5) -> None:
         self.constant = None
         if not 0 < labels.sum() < len(labels):
             self.constant = float(labels.mean()) if len(labels) else 0.0
@@ -88,6 +89,8 @@ class Model:
                     wins[w] = (best, value > 0)
                 p = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.base, -30, 30)))
                 error = p - labels[i]
+                if abs(error) < SETTLED:
+                    continue
                 down = error * self.out
                 g = error * pooled + 1e-4 * self.out
                 squares["o"] += g * g
@@ -111,10 +114,9 @@ class Model:
                         g_e = (f[j] * d).T
                         squares[w][j] += g_f * g_f
                         f[j] -= rate * g_f / np.sqrt(squares[w][j])
-                        for k in np.flatnonzero(d):
-                            for form in at[k]:
-                                squares["e"][form] += g_e[k] * g_e[k]
-                                self.embedding[form] -= rate * g_e[k] / np.sqrt(squares["e"][form])
+                        forms, g_all = at[on].reshape(-1), np.repeat(g_e[on], at.shape[1], 0)
+                        np.add.at(squares["e"], forms, g_all * g_all)
+                        np.add.at(self.embedding, forms, -rate * g_all / np.sqrt(squares["e"][forms]))
 
     def _tabulate(self) -> None:
         self.tables = {w: [(self.embedding @ self.filters[w][j]).astype(np.float32) for j in range(w)] for w in WIDTHS}

@@ -95,6 +95,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("flagged"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataforge.llm.suffix_dedup import find_repeats
+
+    found = find_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataforge.llm.media_boxes import encode_media, probe
 
@@ -128,6 +135,7 @@ def queries() -> dict[str, Query]:
         "op4_packing": op4_packing,
         "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_media": op8_media,
         "op9_lm_score": op9_lm_score,
         "op10_langid": op10_langid,

@@ -140,3 +140,32 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.r_[True, starts[1:] > reach[:-1]]
     at = np.flatnonzero(new)
     return starts[at], reach[np.r_[at[1:] - 1, len(starts) - 1]]
+
+
+def without_spans(text: str | None, spans: list[dict] | None) -> str | None:
+    """``text`` without byte spans of its UTF-8 form; what is left of a cut character goes too."""
+    if not spans or text is None:
+        return text
+    raw, out, at = text.encode(), [], 0
+    for s in spans:
+        out.append(raw[at : s["start"]])
+        at = s["end"]
+    return b"".join([*out, raw[at:]]).decode("utf-8", "ignore")
+
+
+def cut_spans(df, spans_col: str, text_col: str = "text", length_col: str | None = "n_chars"):
+    """``df`` without ``spans_col``: the spans are cut from the text, and ``length_col``, if there, follows."""
+    names = [c for c in df.columns if c != spans_col]
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                texts = [without_spans(t, s) for t, s in zip(part.column(text_col).to_pylist(), part.column(spans_col).to_pylist(), strict=True)]
+                made = {text_col: pa.array(texts, part.schema.field(text_col).type)}
+                if length_col in names:
+                    made[length_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.schema.field(length_col).type)
+                yield pa.RecordBatch.from_arrays([made.get(c, part.column(c)) for c in names], names=names)
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))

@@ -1,8 +1,74 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near duplicates, repeated passages, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
+one's ``docs``. All but the last return the columns of ``documents``. SQL can't express the stages as a whole (the first is a
+fitted model), so there is no ``ORACLE_SQL``; tests hold each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strataforge.llm import queries as Q
+from strataforge.llm.decontaminate import find_windows
+from strataforge.llm.ngram_join import jaccard_components
+from strataforge.llm.packing import pack, tokenize_pieces
+from strataforge.llm.quality_nbsvm import score
+from strataforge.llm.staging import stage
+from strataforge.llm.suffix_dedup import find_repeats
+from strataforge.llm.textkit import cut_spans
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 go."""
+    model = Q.quality_model(spark, docs, sf_dir)
+    return score(docs, model, tuple(docs.columns)).where("score >= 0.5").drop("score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; of rows with one id, the first by text.
+
+    Rows without an id can't be told apart and stay.
+    """
+    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    chosen = docs.where("doc_id is not null").join(stage(kept, "kept"), "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that an earlier document has too are cut; documents of which nothing is left go."""
+    found = stage(find_repeats(docs).where("n_removed > 0").select("doc_id", "removed", (F.col("n_removed") == F.col("n_bytes")).alias("_gone")).dropDuplicates(["doc_id"]), "cut")
+    joined = docs.join(found, "doc_id", "left").where(~F.coalesce("_gone", F.lit(False)))
+    return cut_spans(joined.select(*docs.columns, "removed"), "removed")
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of two items or more go; from others the words in such windows are cut."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = find_windows(docs, benchmark, keep=docs.columns)
+    return cut_spans(found.where(F.size("item_ids") < 2).select(*docs.columns, "hit_spans"), "hit_spans")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = tokenize_pieces(docs, Q.tokenizer_path())
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("best-fit packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

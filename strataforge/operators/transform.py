@@ -377,12 +377,12 @@ def autoencoder_latent_features(df: DataFrame, list_of_cols: Columns = "all", dr
                     p -= 0.05 * grad / np.sqrt(squares[j])
 
     @F.pandas_udf("array<double>")
-    def encode(*columns: pd.Series) -> pd.Series:
-        v = np.stack([c.to_numpy(float) for c in columns], 1)
+    def encode(columns: pd.DataFrame) -> pd.Series:
+        v = columns.to_numpy(float)
         v = np.tanh(np.tanh(v @ weights[0] + biases[0]) @ weights[1] + biases[1])
         return pd.Series(list(v))
 
-    found = prepared.withColumn("_a", encode(*inputs))
+    found = prepared.withColumn("_a", encode(F.struct(*inputs)))
     kept = [c for c in df.columns if output_mode == "append" or c not in names]
     return found.select(*(col(c) for c in kept), *(F.col("_a")[i].alias(f"latent_{i}") for i in range(k)))
 

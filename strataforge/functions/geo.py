@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,9 +79,6 @@ def euclidean(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
 
 def vincenty(lat1: Column, lon1: Column, lat2: Column, lon2: Column, ellipsoid: str = "WGS-84") -> Column:
     """Geodesic in metres on an ellipsoid, by Vincenty's inverse formula in Arrow batches; null where it does not settle."""
-    import numpy as np
-    import pandas as pd
-
     a, b, f = ELLIPSOIDS[ellipsoid]
 
     @F.pandas_udf("double")

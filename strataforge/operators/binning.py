@@ -13,7 +13,7 @@ from strataforge.functions.columns import ACCURACY, Columns, col, model_frame, n
 def cutoffs(df: DataFrame, names: Sequence[str], method_type: str, bin_size: int, accuracy: int = ACCURACY) -> dict[str, list[float]]:
     """Inner cut-offs of each column, from one pass; columns without values are left out."""
     if method_type == "equal_frequency":
-        found = quantiles(df, names, [j / bin_size for j in range(1, bin_size)], accuracy)
+        found = quantiles(df, names, [j * (1 / bin_size) for j in range(1, bin_size)], accuracy)
         return {c: list(v) for c, v in found.items() if v is not None}
     if method_type != "equal_range":
         raise TypeError("Invalid input for method_type")

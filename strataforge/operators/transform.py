@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -344,9 +346,6 @@ def autoencoder_latent_features(df: DataFrame, list_of_cols: Columns = "all", dr
 
     ``reduction_params``: the bottleneck's width, as a share of the columns if under 1. It is fitted on at most ``sample_size`` rows.
     """
-    import numpy as np
-    import pandas as pd
-
     names = numeric_columns(df, list_of_cols, drop_cols)
     prepared = _prepared(df.select("*", *(col(c).alias(f"_p{i}") for i, c in enumerate(names))), [f"_p{i}" for i in range(len(names))], standardization, imputation)
     inputs = [f"_p{i}" for i in range(len(names))]

@@ -325,7 +325,7 @@ def _(s, d):
     return x.select("attribute", *(F.round(c, 6).alias(c) for c in x.columns if c != "attribute"))
 
 
-_BINS = ", ".join(f"quantile_disc(l_quantity, {j / 10})" for j in range(1, 10))
+_BINS = ", ".join(f"quantile_disc(l_quantity, {j * 0.1!r}::DOUBLE)" for j in range(1, 10))
 _SEGMENTS = f"""WITH cut AS (SELECT [{_BINS}] AS c FROM lineitem), seg AS (
     SELECT 'l_quantity' AS attribute, CAST(1 + len(list_filter(c, lambda x: x < l_quantity)) AS VARCHAR) AS bin, l_returnflag = 'R' AS y FROM lineitem, cut
     UNION ALL SELECT 'l_linestatus', l_linestatus, l_returnflag = 'R' FROM lineitem),
@@ -415,7 +415,7 @@ def _(s, d):
 
 @_query(
     "binning_equal_frequency",
-    "SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(1 + len(list_filter(c, lambda x: x < l_extendedprice)) AS INTEGER) AS l_extendedprice_binned FROM lineitem, (SELECT [" + ", ".join(f"quantile_disc(l_extendedprice, {j / 10})" for j in range(1, 10)) + "] AS c FROM lineitem)",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(1 + len(list_filter(c, lambda x: x < l_extendedprice)) AS INTEGER) AS l_extendedprice_binned FROM lineitem, (SELECT [" + ", ".join(f"quantile_disc(l_extendedprice, {j * 0.1!r}::DOUBLE)" for j in range(1, 10)) + "] AS c FROM lineitem)",
 )
 def _(s, d):
     return binning.attribute_binning(_items(s, d, "l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", method_type="equal_frequency", output_mode="append")
@@ -591,11 +591,11 @@ def _(s, d):
     return dt.timestamp_to_string(x, "t")
 
 
-@_query("dateformat_conversion", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS t, CAST(o_orderdate AS DATE) AS day FROM orders")
+@_query("dateformat_conversion", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS t, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def _(s, d):
     x = dt.timestamp_to_string(_o(s, d).withColumnRenamed("o_orderdate", "t"), "t", "%Y-%m-%d")
     x = dt.string_to_timestamp(x.withColumn("day", F.col("t")), "day", "%Y-%m-%d", "dt")
-    return dt.dateformat_conversion(x, "t", "%Y-%m-%d", "%d/%m/%Y")
+    return dt.dateformat_conversion(x, "t", "%Y-%m-%d", "%d/%m/%Y").withColumn("day", F.col("day").cast("string"))
 
 
 @_query(
@@ -638,12 +638,12 @@ _EDGES = {
 }
 
 
-@_query("period_edges", "SELECT o_orderkey, " + ", ".join(f"CAST({v} AS DATE) AS o_orderdate_{k}" for k, v in _EDGES.items()) + " FROM orders")
+@_query("period_edges", "SELECT o_orderkey, " + ", ".join(f"CAST(CAST({v} AS DATE) AS VARCHAR) AS o_orderdate_{k}" for k, v in _EDGES.items()) + " FROM orders")
 def _(s, d):
     x = _o(s, d)
     for f in (dt.start_of_month, dt.end_of_month, dt.start_of_quarter, dt.end_of_quarter, dt.start_of_year, dt.end_of_year):
         x = f(x, "o_orderdate")
-    return x.drop("o_orderdate")
+    return x.select("o_orderkey", *(F.col(c).cast("string").alias(c) for c in x.columns[2:]))
 
 
 @_query("period_edge_flags", "SELECT o_orderkey, " + ", ".join(f"CAST(CAST({v} AS DATE) = CAST(o_orderdate AS DATE) AS INTEGER) AS o_orderdate_is{k}" for k, v in _EDGES.items()) + " FROM orders")
@@ -665,11 +665,11 @@ def _(s, d):
 
 @_query(
     "aggregator",
-    "SELECT strftime(ts, '%Y-%m-%d') AS ts, count(value) AS value_count, min(value) AS value_min, max(value) AS value_max, round(sum(value), 4) AS value_sum, round(avg(value), 4) AS value_mean, quantile_disc(value, 0.5) AS value_median, round(stddev_samp(value), 4) AS value_stddev, count(DISTINCT value) AS \"value_countDistinct\" FROM events GROUP BY 1",
+    "SELECT strftime(ts, '%Y-%m-%d') AS ts, count(value) AS value_count, min(value) AS value_min, max(value) AS value_max, round(sum(value), 8) AS value_sum, round(avg(value), 8) AS value_mean, quantile_disc(value, 0.5) AS value_median, round(stddev_samp(value), 8) AS value_stddev, count(DISTINCT value) AS \"value_countDistinct\" FROM events GROUP BY 1",
 )
 def _(s, d):
     x = dt.aggregator(_t(s, d, "events"), "value", "count|min|max|sum|mean|median|stddev|countDistinct", "ts")
-    return x.withColumns({c: F.round(c, 4) for c in ("value_sum", "value_mean", "value_stddev")})
+    return x.withColumns({c: F.round(c, 8) for c in ("value_sum", "value_mean", "value_stddev")})
 
 
 @_query("window_aggregator", "SELECT event_id, round(sum(value) OVER w, 4) AS value_sum, max(value) OVER w AS value_max, count(value) OVER w AS value_count FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
@@ -678,9 +678,9 @@ def _(s, d):
     return x.select("event_id", F.round("value_sum", 4).alias("value_sum"), "value_max", "value_count")
 
 
-@_query("window_expanding", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS value_mean FROM events")
+@_query("window_expanding", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS value_mean FROM events")
 def _(s, d):
-    return dt.window_aggregator(_t(s, d, "events"), "value", "mean", "event_id", partition_col="user_id").select("event_id", F.round("value_mean", 4).alias("value_mean"))
+    return dt.window_aggregator(_t(s, d, "events"), "value", "mean", "event_id", partition_col="user_id").select("event_id", F.round("value_mean", 8).alias("value_mean"))
 
 
 @_query("lagged_ts", "SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(lag(ts) OVER (PARTITION BY user_id ORDER BY ts), '%Y-%m-%d %H:%M:%S') AS earlier FROM (SELECT DISTINCT user_id, ts FROM events)")
@@ -698,9 +698,10 @@ def _(s, d):
     return timeseries.detect_timestamps(x, "o_orderkey")[0]
 
 
-@_query("ts_eligibility", "WITH x AS (SELECT d, count(*) AS n, datediff('day', lag(d) OVER (ORDER BY d), d) AS gap FROM (SELECT CAST(ts AS DATE) AS d FROM events) GROUP BY d) SELECT count(*) AS count_unique_dates, min(d) AS min_date, max(d) AS max_date, arg_max(d, n * 100000 + datediff('day', DATE '1970-01-01', d)) AS modal_date, round(avg(gap), 3) AS mean, round(var_samp(gap), 3) AS variance, round(stddev_samp(gap), 3) AS stdev, round(stddev_samp(gap) / avg(gap), 3) AS cov FROM x")
+@_query("ts_eligibility", "WITH x AS (SELECT d, count(*) AS n, datediff('day', lag(d) OVER (ORDER BY d), d) AS gap FROM (SELECT CAST(ts AS DATE) AS d FROM events) GROUP BY d) SELECT count(*) AS count_unique_dates, CAST(min(d) AS VARCHAR) AS min_date, CAST(max(d) AS VARCHAR) AS max_date, CAST(arg_max(d, n * 100000 + datediff('day', DATE '1970-01-01', d)) AS VARCHAR) AS modal_date, round(avg(gap), 3) AS mean, round(var_samp(gap), 3) AS variance, round(stddev_samp(gap), 3) AS stdev, round(stddev_samp(gap) / avg(gap), 3) AS cov FROM x")
 def _(s, d):
-    return timeseries.eligibility(_t(s, d, "events"), "user_id", "ts", 2)
+    x = timeseries.eligibility(_t(s, d, "events"), "user_id", "ts", 2)
+    return x.withColumns({c: F.col(c).cast("string") for c in ("min_date", "max_date", "modal_date")})
 
 
 @_query("ts_eligibility_spread")
@@ -708,9 +709,9 @@ def _(s, d):
     return timeseries.eligibility(_t(s, d, "events"), "user_id", "ts", 1)
 
 
-@_query("ts_profile_daily", "SELECT CAST(ts AS DATE) AS ts, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")
+@_query("ts_profile_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS ts, min(value) AS min, max(value) AS max, round(avg(value), 8) AS mean, round(quantile_cont(value, 0.5), 8) AS median FROM events GROUP BY 1")
 def _(s, d):
-    return timeseries.profile(_t(s, d, "events"), "ts", "value").withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6)})
+    return timeseries.profile(_t(s, d, "events"), "ts", "value").withColumns({"ts": F.col("ts").cast("string"), "mean": F.round("mean", 8), "median": F.round("median", 8)})
 
 
 @_query("ts_profile_weekly", "SELECT CAST(dayofweek(ts) + 1 AS INTEGER) AS ts, event_type, count(*) AS count FROM events GROUP BY 1, 2")
@@ -718,15 +719,15 @@ def _(s, d):
     return timeseries.profile(_t(s, d, "events"), "ts", "event_type", "weekly")
 
 
-@_query("ts_processed_features", "SELECT event_id, CAST(ts AS DATE) AS yyyymmdd_col, CASE WHEN hour(ts) BETWEEN 4 AND 6 THEN 'early_hours' WHEN hour(ts) BETWEEN 10 AND 16 THEN 'work_hours' WHEN hour(ts) BETWEEN 20 AND 23 THEN 'late_hours' WHEN hour(ts) IN (7, 8, 9, 17, 18, 19) THEN 'commuting_hours' ELSE 'other_hours' END AS daypart_cat, CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS week_cat FROM events")
+@_query("ts_processed_features", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS yyyymmdd_col, CASE WHEN hour(ts) BETWEEN 4 AND 6 THEN 'early_hours' WHEN hour(ts) BETWEEN 10 AND 16 THEN 'work_hours' WHEN hour(ts) BETWEEN 20 AND 23 THEN 'late_hours' WHEN hour(ts) IN (7, 8, 9, 17, 18, 19) THEN 'commuting_hours' ELSE 'other_hours' END AS daypart_cat, CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS week_cat FROM events")
 def _(s, d):
-    return timeseries.processed_features(_t(s, d, "events"), "ts").select("event_id", "yyyymmdd_col", "daypart_cat", "week_cat")
+    return timeseries.processed_features(_t(s, d, "events"), "ts").select("event_id", F.col("yyyymmdd_col").cast("string").alias("yyyymmdd_col"), "daypart_cat", "week_cat")
 
 
-@_query("windowed_profile", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, count(*) AS rows, count(value) AS value_filled, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_stddev FROM events GROUP BY 1")
+@_query("windowed_profile", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, count(*) AS rows, count(value) AS value_filled, round(avg(value), 8) AS value_mean, round(stddev_samp(value), 8) AS value_stddev FROM events GROUP BY 1")
 def _(s, d):
     x = windowed_profile(_t(s, d, "events"), "ts", ["value"], "1 day")
-    return x.select(F.unix_seconds("start").alias("start"), "rows", "value_filled", F.round("value_mean", 6).alias("value_mean"), F.round("value_stddev", 6).alias("value_stddev"))
+    return x.select(F.unix_seconds("start").alias("start"), "rows", "value_filled", F.round("value_mean", 8).alias("value_mean"), F.round("value_stddev", 8).alias("value_stddev"))
 
 
 # Geospatial

@@ -1,7 +1,7 @@
 """Feature recommendation: matching attribute names to a corpus of features by text.
 
-The embedder is pluggable; the one here is hashed term frequencies of words and letter 3-grams with inverse document frequency,
-not a trained sentence model, so similarities differ from one.
+The embedder is pluggable; the one here weighs words and letter 3-grams by inverse document frequency, not by a trained sentence
+model, so similarities differ from one. An embedding is a table of terms and weights, and cosines are an equi-join on the terms.
 """
 
 from __future__ import annotations
@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 
 from strataforge.functions.columns import col
 
-SIZE = 4096
-#: A corpus up to this many rows is sent to every executor; a larger one is matched in blocks of it.
-CORPUS_ROWS = 50_000
-
-
 def clean_text(name: Column, description: Column | None = None) -> Column:
     """Camel case is split, marks become spaces, white space is one space."""
     split = F.regexp_replace(F.coalesce(name, F.lit("")), "([a-z])([A-Z])", "$1 $2")
@@ -31,24 +26,24 @@ def terms(text: Column) -> Column:
     return F.concat(words, grams)
 
 
-def hashed_embedder(corpus: DataFrame, text_col: str) -> Callable[[DataFrame, str], DataFrame]:
-    """An embedder fitted on the corpus: adds ``_v``, a map from bucket to weight of unit length."""
-    from pyspark.ml.feature import IDF, HashingTF
-    from pyspark.ml.functions import vector_to_array
-
-    tf = HashingTF(numFeatures=SIZE, inputCol="_t", outputCol="_f")
-    model = IDF(inputCol="_f", outputCol="_w").fit(tf.transform(corpus.select(terms(col(text_col)).alias("_t"))))
+def term_embedder(corpus: DataFrame, text_col: str) -> Callable[[DataFrame, list[str], str], DataFrame]:
+    """An embedder fitted on the corpus: from a frame, its key columns and its text column, rows (keys, term, weight), each text of length 1."""
+    n = corpus.count()
+    df = corpus.select(F.explode(F.array_distinct(terms(col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
 
-    def embed(df: DataFrame, name: str) -> DataFrame:
-        made = model.transform(tf.transform(df.withColumn("_t", terms(col(name))))).withColumn("_a", vector_to_array("_w"))
-        norm = F.sqrt(F.aggregate("_a", F.lit(0.0), lambda a, b: a + b * b))
-        return made.withColumn("_v", F.transform("_a", lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))).drop("_t", "_f", "_w", "_a")
+    def embed(frame: DataFrame, keys: list[str], name: str) -> DataFrame:
+        counts = frame.select(*(col(k) for k in keys), F.explode(terms(col(name))).alias("term")).groupBy(*(col(k) for k in keys), "term").agg(F.count(F.lit(1)).alias("_tf"))
+        weighed = counts.join(df, "term", "left").withColumn("weight", F.col("_tf") * F.ln((n + 1.0) / (F.coalesce("_df", F.lit(0)) + 1.0)))
+        norm = weighed.groupBy(*(col(k) for k in keys)).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+        return weighed.join(norm, keys).where("_norm > 0").select(*keys, "term", (F.col("weight") / F.col("_norm")).alias("weight")).where("weight > 0")
 
     return embed
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def cosines(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys of both, similarity to 4 digits) of embeddings that share a term."""
+    both = a.withColumnRenamed("weight", "_wa").join(b.withColumnRenamed("weight", "_wb"), "term")
+    return both.groupBy(*(col(k) for k in keys)).agg(F.round(F.sum(F.col("_wa") * F.col("_wb")), 4).alias("similarity"))
 
 
 def prepare_corpus(corpus: DataFrame) -> DataFrame:
@@ -71,10 +66,10 @@ def nearest(corpus: DataFrame, column: str, value: str, semantic: bool = True) -
     values = corpus.select(column).distinct()
     if not semantic or values.where(col(column) == value).limit(1).count():
         return value
-    embed = hashed_embedder(values, column)
-    mine = embed(corpus.sparkSession.createDataFrame([(value,)], "_q string"), "_q").first()["_v"]
-    literal = F.array(*(F.lit(float(x)) for x in mine))
-    return embed(values, column).orderBy(F.desc(cosine(F.col("_v"), literal)), column).first()[column]
+    embed = term_embedder(values, column)
+    mine = embed(corpus.sparkSession.createDataFrame([(value,)], "_q string"), ["_q"], "_q")
+    best = cosines(mine, embed(values, [column], column), ["_q", column]).orderBy(F.desc("similarity"), column).first()
+    return best[column] if best else value
 
 
 def features_by(corpus: DataFrame, industry: str | None = None, usecase: str | None = None, num_of_feat: int | str = 100, semantic: bool = True) -> DataFrame:
@@ -104,18 +99,12 @@ def feature_mapper(attributes: DataFrame, corpus: DataFrame, name_column: str, d
             corpus = corpus.where(col(column).contains(nearest(corpus, column, value, semantic)))
     right = corpus.withColumn("_text", clean_text(col("feature_name"), col("feature_desc")))
     left = attributes.withColumn("_text", clean_text(col(name_column), col(desc_column) if desc_column else None))
-    embed = embedder or hashed_embedder(right, "_text")
-    b = embed(right, "_text").select("feature_name", "feature_desc", "industry", "usecase", F.col("_v").alias("_b"))
-    a = embed(left, "_text").select(col(name_column), F.col("_v").alias("_a"))
-    blocks = -(-corpus.count() // CORPUS_ROWS)
-    scored = None
-    for k in range(max(1, blocks)):
-        part = b.where(F.pmod(F.xxhash64("feature_name"), F.lit(blocks)) == k) if blocks > 1 else b
-        pairs = a.join(F.broadcast(part), F.lit(True)).withColumn("similarity", F.round(cosine(F.col("_a"), F.col("_b")), 4)).where(F.col("similarity") >= threshold).drop("_a", "_b")
-        scored = pairs if scored is None else scored.unionByName(pairs)
+    embed = embedder or term_embedder(right, "_text")
+    scored = cosines(embed(left, [name_column], "_text"), embed(right, ["feature_name", "feature_desc"], "_text"), [name_column, "feature_name", "feature_desc"])
+    scored = scored.where(F.col("similarity") >= threshold).join(corpus.select("feature_name", "feature_desc", "industry", "usecase"), ["feature_name", "feature_desc"])
     w = Window.partitionBy(name_column).orderBy(F.desc("similarity"), "feature_name")
     best = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_n).drop("_r")
-    out = attributes.select(col(name_column)).join(best, name_column, "left")
+    out = attributes.select(col(name_column)).join(best.select(name_column, "feature_name", "feature_desc", "industry", "usecase", "similarity"), name_column, "left")
     return out.fillna("N/A", subset=["feature_name", "feature_desc", "industry", "usecase"])
 
 
@@ -123,10 +112,8 @@ def find_attr_by_relevance(attributes: DataFrame, building_corpus: list[str], na
     """For each phrase of ``building_corpus`` the attributes of a similarity of ``threshold`` or more; "N/A" if there is none."""
     phrases = attributes.sparkSession.createDataFrame([(p,) for p in building_corpus], "phrase string").withColumn("_text", clean_text(F.col("phrase")))
     left = attributes.withColumn("_text", clean_text(col(name_column), col(desc_column) if desc_column else None))
-    embed = embedder or hashed_embedder(left, "_text")
-    b = embed(phrases, "_text").select("phrase", F.col("_v").alias("_b"))
-    pairs = embed(left, "_text").select(col(name_column), F.col("_v").alias("_a")).join(F.broadcast(b), F.lit(True))
-    found = pairs.withColumn("similarity", F.round(cosine(F.col("_a"), F.col("_b")), 4)).where(F.col("similarity") >= threshold).drop("_a", "_b")
+    embed = embedder or term_embedder(left, "_text")
+    found = cosines(embed(phrases, ["phrase"], "_text"), embed(left, [name_column], "_text"), ["phrase", name_column]).where(F.col("similarity") >= threshold)
     return phrases.select("phrase").join(found, "phrase", "left").fillna("N/A", subset=[name_column])
 
 

@@ -178,8 +178,9 @@ def test_association(spark):
     assert iv["a"]["iv"] > iv["c"]["iv"]
     ig = by(association.ig_calculation(x))
     assert ig["a"]["ig"] > 0.9 > ig["c"]["ig"]
-    groups = {r["Attribute"]: r["Cluster"] for r in association.variable_clustering(x.drop("label")).collect()}
-    assert groups["a"] == groups["b"] != groups["c"]
+    y = x.drop("label").withColumn("d", F.col("c") + F.col("b") / 100)
+    groups = {r["Attribute"]: r["Cluster"] for r in association.variable_clustering(y).collect()}
+    assert groups["a"] == groups["b"] != groups["c"] == groups["d"]
 
 
 def test_datetime(spark):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,16 @@ def _sweep() -> None:
 def parts(spark: SparkSession) -> int:
     """How many buckets a packed exchange gets: the session's shuffle partitions, the user's knob for scale."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While staged passes run, Arrow batches of whole texts hold at most ``rows`` of them; the session's setting is put back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if int(before) <= 0 or int(before) > rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

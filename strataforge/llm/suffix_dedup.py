@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from strataforge.llm import textkit as K
 from strataforge.llm.bloom import may_match
 from strataforge.llm.gsaca import suffix_array
-from strataforge.llm.staging import drop, parts, stage
+from strataforge.llm.staging import drop, parts, small_batches, stage
 
 ANCHOR = 20
 BLOCK = 10
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
+SORTED_AT_ONCE = 5_000
 _PLACE_BITS = np.uint64(28)
 
 
@@ -98,52 +99,69 @@ def windows_of(anchor_hash: np.ndarray, body: np.ndarray, low: np.ndarray, high:
     one, back = order[new], np.empty(len(order), np.int64)
     back[order] = np.cumsum(new) - 1
     least, mask = owner[one], np.zeros(len(one), np.uint64)
-    # Anchors with one entry are settled; the others' strings are put in order.
+    # Anchors with one entry are settled; the others' strings are put in order, some anchors at a time.
     _, at, size = np.unique(anchor_hash[one], return_inverse=True, return_counts=True)
     open_ = np.flatnonzero(size[at] > 1)
-    if len(open_):
-        right = np.ascontiguousarray(body[one[open_], lead:])
-        letters, base = [], 1
-        for a in (0, *range(ANCHOR, length, BLOCK)):
-            b = ANCHOR if a == 0 else min(a + BLOCK, length)
-            _, letter = np.unique(np.ascontiguousarray(right[:, a:b]).view(f"V{b - a}").reshape(-1), return_inverse=True)
-            letters.append(letter + base)
-            base += int(letter.max()) + 1
-        letters.append(np.zeros(len(open_), np.int64))  # the end of each string is the least letter
-        text = np.stack(letters, 1).reshape(-1)
-        found = suffix_array(text)
-        ranked = found[found % len(letters) == 0] // len(letters)
-        differ = right[ranked][1:] != right[ranked][:-1]
-        common = np.where(differ.any(1), differ.argmax(1), length)
-        who, lo, hi = least[open_][ranked], low[one[open_]][ranked], high[one[open_]][ranked]
-        left = body[one[open_]][ranked][:, :lead]
-        left_hash, bits = np.zeros(len(ranked), np.uint64), np.zeros(len(ranked), np.uint64)
-        for o in range(lead + 1):
-            if o:
-                left_hash = left_hash * np.uint64(0xD6E8FEB86659FD93) + K._BYTE_CODE[left[:, lead - o]]
-            here = np.flatnonzero((lo <= o) & (o <= hi))
-            if len(here) < 2:
-                continue
-            run = np.r_[0, np.cumsum(common < length - o)][here]
-            sort = np.lexsort((who[here], left_hash[here], run))
-            r, x, w = run[sort], left_hash[here][sort], who[here][sort]
-            head = np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])]
-            smallest = w[head][np.cumsum(head) - 1]
-            bits[here[sort[smallest < w]]] |= np.uint64(1) << np.uint64(o)
-        mask[open_[ranked]] = bits
+    open_ = open_[np.argsort(at[open_], kind="stable")]
+    edge = np.flatnonzero(np.r_[True, np.diff(at[open_]) != 0, True]) if len(open_) else np.zeros(1, np.int64)
+    begin = 0
+    for end, after in zip(edge[1:], np.r_[edge[2:], np.iinfo(np.int64).max], strict=False):
+        if after - begin > SORTED_AT_ONCE:
+            part = open_[begin:end]
+            mask[part] = _smaller(body[one[part]], low[one[part]], high[one[part]], least[part], length)
+            begin = end
     return least[back], mask[back]
 
 
+def _smaller(body: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """The windows, as bits, of each distinct entry that an entry with a smaller owner has too."""
+    lead = length - ANCHOR
+    right = np.ascontiguousarray(body[:, lead:])
+    letters, base = [], 1
+    for a in (0, *range(ANCHOR, length, BLOCK)):
+        b = ANCHOR if a == 0 else min(a + BLOCK, length)
+        _, letter = np.unique(np.ascontiguousarray(right[:, a:b]).view(f"V{b - a}").reshape(-1), return_inverse=True)
+        letters.append(letter + base)
+        base += int(letter.max()) + 1
+    letters.append(np.zeros(len(body), np.int64))  # the end of each string is the least letter
+    found = suffix_array(np.stack(letters, 1).reshape(-1))
+    ranked = found[found % len(letters) == 0] // len(letters)
+    differ = right[ranked][1:] != right[ranked][:-1]
+    common = np.where(differ.any(1), differ.argmax(1), length)
+    who, lo, hi, left = owner[ranked], low[ranked], high[ranked], body[ranked, :lead]
+    left_hash, bits = np.zeros(len(ranked), np.uint64), np.zeros(len(ranked), np.uint64)
+    for o in range(lead + 1):
+        if o:
+            left_hash = left_hash * np.uint64(0xD6E8FEB86659FD93) + K._BYTE_CODE[left[:, lead - o]]
+        here = np.flatnonzero((lo <= o) & (o <= hi))
+        if len(here) < 2:
+            continue
+        run = np.r_[0, np.cumsum(common < length - o)][here]
+        sort = np.lexsort((who[here], left_hash[here], run))
+        r, x, w = run[sort], left_hash[here][sort], who[here][sort]
+        head = np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])]
+        smallest = w[head][np.cumsum(head) - 1]
+        bits[here[sort[smallest < w]]] |= np.uint64(1) << np.uint64(o)
+    out = np.zeros(len(body), np.uint64)
+    out[ranked] = bits
+    return out
+
+
 _POSTED = "bucket int, ident bigint, keys binary, who binary, idents binary"
 _CUT = "part bigint, n int, ids binary, idents binary, sizes binary, text binary, doc binary, at binary, low binary, high binary, entry binary, keys binary, lead binary, body binary, lows binary, highs binary, owners binary"
 
 
 def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id (a whole number), ``n_bytes``, ``n_removed``, ``removed`` (byte spans, maximal runs) and ``kept_sha256``."""
+    with small_batches(docs.sparkSession):
+        return _find_repeats(docs, length, id_col, text_col)
+
+
+def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     if not ANCHOR < length <= ANCHOR + 60:
         raise ValueError(f"length must be over {ANCHOR} and at most {ANCHOR + 60}")
     spark = docs.sparkSession
-    buckets, lead = parts(spark), length - ANCHOR
+    buckets, lead = 2 * parts(spark), length - ANCHOR
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     sha = F.sha2("t", 256)
     rows = stage(narrow.select("id", F.octet_length("t").cast("bigint").alias("n"), sha.alias("sha"), F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint").alias("ident")), "digests")
@@ -155,10 +173,10 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 ident = np.array([_ident(hashlib.sha256(s.text(i)).hexdigest()) for i in range(s.n)], np.int64)
                 distinct, number = np.unique(ident, return_inverse=True)
                 key, who = [], []
-                for a, b in _pieces(s):
-                    found = Anchors(K.Slice(a, s.buf[s.offsets[a] : s.offsets[b]], s.offsets[a : b + 1] - s.offsets[a]), length)
+                for piece in s.pieces():
+                    found = Anchors(piece, length)
                     key.append(found.keys(buckets))
-                    who.append(number[a + found.doc])
+                    who.append(number[piece.first + found.doc])
                 key, who = np.concatenate(key), np.concatenate(who)
                 order = np.lexsort((who, key))
                 key, who = key[order], who[order]
@@ -206,6 +224,7 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 idents.append(int(who[a]))
                 keys.append(rest[a:b].tobytes())
+        K.trim()
         return pa.table({"ident": pa.array(idents, pa.int64()), "keys": pa.array(keys, pa.binary())})
 
     met = narrow.where(f"id is not null and octet_length(t) >= {length}").select("t").mapInArrow(post, _POSTED).groupBy("bucket").applyInArrow(meet, "ident bigint, keys binary")
@@ -219,18 +238,21 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 shared = batch.column(3).slice(s.first, s.n).to_pylist()
                 mine = np.array([_ident(hashlib.sha256(s.text(i)).hexdigest()) for i in range(s.n)], np.int64) == want
                 got = []
-                for a, b in _pieces(s):
-                    x = Anchors(K.Slice(a, s.buf[s.offsets[a] : s.offsets[b]], s.offsets[a : b + 1] - s.offsets[a]), length)
+                for piece in s.pieces():
+                    x, a = Anchors(piece, length), piece.first
                     key, base = x.keys(buckets), s.offsets[a]
-                    keep, edge = np.zeros(len(key), bool), K.bounds(x.doc, b - a)
-                    for i in range(b - a):
+                    keep, edge = np.zeros(len(key), bool), K.bounds(x.doc, piece.n)
+                    for i in range(piece.n):
                         if mine[a + i] and edge[i] < edge[i + 1]:
                             keep[edge[i] : edge[i + 1]] = np.isin(key[edge[i] : edge[i + 1]], np.frombuffer(b"".join(shared[a + i]), np.int64))
                     got.append((key[keep], a + x.doc[keep], base + x.at[keep], (x.at - x.last)[keep], (x.at - x.first)[keep], x.hash[keep]))
                 key, doc, at, low, high, h = (np.concatenate([g[i] for g in got]) for i in range(6))
-                offset = np.arange(-lead, length)
-                body = s.buf[np.clip(at[:, None] + offset, 0, len(s.buf) - 1)]
-                body[(offset < -high[:, None]) | (offset >= length - low[:, None])] = 0
+                offset = np.arange(-lead, length, dtype=np.int32)
+                body = np.zeros((len(at), lead + length), np.uint8)
+                for a in range(0, len(at), 16384):
+                    rows = slice(a, a + 16384)
+                    body[rows] = s.buf[np.clip(at[rows, None].astype(np.int32) + offset, 0, len(s.buf) - 1)]
+                    body[rows][(offset < -high[rows, None]) | (offset >= length - low[rows, None])] = 0
                 low8, high8, owner = low.astype(np.uint8), high.astype(np.uint8), ids[doc] if len(doc) else doc
                 row = np.zeros(len(at), np.uint64)
                 for j in range(body.shape[1]):
@@ -267,6 +289,7 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         least, mask = windows_of(join("lead", np.uint64), join("body", np.uint8).reshape(-1, lead + length), join("lows", np.uint8), join("highs", np.uint8), join("owners", np.int64), length)
         edge = np.cumsum([0, *size])
         pieces = [pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in (least, mask)]
+        K.trim()
         return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "least": pieces[0], "mask": pieces[1]})
 
     settled = stage(cuts.select("part", "keys", "lead", "body", "lows", "highs", "owners").mapInArrow(deal, "bucket int, part bigint, lead binary, body binary, lows binary, highs binary, owners binary").groupBy("bucket").applyInArrow(settle, "bucket int, part bigint, least binary, mask binary"), "settled")
@@ -295,6 +318,7 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             edge = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8)))
             kept = text[begin[i] : begin[i + 1]][~mine].tobytes()
             out.append((int(mine.sum()), [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)], hashlib.sha256(kept).hexdigest()))
+        K.trim()
         return pa.table({"id": ids, "ident": idents, "n_removed": pa.array([x[0] for x in out], pa.int64()), "removed": pa.array([x[1] for x in out], span), "kept": pa.array([x[2] for x in out], pa.string())})
 
     left = cuts.select("part", "ids", "idents", "sizes", "text", "doc", "at", "low", "high", "entry").groupBy("part")
@@ -316,12 +340,3 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
 
-
-def _pieces(s: K.Slice, limit: int = K.SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of a slice's texts of about ``limit`` bytes."""
-    i = 0
-    while i < s.n:
-        j = int(np.searchsorted(s.offsets, s.offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), s.n)
-        yield i, j
-        i = j

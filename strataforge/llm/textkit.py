@@ -49,7 +49,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // (1 << 18)) * (1 << 18)
             with np.errstate(over="ignore"):
                 self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
                 self.down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, _BASE_INV, np.uint64)])
@@ -59,6 +59,24 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def _trimmer():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library: nothing to call
+        return lambda n: 0
+
+
+_TRIM = _trimmer()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 class Slice:
     """Some rows' texts as one byte array. ``rows`` are their places in the batch; a null text is empty."""
 
@@ -69,6 +87,15 @@ class Slice:
     def text(self, i: int) -> bytes:
         return self.buf[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
+    def pieces(self, limit: int = 1 << 18) -> Iterator[Slice]:
+        """Its texts in slices of about ``limit`` bytes, for work whose arrays are many times as large."""
+        i = 0
+        while i < self.n:
+            j = int(np.searchsorted(self.offsets, self.offsets[i] + limit, side="right")) - 1
+            j = min(max(j, i + 1), self.n)
+            yield Slice(i, self.buf[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i])
+            i = j
+
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     if isinstance(column, pa.ChunkedArray):
@@ -87,6 +114,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         j = min(max(j, i + 1), n)
         yield Slice(i, buf[off[i] : off[j]], off[i : j + 1] - off[i])
         i = j
+    trim()
 
 
 def spans(s: Slice, table: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,8 +14,10 @@ number of sets of every size and the mean list length that the sketch gives.
 Only components are wanted, so a list of m sets need not give all m (m - 1) / 2 pairs. First every set is checked against the
 list's first one and one random neighbour; after that, only pairs of sets in one list that are still in
 different components are checked, all of them: no link between components is lost, and a list of near copies, however
-long, gives pairs in proportion to its length. Sets of equal texts are one from the start. Each pair is verified by
-the sizes and the exact overlap of the two sets.
+long, gives pairs in proportion to its length. A list with many members in one slice of the input is tied together
+there, and only its first member meets the other slices. Sets of equal texts are one from the start. A pair's sizes
+and parity bits (two sets differ in as many tokens as bits at least) rule most others out; what is left is
+verified by the exact overlap of the two sets.
 
 Edge cases: null and empty texts have no shingles and are components of their own; a text of fewer than ``n`` words is one
 shingle; rows that share an id are judged each by its own text; a row with a null id has a null component; an empty table gives
@@ -33,16 +35,23 @@ from pyspark.sql import functions as F
 
 from strataforge.llm import textkit as K
 from strataforge.llm.components import components
-from strataforge.llm.staging import parts, stage
+from strataforge.llm.staging import drop, parts, small_batches, stage
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 FILTER_BITS = 24
 CHUNK = 4096
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+PARITY_BYTES = 128
+LOCAL_LIST = 8
+LONG_LIST = 4096
 
 
 def shingle_sets(s: K.Slice, n: int) -> list[np.ndarray]:
     """Each text's distinct shingles, sorted."""
+    return [x for piece in s.pieces() for x in _shingle_sets(piece, n)]
+
+
+def _shingle_sets(s: K.Slice, n: int) -> list[np.ndarray]:
     buf = K.LOWER[s.buf]
     starts, ends, doc = K.spans(s, K.SPACED, buf)
     words = K.span_hashes(K.prefix_hashes(buf), starts, ends)
@@ -65,6 +74,7 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _chunks(array: np.ndarray) -> pa.RecordBatch:
+    array = array.astype(np.int32) if array.max(initial=0) < 1 << 31 and array.min(initial=0) >= 0 else array
     some = [i for i in range(0, len(array), CHUNK) if array[i : i + CHUNK].any()]
     return pa.RecordBatch.from_arrays([pa.array([i // CHUNK for i in some], pa.int32()), pa.array([array[i : i + CHUNK].tobytes() for i in some], pa.binary())], names=["chunk", "v"])
 
@@ -75,7 +85,7 @@ def _sum_chunks(df: DataFrame, size: int) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for x in table.column("v").to_pylist():
-            total += np.frombuffer(x, np.int64)
+            total += np.frombuffer(x, np.int64 if len(x) == 8 * CHUNK else np.int32)
         return pa.table({"chunk": table.column("chunk")[:1], "v": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(size, np.int64)
@@ -84,6 +94,12 @@ def _sum_chunks(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """One bit per place: whether an odd number of tokens falls on it. Two sets differ in as many tokens as bits at least."""
+    count = np.bincount((tokens & np.uint64(8 * PARITY_BYTES - 1)).astype(np.int64), minlength=8 * PARITY_BYTES)
+    return np.packbits((count & 1).astype(bool)).tobytes()
+
+
 class Rule:
     """Two sets link when ``den`` times their overlap is ``num`` times their union or more."""
 
@@ -97,6 +113,11 @@ class Rule:
     def prefix(self, size: np.ndarray, k: int) -> np.ndarray:
         return np.minimum(size, size - self.least(size) + k)
 
+    def possible(self, n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Whether sets of these sizes that differ in ``differ`` tokens at least can link."""
+        fits = self.den * np.minimum(n_a, n_b) >= self.num * np.maximum(n_a, n_b)
+        return fits & (differ * (self.den + self.num) <= (self.den - self.num) * (n_a + n_b))
+
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
         if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
             return False
@@ -123,6 +144,16 @@ def boundary(sizes: dict[int, int], scan: float, rule: Rule) -> int:
     return best
 
 
+def list_length(sketch: np.ndarray, share: float) -> float:
+    """The mean length of a list that a prefix looks into: over the rarest ``share`` of all tokens, less what tokens that fall
+    on the same count by chance add, 1 at least."""
+    count = np.sort(sketch[sketch > 0]).astype(float)
+    if not len(count):
+        return 1.0
+    low = count[: int(np.searchsorted(np.cumsum(count), share * count.sum())) + 1]
+    return max(1.0, float((low**2).sum() / low.sum() - low.mean()) + 1)
+
+
 def signatures(tokens: np.ndarray, rank: np.ndarray, small: int, rule: Rule) -> np.ndarray:
     """What a set meets its partners by."""
     n = len(tokens)
@@ -143,8 +174,25 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, small: int, rule: Rule) ->
     return np.concatenate(out) if out else tokens[:0]
 
 
+def _partners(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Pairs of each list's members with its first and with a random neighbour; sorted by (sig, own), without repeats."""
+    if not len(sig):
+        return np.zeros((0, 2), np.int64)
+    first = np.r_[True, sig[1:] != sig[:-1]]
+    at = np.flatnonzero(first)
+    hub = np.repeat(own[at], np.diff(np.r_[at, len(sig)]))
+    near = own[np.lexsort((K.mix(own.view(np.uint64) ^ sig), sig))]
+    pairs = np.r_[np.stack([hub, own], 1)[~first], np.stack([near, np.roll(near, 1)], 1)[~first]]
+    return np.unique(np.sort(pairs, 1), axis=0)
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id (a whole number), ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    with small_batches(docs.sparkSession):
+        return _jaccard_components(docs, n, num, den, id_col, text_col)
+
+
+def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rule, buckets = Rule(num, den), parts(spark)
     least_size = next(s for s in range(1, 10_000) if den * s >= num * (s + 1))  # no smaller set links with a different one
@@ -159,7 +207,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
                 sketch += np.bincount(at.astype(np.int64), minlength=len(sketch))
                 marks = [digest(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.nulls(s.n, pa.int32()), pa.nulls(s.n, pa.binary())],
+                    [batch.column(0).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.nulls(s.n, pa.int32()), pa.array([parity(x) if len(x) >= least_size else None for x in sets], pa.binary())],
                     names=["id", "n", "d", "d2", "chunk", "v"],
                 )
         rows = _chunks(sketch)
@@ -167,13 +215,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         yield pa.RecordBatch.from_arrays([none, none, none, none, *rows.columns], names=["id", "n", "d", "d2", "chunk", "v"])
 
     surveyed = stage(narrow.mapInArrow(survey, "id bigint, n bigint, d bigint, d2 bigint, chunk int, v binary"), "sets")
-    members = surveyed.where("chunk is null").select("id", "n", "d", "d2")
+    rows = surveyed.where("chunk is null")
+    members = rows.select("id", "n", "d", "d2")
     sketch = _sum_chunks(surveyed.where("chunk is not null").select("chunk", "v"), 1 << SKETCH_BITS)
     classes = stage(members.where(f"n >= {least_size} and id is not null").groupBy("d", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     sizes = {r["n"]: r["c"] for r in classes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    total = float(sketch.sum())
-    spread = float((sketch.astype(float) ** 2).sum() - total * total / len(sketch))
-    small = boundary(sizes, max(1.0, spread / max(total, 1.0)), rule)
+    small = boundary(sizes, list_length(sketch, 1 - num / den), rule)
     shared = spark.sparkContext.broadcast(sketch)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,51 +239,71 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
                 sig, own = sig[order], own[order]
                 new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]
                 sig, own = sig[new], own[new]
+                first = np.r_[True, sig[1:] != sig[:-1]]
+                at = np.flatnonzero(first)
+                length = np.diff(np.r_[at, len(sig)])
+                long = np.repeat(length > LOCAL_LIST, length)
+                if long.any():  # such a list is tied together here, and only its first set goes on
+                    pairs = _partners(sig[long], own[long])
+                    for x, y, z in ((sig[long].view(np.int64), own[long], None), (None, pairs[:, 0], pairs[:, 1])):
+                        to = (K.mix(y.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                        order = np.argsort(to, kind="stable")
+                        edge = np.searchsorted(to[order], np.arange(buckets + 1))
+                        some = np.flatnonzero(np.diff(edge))
+                        cut = [[v[order][edge[k] : edge[k + 1]].tobytes() if v is not None else None for k in some] for v in (x, y, z)]
+                        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.binary()), *(pa.array(c, pa.binary()) for c in cut)], names=["bucket", "sigs", "tied", "owners", "others"])
+                    sig, own = sig[~long | first], own[~long | first]
                 bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), *(pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()) for x in (sig, own))],
-                    names=["bucket", "sigs", "owners"],
-                )
+                sent = [pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()) for x in (sig, own)]
+                none = pa.nulls(len(some), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), sent[0], none, sent[1], none], names=["bucket", "sigs", "tied", "owners", "others"])
 
     def meet(table: pa.Table) -> pa.Table:
         """Lists of two sets or more: their members, and each member's two partners of the first round."""
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("sigs").to_pylist()])
-        own = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()])
-        order = np.argsort(sig, kind="stable")
-        sig, own = sig[order], own[order]
-        multi = np.zeros(len(sig), bool)
-        same = sig[1:] == sig[:-1]
-        multi[1:] |= same
-        multi[:-1] |= same
-        sig, own = sig[multi], own[multi]
+        table = table.select(["sigs", "tied", "owners", "others"])
+        rows = table.to_pylist()
+        plain = [r for r in rows if r["sigs"] is not None]
+        tied = [r for r in rows if r["tied"] is not None]
+        given = [r for r in rows if r["others"] is not None]
+        join = lambda some, k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in some]) if some else np.zeros(0, kind)
+        sig, own = join(plain, "sigs", np.uint64), join(plain, "owners", np.int64)
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])] if len(sig) else multi[:0]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])] if len(sig) else np.zeros(0, bool)
         sig, own = sig[new], own[new]
-        first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else multi[:0]
+        first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
         length = np.diff(np.r_[np.flatnonzero(first), len(sig)])
         keep = np.repeat(length > 1, length)
-        sig, own, first = sig[keep], own[keep], first[keep]
-        at = np.flatnonzero(first)
-        hub = np.repeat(own[at], np.diff(np.r_[at, len(sig)])) if len(sig) else own
-        shuffled = np.lexsort((K.mix(own.view(np.uint64) ^ sig), sig))
-        near = own[shuffled]
-        other = np.roll(near, 1)
-        linked = ~first  # a list's first has no neighbour before it
-        pairs = np.r_[np.stack([hub[linked], own[linked]], 1), np.stack([near[linked], other[linked]], 1)]
-        pairs = np.unique(np.sort(pairs, 1), axis=0) if len(pairs) else pairs.reshape(0, 2)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        k = len(sig)
-        return pa.table({"sig": pa.array(np.r_[sig.view(np.int64), np.zeros(len(pairs), np.int64)], mask=np.r_[np.zeros(k, bool), np.ones(len(pairs), bool)]), "a": np.r_[own, pairs[:, 0]], "b": pa.array(np.r_[own, pairs[:, 1]])})
-
-    met = stage(narrow.where("id is not null").select(text_col).mapInArrow(post, "bucket int, sigs binary, owners binary").groupBy("bucket").applyInArrow(meet, "sig bigint, a bigint, b bigint"), "lists")
+        sig, own = sig[keep], own[keep]
+        pairs = _partners(sig, own)
+        lists = np.r_[sig.view(np.int64), join(tied, "tied", np.int64)], np.r_[own, join(tied, "owners", np.int64)]
+        pairs = np.r_[pairs, np.stack([join(given, "owners", np.int64), join(given, "others", np.int64)], 1)]
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        k, m = len(lists[0]), len(pairs)
+        K.trim()
+        return pa.table({"sig": pa.array(np.r_[lists[0], np.zeros(m, np.int64)], mask=np.r_[np.zeros(k, bool), np.ones(m, bool)]), "a": np.r_[lists[1], pairs[:, 0]], "b": np.r_[lists[1], pairs[:, 1]]})
+
+    met = stage(narrow.where("id is not null").select(text_col).mapInArrow(post, "bucket int, sigs binary, tied binary, owners binary, others binary").groupBy("bucket").applyInArrow(meet, "sig bigint, a bigint, b bigint"), "lists")
     lists = met.where("sig is not null").select("sig", F.col("a").alias("d"))
     pairs = met.where("sig is null").select("a", "b").distinct()
 
-    # The sets of one document of each class that is in a list; a filter of fixed size keeps other texts from the shuffle.
-    wanted = stage(classes.join(lists.select("d").distinct(), "d", "left_semi").select("rep"), "wanted")
+    marks = stage(rows.where(f"n >= {least_size} and id is not null").groupBy("d").agg(F.min("n").alias("n"), F.min("v").alias("v")).join(lists.select("d").distinct(), "d", "left_semi"), "marks")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sizes and parities allow a link."""
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, PARITY_BYTES // 8) for i in (4, 5)]
+            ok = pa.array(rule.possible(n_a, n_b, np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], names=["a", "b"])
+
+    def hopeful(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stage(pairs, name)
+        one = pairs.join(marks.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("v").alias("va")), "a")
+        two = one.join(marks.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb")), "b")
+        return stage(two.select("a", "b", "na", "nb", "va", "vb").mapInArrow(differ, "a bigint, b bigint"), name + "-hopeful")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -248,19 +315,23 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     def unite(table: pa.Table) -> pa.Table:
         bits = np.zeros(CHUNK, np.int64)
         for x in table.column("v").to_pylist():
-            bits |= np.frombuffer(x, np.int64)
+            bits |= np.frombuffer(x, np.int64 if len(x) == 8 * CHUNK else np.int32)
         return pa.table({"chunk": table.column("chunk")[:1], "v": pa.array([bits.tobytes()], pa.binary())})
 
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in wanted.mapInArrow(mark, "chunk int, v binary").groupBy("chunk").applyInArrow(unite, "chunk int, v binary").collect():
-        bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["v"], np.int64)
-    allowed = spark.sparkContext.broadcast(bits)
+    def sifted(wanted: DataFrame) -> DataFrame:
+        """Rows whose id may be wanted; a filter of fixed size keeps most other texts from the shuffle."""
+        bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+        for r in wanted.mapInArrow(mark, "chunk int, v binary").groupBy("chunk").applyInArrow(unite, "chunk int, v binary").collect():
+            bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["v"], np.int64)
+        allowed = spark.sparkContext.broadcast(bits)
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = K.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
-            on = allowed.value[(h >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (h & np.uint64(63)) & np.uint64(1)
-            yield batch.filter(pa.array(on.astype(bool)))
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = K.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+                on = allowed.value[(h >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (h & np.uint64(63)) & np.uint64(1)
+                yield batch.filter(pa.array(on.astype(bool)))
+
+        return narrow.where("id is not null").mapInArrow(sift, f"id bigint, `{text_col}` string")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,9 +339,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
                 sets = [x for x in shingle_sets(s, n) if len(x) >= least_size]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["d", "tokens"])
 
-    sifted = narrow.where("id is not null").mapInArrow(sift, f"id bigint, `{text_col}` string")
-    sets = stage(sifted.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi").select(text_col).mapInArrow(gather, "d bigint, tokens binary"), "tokens")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
@@ -279,22 +347,55 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stage(pairs, name)
-        size = F.octet_length("ta"), F.octet_length("tb")
+        """``pairs``: staged. The sets of one document of each class are read again, then the overlap is counted."""
+        ends = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
+        wanted = stage(classes.join(ends, "d", "left_semi").select(F.col("rep").alias("id")), name + "-wanted")
+        sets = stage(sifted(wanted).join(wanted, "id", "left_semi").select(text_col).mapInArrow(gather, "d bigint, tokens binary"), name + "-tokens")
         one = pairs.join(sets.select(F.col("d").alias("a"), F.col("tokens").alias("ta")), "a")
-        two = one.join(sets.select(F.col("d").alias("b"), F.col("tokens").alias("tb")), "b").where((den * F.least(*size) >= num * F.greatest(*size)))
-        return stage(two.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint"), name + "-links")
-
-    first = linked(pairs, "pairs")
+        two = one.join(sets.select(F.col("d").alias("b"), F.col("tokens").alias("tb")), "b")
+        out = stage(two.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint"), name + "-links")
+        drop(sets)
+        return out
+
+    def cross(table: pa.Table) -> pa.Table:
+        """Pairs of a bucket's lists that are in different components and whose sizes and parities allow a link."""
+        sig, d, c, n = (table.column(k).to_numpy() for k in ("sig", "d", "c", "n"))
+        bits = np.frombuffer(b"".join(table.column("v").to_pylist()), np.uint64).reshape(-1, PARITY_BYTES // 8)
+        order = np.argsort(sig, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(sig[order]) != 0, True])
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            at = order[a:b]
+            for i in range(len(at) - 1):
+                rest, me = at[i + 1 :], at[i]
+                rest = rest[(c[rest] != c[me]) & (den * np.minimum(n[rest], n[me]) >= num * np.maximum(n[rest], n[me]))]
+                if len(rest):
+                    rest = rest[rule.possible(n[rest], n[me], np.bitwise_count(bits[rest] ^ bits[me]).sum(1).astype(np.int64))]
+                if len(rest):
+                    found.append(np.sort(np.stack([np.full(len(rest), d[me]), d[rest]], 1), 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        K.trim()
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    first = linked(hopeful(pairs, "pairs"), "pairs")
     found = components(first)
     # Members of lists with more than one component, and their pairs across components.
     named = stage(lists.join(found.select(F.col("node").alias("d"), "component"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("c")), "named")
-    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    open_ = stage(named.join(stage(mixed, "mixed"), "sig", "left_semi"), "open")
-    left, right = open_.select("sig", F.col("d").alias("a"), F.col("c").alias("ca")), open_.select("sig", F.col("d").alias("b"), F.col("c").alias("cb"))
-    crossing = left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = linked(crossing.join(pairs.select(*(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), ["a", "b"], "left_anti"), "crossing")
-    found = components(first.unionByName(second))
+    mixed = stage(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("sig", "m"), "mixed")
+    open_ = stage(named.join(mixed.where(F.col("m") <= LONG_LIST), "sig", "left_semi").join(marks, "d"), "open")
+    crossing = open_.groupBy(F.pmod(F.xxhash64("sig"), F.lit(buckets)).alias("bucket")).applyInArrow(cross, "a bigint, b bigint")
+    # Lists too long for one task: the pairs come from a join that Spark can split.
+    long = stage(named.join(mixed.where(F.col("m") > LONG_LIST), "sig", "left_semi"), "long")
+    left, right = long.select("sig", F.col("d").alias("a"), F.col("c").alias("ca")), long.select("sig", F.col("d").alias("b"), F.col("c").alias("cb"))
+    crossing_long = left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = linked(stage(crossing.unionByName(hopeful(crossing_long.distinct(), "crossing-long")).distinct(), "crossing"), "crossing")
+    if second.limit(1).count():  # links between components of the first round: a graph of those components only
+        ends = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        across = second.join(ends, F.col("a") == F.col("_n"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
+        across = across.join(ends, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+        merged = components(across)
+        renamed = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+        found = stage(renamed.unionByName(merged.join(found, "node", "left_anti")), "components")
     # A component's name is so far its smallest digest; the smallest id takes its place.
     by_class = classes.join(found.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
     by_class = stage(by_class.select("d", "d2", "n", "rep", F.col("component").alias("c")), "named-classes")

@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm import textkit as K
-from strataforge.llm.staging import parts, stage
+from strataforge.llm.staging import parts, small_batches, stage
 
 ORDER = 5
 MAX_NODES = 1 << 22
 #: Bytes that UTF-8 never has, for the place before a text and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 255  # all bytes but BEFORE
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 
 def gram_codes(s: K.Slice, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -62,17 +62,23 @@ def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) ->
     """(code, n) over all texts; each task sends its distinct codes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for batch in batches:
-            for s in K.slices(batch.column(0), SLICE_BYTES):
-                u, n = np.unique(gram_codes(s, order)[0], return_counts=True)
-                codes, at = np.unique(np.r_[codes, u], return_inverse=True)
-                counts = np.bincount(at, np.r_[counts, n], minlength=len(codes)).astype(np.int64)
+            for s in K.slices(batch.column(0)):
+                found.append(_added([np.unique(gram_codes(x, order)[0], return_counts=True) for x in s.pieces()]))
+                if len(found) == 8:
+                    found = [_added(found)]
+        codes, counts = _added(found)
         yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
 
     return docs.select(text_col).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
+
+
 class Order:
     """Contexts of one length: sorted codes of (context, symbol) with counts, and sums by context."""
 
@@ -100,13 +106,16 @@ class Trie:
             at = low.find(low.code, o.code & np.uint64((1 << 8 * k) - 1))
             o.shorter_total = np.bincount(o.at, low.count[at], minlength=len(o.context))
         top = self.orders[-1]
-        self._table(top.code, np.log10(top.count / (top.total + top.distinct)[top.at]) if len(top.code) else top.count)
+        value = np.log10(top.count / (top.total + top.distinct)[top.at]) if len(top.code) else top.count
+        self._table(top.code, value)
+        for o in self.orders:
+            del o.at
 
     def _table(self, code: np.ndarray, value: np.ndarray) -> None:
         """An open hash table of the longest order's codes, at most half full."""
         bits = max(10, int(2 * len(code)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits)
+        self.keys, self.values = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, np.float32)
         slot, left = self._slot(code), np.arange(len(code))
         while len(left):
             free = self.keys[slot[left]] == ~np.uint64(0)
@@ -161,7 +170,8 @@ class Trie:
 
 def build(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
     """The trie from ``count_grams``."""
-    counts = stage(counts, "grams")
+    with small_batches(counts.sparkSession):
+        counts = stage(counts, "grams")
     if counts.count() <= max_nodes:
         got = counts.toArrow()
         code, n = got.column("code").to_numpy().view(np.uint64), got.column("n").to_numpy()
@@ -177,12 +187,12 @@ def build(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) ->
         totals = nodes.groupBy(context).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("m"))
         level = F.floor(F.log2("t")).cast("int").alias("level")
         by_level = sorted(totals.groupBy(level).agg(F.sum("m").alias("m")).collect(), key=lambda r: -r["level"])
-        held, cut = 0, by_level[0]["level"] if by_level else 0
+        held, cut = 0, 0
         for r in by_level:  # the frequent contexts first, as many whole levels as there is room for
             held += r["m"]
             if held > max_nodes:
+                cut = r["level"] + 1
                 break
-            cut = r["level"]
         least = max(least, cut)
         kept = totals.where(level >= least).select("x")
         got = nodes.join(kept, F.shiftrightunsigned("c", 8) == F.col("x"), "left_semi").toArrow()
@@ -213,14 +223,15 @@ def score(docs: DataFrame, held_out: Column, trie: Trie, id_col: str = "doc_id",
             ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for s in K.slices(batch.column(1), SLICE_BYTES):
                 rows = slice(s.first, s.first + s.n)
-                value = np.zeros(s.n)
-                for a in range(0, s.n, 256):  # the trie works on fewer bytes at a time
-                    b = min(a + 256, s.n)
-                    code, edge = gram_codes(K.Slice(a, s.buf[s.offsets[a] : s.offsets[b]], s.offsets[a : b + 1] - s.offsets[a]))
-                    value[a:b] = np.add.reduceat(shared.value.log10(code), edge[:-1])
-                buf = K.LOWER[s.buf]
-                starts, ends, doc = K.spans(s, K.SPACED, buf)
-                h = K.span_hashes(K.prefix_hashes(buf), starts, ends)
+                value, h, doc = np.zeros(s.n), [], []
+                for piece in s.pieces():
+                    code, edge = gram_codes(piece)
+                    value[piece.first : piece.first + piece.n] = np.add.reduceat(shared.value.log10(code), edge[:-1])
+                    buf = K.LOWER[piece.buf]
+                    starts, ends, owner = K.spans(piece, K.SPACED, buf)
+                    h.append(K.span_hashes(K.prefix_hashes(buf), starts, ends))
+                    doc.append(owner + piece.first)
+                h, doc = np.concatenate(h), np.concatenate(doc)
                 n_words = np.bincount(doc, minlength=s.n)
                 order = np.argsort(h, kind="stable")  # texts stay in order within a word
                 h, doc = h[order], doc[order]
@@ -242,7 +253,8 @@ def score(docs: DataFrame, held_out: Column, trie: Trie, id_col: str = "doc_id",
                     names=[x.split()[0] for x in _SLICE.split(", ")],
                 )
 
-    cuts = stage(narrow.mapInArrow(cut, _SLICE), "slices")
+    with small_batches(spark):
+        cuts = stage(narrow.mapInArrow(cut, _SLICE), "slices")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,6 +277,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie, id_col: str = "doc_id",
         back, edge = count[at], np.cumsum([0, *(len(w) for w in words)])
         known = np.zeros(len(words), np.int64)
         known[0] = (count > 0).sum()  # once per bucket
+        K.trim()
         return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "c": pa.array([back[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), "known": known})
 
     dealt = cuts.select("part", "words", "train").mapInArrow(deal, "bucket int, part bigint, words binary, train binary")

@@ -142,5 +142,52 @@ def queries() -> dict[str, Query]:
     }
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rule_sql(what: int) -> str:
+    """The longest fitting rule's text (1) or verdict (0)."""
+    out = []
+    for rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        host, slash, path = rule[1].partition("/")
+        out.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + path}') THEN '{rule[what]}'")
+    return "CASE " + " ".join(out) + " END"
+
+
+def _strength_sql(level: str) -> str:
+    return f"(SELECT CASE WHEN scale <= 0 OR (kk - total * rate * rate - (groups - 1) * inside) <= 0 THEN 10000.0 ELSE least(10000.0, greatest(1.0, inside / ((kk - total * rate * rate - (groups - 1) * inside) / scale) - 1)) END FROM (SELECT total, rate, rate * (1 - rate) AS inside, count(*) AS groups, sum(k * k / n) AS kk, total - sum(n * n) / total AS scale FROM {level}, r GROUP BY total, rate))"
+
+
+_OP1_SQL = f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    names AS (SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS w FROM (SELECT DISTINCT host FROM p)),
+    sites AS (SELECT host, CASE WHEN array_to_string(w, '.') SIMILAR TO '[0-9.]+' THEN array_to_string(w, '.') ELSE array_to_string(w[-2:], '.') END AS domain, CASE WHEN array_to_string(w, '.') SIMILAR TO '[0-9.]+' THEN '' ELSE w[-1] END AS suffix FROM names),
+    h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k FROM p JOIN labels ON doc_id = page_id JOIN sites USING (host) WHERE quality IS NOT NULL GROUP BY ALL),
+    dm AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL), sx AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM dm GROUP BY ALL),
+    r AS (SELECT coalesce(sum(n), 0) AS total, coalesce(sum(k) / sum(n), 0.5) AS rate FROM h),
+    c AS (SELECT rate, coalesce({_strength_sql("h")}, 10000.0) AS sh, coalesce({_strength_sql("dm")}, 10000.0) AS sd, coalesce({_strength_sql("sx")}, 10000.0) AS ss FROM r),
+    ms AS (SELECT suffix, (k + ss * rate) / (n + ss) AS sm FROM sx, c), md AS (SELECT domain, (k + sd * sm) / (n + sd) AS dmean FROM dm JOIN ms USING (suffix), c),
+    a AS (SELECT host, coalesce(k, 0) + sh * coalesce(dmean, sm, rate) AS alpha, coalesce(n, 0) + sh AS size FROM sites LEFT JOIN (SELECT host, n, k FROM h) USING (host) LEFT JOIN md USING (domain) LEFT JOIN ms USING (suffix), c),
+    l AS (SELECT host, round(alpha / size, 6) AS score, round(greatest(0.0, alpha / size - 1.645 * sqrt(alpha / size * (1 - alpha / size) / (size + 1))), 6) AS lower FROM a)
+    SELECT page_id, host, path, {_rule_sql(1)} AS rule, coalesce({_rule_sql(0)}, CASE WHEN lower >= 0.6 THEN 'allow' ELSE 'block' END) AS verdict, score, lower FROM p JOIN l USING (host)"""
+
+_OP2_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, w[i : i + least(4, len(w)) - 1] AS g FROM d, unnest(range(1, len(w) - least(4, len(w)) + 2)) t(i) WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+    r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, z.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) z ON r.c = z.a)
+    SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_OP3_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+    bw AS (SELECT DISTINCT item_id, least(8, len(w)) AS m, w[i : i + least(8, len(w)) - 1] AS g FROM b, unnest(range(1, len(w) - least(8, len(w)) + 2)) t(i) WHERE len(w) > 0),
+    dw AS (SELECT doc_id, i, m, w[i : i + m - 1] AS g FROM d, (SELECT DISTINCT m FROM bw), unnest(range(1, len(w) - m + 2)) t(i) WHERE len(w) >= m),
+    h AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, g)),
+    hw AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i, m FROM h), unnest(range(i, i + m)) u(j) GROUP BY doc_id),
+    hi AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_reputation": _OP1_SQL, "op2_ngram_join": _OP2_SQL, "op3_decontaminate": _OP3_SQL}

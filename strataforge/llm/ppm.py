@@ -7,13 +7,19 @@ the next shorter context, where the symbols of the longer one are excluded from
 the symbols never seen share what is left evenly. As a longer context's symbols all occur in the shorter one,
 exclusion needs one number per context: how much its symbols weigh in the shorter context.
 
-``MAX_NODES`` bounds the model that is sent to executors: where an order has more nodes, its rarest contexts are left
-out (all counts still cover all texts), by whole contexts, and shorter contexts stay wherever longer ones do.
-
 The base line needs every word's training count at every text that has it. Texts are taken in slices; a slice
 keeps which text has which word, and only its distinct words travel: to the bucket of their hash, where they are
 summed, and the counts back. A word in every text is still one row per slice.
 
+The trie is parted in the same way and no context is left out: a slice's distinct codes (a symbol with the longest context)
+travel to the bucket of their context, where the symbols seen in it get their final value, which goes back. Codes
+that no training text has go on to the bucket of their last two context bytes, together with the distinct codes of all
+training texts that end alike: all that the shorter contexts down to two bytes need. Contexts of one byte and none
+are at most 65,536 codes whatever the input, and are sent to every task.
+
+A whole trie in one process (``build``) can be given to ``score`` instead; only there, and only if the caller asks,
+``max_nodes`` bounds it: the rarest contexts are left out, whole contexts at a time, shorter ones staying wherever longer ones do.
+
 Edge cases: a null or empty text has its end only; without training rows every count is 0 and the model is uniform
 over 256 symbols; repeated rows are scored (and learned) one by one; further columns are not read.
 """
@@ -32,11 +38,10 @@ from strataforge.llm import textkit as K
 from strataforge.llm.staging import parts, small_batches, stage
 
 ORDER = 5
-MAX_NODES = 1 << 22
 #: Bytes that UTF-8 never has, for the place before a text and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 255  # all bytes but BEFORE
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 23  # what travels is distinct by slice: large ones send less
 
 
 def gram_codes(s: K.Slice, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +103,23 @@ class Order:
 
 
 class Trie:
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """``orders[k]``: codes of k + 1 bytes and their counts."""
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]], table: bool = True) -> None:
+        """``orders[k]``: codes of k + 1 bytes and their counts. Without ``table`` only ``escape`` works."""
         self.orders = [Order(*o) for o in orders]
         for k in range(1, len(self.orders)):
             o, low = self.orders[k], self.orders[k - 1]
             at = low.find(low.code, o.code & np.uint64((1 << 8 * k) - 1))
             o.shorter_total = np.bincount(o.at, low.count[at], minlength=len(o.context))
         top = self.orders[-1]
-        value = np.log10(top.count / (top.total + top.distinct)[top.at]) if len(top.code) else top.count
-        self._table(top.code, value)
+        if table:
+            self._fill(top)
         for o in self.orders:
             del o.at
 
+    def _fill(self, top: Order) -> None:
+        value = np.log10(top.count / (top.total + top.distinct)[top.at]) if len(top.code) else top.count
+        self._table(top.code, value)
+
     def _table(self, code: np.ndarray, value: np.ndarray) -> None:
         """An open hash table of the longest order's codes, at most half full."""
         bits = max(10, int(2 * len(code)).bit_length())
@@ -142,10 +151,11 @@ class Trie:
             left, slot = left[on], (slot[on] + 1) & self.mask
         rest = np.concatenate(missed) if missed else np.zeros(0, np.int64)
         if len(rest):
-            out[rest] = self._escape(code[rest])
+            out[rest] = self.escape(code[rest])
         return out
 
-    def _escape(self, code: np.ndarray) -> np.ndarray:
+    def escape(self, code: np.ndarray) -> np.ndarray:
+        """The same, order by order: for codes that the longest order does not have."""
         out, open_ = np.zeros(len(code)), np.ones(len(code), bool)
         gone_total, gone = np.zeros(len(code)), np.zeros(len(code))  # what the longer contexts exclude here
         for k in range(len(self.orders) - 1, -1, -1):
@@ -168,18 +178,14 @@ class Trie:
         return out
 
 
-def build(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie from ``count_grams``."""
+def build(counts: DataFrame, order: int = ORDER, max_nodes: int | None = None) -> Trie:
+    """The trie from ``count_grams`` in one process: whole, or with at most ``max_nodes`` nodes an order."""
     with small_batches(counts.sparkSession):
         counts = stage(counts, "grams")
-    if counts.count() <= max_nodes:
+    if max_nodes is None or counts.count() <= max_nodes:
         got = counts.toArrow()
         code, n = got.column("code").to_numpy().view(np.uint64), got.column("n").to_numpy()
-        found = []
-        for k in range(order + 1):
-            u, at = np.unique(code & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            found.append((u, np.bincount(at, n, minlength=len(u))))
-        return Trie(found)
+        return Trie([_ends(code, n, k + 1) for k in range(order + 1)])
     found, least = [], 0
     for k in range(order + 1):
         nodes = counts.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("c")).agg(F.sum("n").alias("n"))
@@ -200,6 +206,34 @@ def build(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) ->
     return Trie(found)
 
 
+def _ends(code: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct last ``width`` bytes of codes, and their counts."""
+    u, at = np.unique(code & np.uint64((1 << 8 * width) - 1), return_inverse=True)
+    return u, np.bincount(at, n, minlength=len(u)).astype(np.int64)
+
+
+def _planes(code: np.ndarray, width: int = ORDER + 1) -> bytes:
+    """Sorted codes byte by byte, the high bytes first to be alike: these pack well."""
+    return np.ascontiguousarray(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(blob: bytes, width: int = ORDER + 1) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+    return out.view("<u8").reshape(-1)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_context(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of codes by the bucket of their context, and where each bucket begins in it."""
+    bucket = _bucket(K.mix(code >> np.uint64(8)), buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
 def _narrow(x: np.ndarray) -> np.ndarray:
     top = int(x.max()) if len(x) else 0
     return x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
@@ -209,24 +243,44 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, {1: "<u1", 2: "<u2", 4: "<u4"}[len(blob) // n] if n else "<u1").astype(np.int64)
 
 
-_SLICE = "part bigint, n int, doc_id binary, held_out binary, n_tokens binary, score binary, pairs bigint, words binary, train binary, sizes binary, docs binary, counts binary"
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``SLICE_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > SLICE_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def score(docs: DataFrame, held_out: Column, trie: Trie, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id (a whole number), ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
+_SLICE = "part bigint, n int, doc_id binary, held_out binary, n_tokens binary, score binary, pairs bigint, words binary, train binary, sizes binary, docs binary, counts binary, text binary, lengths binary, codes binary, learned binary"
+_BACK = "part bigint, kind int, bucket int, a binary, b binary"
+
+
+def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id (a whole number), ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+
+    The model is that of the rows not held out, kept in parts, unless a ``trie`` in one process is given.
+    """
     spark = docs.sparkSession
-    shared, buckets = spark.sparkContext.broadcast(trie), parts(spark)
+    shared, buckets = trie and spark.sparkContext.broadcast(trie), parts(spark)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col, held_out.alias("h"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _joined(batches):
             ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for s in K.slices(batch.column(1), SLICE_BYTES):
                 rows = slice(s.first, s.first + s.n)
-                value, h, doc = np.zeros(s.n), [], []
+                value, h, doc, grams = np.zeros(s.n if shared else 0), [], [], []
                 for piece in s.pieces():
                     code, edge = gram_codes(piece)
-                    value[piece.first : piece.first + piece.n] = np.add.reduceat(shared.value.log10(code), edge[:-1])
+                    if shared:
+                        value[piece.first : piece.first + piece.n] = np.add.reduceat(shared.value.log10(code), edge[:-1])
+                    else:
+                        grams.append(_counted(code, np.repeat(~held[rows][piece.first : piece.first + piece.n], np.diff(edge))))
                     buf = K.LOWER[piece.buf]
                     starts, ends, owner = K.spans(piece, K.SPACED, buf)
                     h.append(K.span_hashes(K.prefix_hashes(buf), starts, ends))
@@ -248,6 +302,11 @@ def score(docs: DataFrame, held_out: Column, trie: Trie, id_col: str = "doc_id",
                 packed_ids = id_part.fill_null(0).to_numpy().astype("<i8").tobytes() + (np.packbits(null).tobytes() if null.any() else b"")
                 binary = [packed_ids, held[rows].tobytes(), n_words.astype("<u4").tobytes(), value.astype("<f8").tobytes()]
                 blobs = [words.astype("<u8").tobytes(), *(_narrow(x).tobytes() for x in (train, sizes, doc, times))]
+                if shared:
+                    blobs += [b""] * 4
+                else:
+                    codes, seen = _added(grams)
+                    blobs += [K.LOWER[s.buf].tobytes(), _narrow(np.diff(s.offsets)).tobytes(), _planes(codes), _narrow(seen).tobytes()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([s.n], pa.int32()), *(pa.array([x], pa.binary()) for x in binary), pa.array([len(doc)], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)],
                     names=[x.split()[0] for x in _SLICE.split(", ")],
@@ -261,7 +320,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie, id_col: str = "doc_id",
             for part, blob, train in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = np.frombuffer(blob, "<u8")
                 counts = _wide(train, len(words))
-                bucket = ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                bucket = _bucket(words, buckets)
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edge))
                 yield pa.RecordBatch.from_arrays(
@@ -300,8 +359,8 @@ def score(docs: DataFrame, held_out: Column, trie: Trie, id_col: str = "doc_id",
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         n = row["n"]
-        back = sorted(zip(right.column("bucket").to_pylist(), right.column("c").to_pylist(), strict=True))
-        count = np.concatenate([np.frombuffer(c, "<u8") for _, c in back]).astype(np.float64) if back else np.zeros(0)
+        back = sorted(zip(*(right.column(x).to_pylist() for x in ("kind", "bucket", "a", "b")), strict=True), key=lambda r: r[:2])
+        count = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(a, "<u8") for kind, _, a, _ in back if kind == WORDS)]).astype(np.float64)
         sizes = _wide(row["sizes"], len(count))
         doc, times = _wide(row["docs"], row["pairs"]), _wide(row["counts"], row["pairs"])
         value, known = np.repeat(np.log10(count + 1), sizes), np.repeat(count > 0, sizes)
@@ -311,8 +370,131 @@ def score(docs: DataFrame, held_out: Column, trie: Trie, id_col: str = "doc_id",
         ids = pa.array(np.frombuffer(row["doc_id"][: 8 * n], "<i8"))
         if len(row["doc_id"]) > 8 * n:
             ids = pa.array(ids.to_numpy(), mask=np.unpackbits(np.frombuffer(row["doc_id"][8 * n :], np.uint8))[:n].astype(bool))
-        return pa.table([ids, pa.array(np.frombuffer(row["held_out"], bool)), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(n, train_tokens)), pa.array(base), pa.array(np.frombuffer(row["score"], "<f8"))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    left = cuts.select("part", "n", "doc_id", "held_out", "n_tokens", "score", "pairs", "sizes", "docs", "counts")
-    done = left.groupBy("part").cogroup(totals.select("part", "bucket", "c").groupBy("part")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        return pa.table([ids, pa.array(np.frombuffer(row["held_out"], bool)), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(n, train_tokens)), pa.array(base), pa.array(np.frombuffer(row["score"], "<f8") if shared else _read(row, back, buckets))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    left = cuts.select("part", "n", "doc_id", "held_out", "n_tokens", "score", "pairs", "sizes", "docs", "counts", "text", "lengths")
+    back = totals.select("part", F.lit(WORDS).alias("kind"), "bucket", F.col("c").alias("a"), F.lit(None).cast("binary").alias("b"))
+    if not shared:
+        for values in _parted(cuts, buckets):
+            back = back.unionByName(values)
+    done = left.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return done.withColumnRenamed("doc_id", id_col)
+
+
+#: What comes back to a slice: counts of words, values of codes by bucket, values of codes not seen in training.
+WORDS, SEEN, UNSEEN = range(3)
+
+
+def _counted(code: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, and how often each stands where ``learned`` holds."""
+    codes, at = np.unique(code, return_inverse=True)
+    return codes, np.bincount(at, learned, minlength=len(codes)).astype(np.int64)
+
+
+def _parted(cuts: DataFrame, buckets: int) -> list[DataFrame]:
+    """The values of all codes of all slices as rows of ``_BACK``."""
+    spark = cuts.sparkSession
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, blob, learned in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                code = _from_planes(blob)
+                n = _wide(learned, len(code))
+                order, edge = _by_context(code, buckets)
+                code, n = code[order], n[order]
+                some = np.flatnonzero(np.diff(edge))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), part)), pa.array([_planes(code[edge[b] : edge[b + 1]]) for b in some], pa.binary()), pa.array([_narrow(n[edge[b] : edge[b + 1]]).tobytes() for b in some], pa.binary())],
+                    names=["bucket", "part", "codes", "n"],
+                )
+
+    def total(table: pa.Table) -> pa.Table:
+        """Per slice the values, NaN for codes not seen, and these codes; and in a row of no slice the distinct seen codes with counts."""
+        codes = [_from_planes(x) for x in table.column("codes").to_pylist()]
+        n = np.concatenate([_wide(x, len(c)) for x, c in zip(table.column("n").to_pylist(), codes, strict=True)])
+        edge = np.cumsum([0, *(len(c) for c in codes)])
+        distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+        count = np.bincount(at, n, minlength=len(distinct))
+        seen = count > 0
+        o = Order(distinct[seen], count[seen])
+        value = np.full(len(distinct), np.nan, "<f4")
+        value[seen] = np.log10(o.count / (o.total + o.distinct)[o.at])
+        back = value[at]
+        a, b = [], []
+        for i, c in enumerate(codes):
+            v = back[edge[i] : edge[i + 1]]
+            a.append(v.tobytes())
+            b.append(c[np.isnan(v)].tobytes())
+        parts_ = pa.array([*table.column("part").to_pylist(), None], pa.int64())
+        bucket = pa.array([table.column("bucket")[0].as_py()] * len(parts_), pa.int32())
+        K.trim()
+        return pa.table([parts_, pa.array([SEEN] * len(parts_), pa.int32()), bucket, pa.array([*a, o.code.tobytes()], pa.binary()), pa.array([*b, o.count.astype("<i8").tobytes()], pa.binary())], names=["part", "kind", "bucket", "a", "b"])
+
+    dealt = cuts.select("part", "codes", "learned").mapInArrow(deal, "bucket int, part bigint, codes binary, n binary")
+    sums = stage(dealt.groupBy("bucket").applyInArrow(total, _BACK), "values")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for batch in batches:
+            for code, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [_added([*found, _ends(np.frombuffer(code, "<u8"), np.frombuffer(n, "<i8"), 2)])]
+        code, n = found[0]
+        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
+
+    low = sums.where("part is null").select("a", "b").mapInArrow(ends, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    short = spark.sparkContext.broadcast((low.column("code").to_numpy().astype(np.uint64), low.column("n").to_numpy().astype(np.int64)))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes by their last two context bytes: seen ones with counts, others with the slice."""
+        for batch in batches:
+            for part, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                code = np.frombuffer(a if part is None else b, "<u8")
+                if not len(code):
+                    continue
+                bucket = _bucket(K.mix((code >> np.uint64(8)) & np.uint64(0xFFFF)), buckets)
+                n = np.frombuffer(b, "<i8") if part is None else np.zeros(len(code), np.int64)
+                for i in range(0, len(code), 1 << 16):
+                    at = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(np.full(len(code[at]), part or 0)), pa.array(code[at].view(np.int64)), pa.array(n[at])], names=["bucket", "part", "code", "n"])
+
+    def escape(table: pa.Table) -> pa.Table:
+        code, n, part = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy(), table.column("part").to_numpy()
+        asked = n == 0
+        out = [[], [], []]
+        if asked.any():
+            seen, n = code[~asked], n[~asked]
+            trie = Trie([_ends(*short.value, 1), short.value, *(_ends(seen, n, k + 1) for k in range(2, ORDER + 1))], table=False)
+            code, part = code[asked], part[asked]
+            distinct, at = np.unique(code, return_inverse=True)
+            value = trie.escape(distinct)[at]
+            order = np.argsort(part, kind="stable")
+            code, value, part = code[order], value[order], part[order]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            edge = [*first.tolist(), len(part)]
+            out = [part[first], [code[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], [value[i:j].astype("<f4").tobytes() for i, j in zip(edge[:-1], edge[1:])]]
+        rows = len(out[0])
+        K.trim()
+        return pa.table([pa.array(out[0], pa.int64()), pa.array([UNSEEN] * rows, pa.int32()), pa.array([0] * rows, pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "kind", "bucket", "a", "b"])
+
+    unseen = sums.select("part", F.when(F.col("part").isNull(), F.col("a")).alias("a"), "b").mapInArrow(again, "bucket int, part bigint, code bigint, n bigint").groupBy("bucket").applyInArrow(escape, _BACK)
+    seen = sums.where("part is not null").withColumn("b", F.lit(None).cast("binary"))
+    return [seen, unseen]
+
+
+def _read(row: dict, back: list[tuple], buckets: int) -> np.ndarray:
+    """The score of each text of a slice, from the values that came back."""
+    s = K.Slice(0, np.frombuffer(row["text"], np.uint8), np.cumsum([0, *_wide(row["lengths"], row["n"])]))
+    found = []
+    for piece in s.pieces():
+        code, edge = gram_codes(piece)
+        found.append((piece, edge, *np.unique(code, return_inverse=True)))
+    codes = np.unique(np.concatenate([u for _, _, u, _ in found]))
+    value = np.zeros(len(codes))
+    value[_by_context(codes, buckets)[0]] = np.concatenate([np.frombuffer(a, "<f4") for kind, _, a, _ in back if kind == SEEN])
+    for kind, _, a, b in back:
+        if kind == UNSEEN:
+            value[np.searchsorted(codes, np.frombuffer(a, "<u8"))] = np.frombuffer(b, "<f4")
+    out = np.zeros(s.n)
+    for piece, edge, u, at in found:
+        out[piece.first : piece.first + piece.n] = np.add.reduceat(value[np.searchsorted(codes, u)][at], edge[:-1])
+    return out

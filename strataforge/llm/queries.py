@@ -112,11 +112,9 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataforge.llm.ppm import build, count_grams, score
+    from strataforge.llm.ppm import score
 
-    docs = _table(spark, sf_dir, "documents")
-    trie = build(count_grams(docs.where(~held_out(7, 2))))
-    return score(docs, held_out(7, 2), trie)
+    return score(_table(spark, sf_dir, "documents"), held_out(7, 2))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

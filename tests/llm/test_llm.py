@@ -290,6 +290,32 @@ def test_ppm(docs):
         assert abs(r["score"] - code(raw[i])) < 1e-3
 
 
+def test_ppm_in_parts(docs):
+    """The trie that is kept in parts scores as the whole one, contexts of one text included, and with nothing to learn from."""
+    from strataforge.llm import ppm
+    from strataforge.llm.queries import held_out
+
+    for held in (held_out(7, 2), F.lit(True), F.lit(False)):
+        whole = {r["doc_id"]: r for r in ppm.score(docs, held, ppm.build(ppm.count_grams(docs.where(~held)))).collect()}
+        got = {r["doc_id"]: r for r in ppm.score(with_clashes(docs), held).collect()}
+        assert set(got) == set(whole)
+        for i, r in got.items():
+            assert abs(r["score"] - whole[i]["score"]) < 1e-3 and r[:-1] == whole[i][:-1]
+
+
+def test_ppm_query_keeps_every_context(spark, docs, tmp_path, monkeypatch):
+    """No size of the model changes the scores of the query."""
+    from strataforge.llm import ppm
+    from strataforge.llm.queries import held_out, op9_lm_score
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r["doc_id"]: r["score"] for r in ppm.score(docs, held_out(7, 2), ppm.build(ppm.count_grams(docs.where(~held_out(7, 2))))).collect()}
+    if hasattr(ppm, "MAX_NODES"):
+        monkeypatch.setattr(ppm.build, "__defaults__", (ppm.ORDER, 500))
+    got = {r["doc_id"]: r["score"] for r in op9_lm_score(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
 def test_trie_with_fewer_nodes(docs):
     """The bounded way gives the whole trie where the bound is not reached, and a proper model where it is."""
     from strataforge.llm import ppm

@@ -222,6 +222,26 @@ def test_tokens_of_odd_texts():
         assert encoder(path).encode(text) == np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_tokens_of_an_unmodified_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strataforge.llm.packing import encoder, tokenize_pieces
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reference = Tokenizer.from_file(path)
+    ids = lambda text: np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, end + end, f" {end} x", f"<|endoftext {end}|>", "plain"]
+    for n in (9_999, 10_000, 10_001, 25_000):
+        texts += [w for s in (" ", "\n", "\u3000") for w in (s * n, f"a{s * n}b", f"a{s * n} b{s * n}\n'll{s * n}{end}{s * n}")]
+    for text in texts:
+        assert encoder(path).encode_with_added(text) == ids(text)
+    got = tokenize_pieces(spark.createDataFrame([(1, f"a{end}b")], "doc_id bigint, text string"), path).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[64, 50256, 65, 0]]
+    assert len(encoder(path).encode_with_added("a" + " " * 1_000_000 + "b")) > 8
+
+
 def test_media():
     from strataforge.llm import media_boxes as M
 

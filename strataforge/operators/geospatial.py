@@ -240,15 +240,15 @@ def location_stats(df: DataFrame, lat_col: str | None = None, long_col: str | No
 
 
 def cluster_analysis(df: DataFrame, lat_col: str, long_col: str, max_cluster: int = 20, eps: float = 0.3, min_samples: int = 500, max_records: int = 100_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """K-means with the number of clusters at the elbow of the cost, and density clusters, on at most ``max_records`` rows:
-    (latitude, longitude, cluster) of each. ``eps`` in degrees."""
+    """(latitude, longitude, cluster) by k-means, fitted on and given for all valid rows, with the number of clusters at the
+    elbow of the cost; and by density, of a sample of at most ``max_records`` rows. ``eps`` in degrees."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    rows = _valid(df, lat_col, long_col).select(col(lat_col).cast("double").alias(lat_col), col(long_col).cast("double").alias(long_col))
+    rows = _valid(df, lat_col, long_col).select(col(lat_col).cast("double").alias(lat_col), col(long_col).cast("double").alias(long_col)).cache()
     n = rows.count()
     part = (rows.sample(False, min(1.0, max_records / n), seed) if n > max_records else rows).cache()
-    v = VectorAssembler(inputCols=[lat_col, long_col], outputCol="_v").transform(part)
+    v = VectorAssembler(inputCols=[lat_col, long_col], outputCol="_v").transform(rows)
     models = {k: KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(v) for k in range(2, max(3, max_cluster + 1))}
     ks = sorted(models)
     cost = [models[k].summary.trainingCost for k in ks]

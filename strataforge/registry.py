@@ -832,7 +832,7 @@ def _(s, d):
 
 @_query("geo_clusters")
 def _(s, d):
-    return geospatial.cluster_analysis(_places(s, d), "lat", "lon", 5, 5.0, 10, 2000)[0]
+    return geospatial.cluster_analysis(_places(s, d), "lat", "lon", 5, 5.0, 10)[0]
 
 
 # Recommendation, feature store, report

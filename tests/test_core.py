@@ -263,3 +263,11 @@ def test_pipeline(spark, people, tmp_path):
 def test_transpose(spark):
     x = spark.createDataFrame([("a", 1, 2.0), ("b", 3, 4.0)], "k string, x int, y double")
     assert {r["key"]: (r["a"], r["b"]) for r in transpose(x, "k").collect()} == {"x": ("1", "3"), "y": ("2.0", "4.0")}
+
+
+def test_cluster_analysis_covers_all_rows(spark):
+    from strataforge.operators.geospatial import cluster_analysis
+
+    rows = [(float(i % 50), float(i % 70)) for i in range(900)]
+    means, _ = cluster_analysis(spark.createDataFrame(rows, "lat double, lon double"), "lat", "lon", 4, 5.0, 10, max_records=100)
+    assert sorted((r["lat"], r["lon"]) for r in means.collect()) == sorted(rows)

@@ -118,6 +118,15 @@ def test_ngram_join_long_lists(spark, monkeypatch):
     assert got == jaccard_brute(rows)
 
 
+def test_pipeline_links_by_five_words(spark):
+    from corpus_pipeline import near_duplicates
+
+    base = [f"t{i}" for i in range(100)]
+    near, far = base[:40] + [f"x{i}" for i in range(6)] + base[46:], base[:40] + [f"y{i}" for i in range(9)] + base[49:]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, near, far))]
+    assert sorted(r["doc_id"] for r in near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()) == [0, 2]
+
+
 def test_components(spark):
     from strataforge.llm.components import components
 

@@ -479,7 +479,7 @@ def _(s, d):
 
 @_query("imputation_knn")
 def _(s, d):
-    return imputation.impute_model(_gaps(s, d), method_type="KNN", sample_size=1000)
+    return imputation.impute_model(_gaps(s, d), method_type="KNN")
 
 
 @_query("imputation_regression")
@@ -504,7 +504,7 @@ def _(s, d):
 
 @_query("autoencoder_latent_features")
 def _(s, d):
-    return transform.autoencoder_latent_features(_items(s, d, "l_orderkey", *NUM), NUM, sample_size=5000, epochs=5)
+    return transform.autoencoder_latent_features(_items(s, d, "l_orderkey", *NUM), NUM)
 
 
 _MATH = {

@@ -271,3 +271,17 @@ def test_cluster_analysis_covers_all_rows(spark):
     rows = [(float(i % 50), float(i % 70)) for i in range(900)]
     means, _ = cluster_analysis(spark.createDataFrame(rows, "lat double, lon double"), "lat", "lon", 4, 5.0, 10, max_records=100)
     assert sorted((r["lat"], r["lon"]) for r in means.collect()) == sorted(rows)
+
+
+def test_queries_fit_as_the_operators_do(monkeypatch):
+    """No query fits a smaller model than the operator's defaults give."""
+    from strataforge import registry
+
+    given = []
+    monkeypatch.setattr(registry, "_gaps", lambda s, d: None)
+    monkeypatch.setattr(registry, "_items", lambda s, d, *c: None)
+    monkeypatch.setattr(registry.imputation, "impute_model", lambda df, **k: given.append(k))
+    monkeypatch.setattr(registry.transform, "autoencoder_latent_features", lambda df, cols, **k: given.append(k))
+    for name in ("imputation_knn", "autoencoder_latent_features"):
+        registry.queries()[name](None, "")
+    assert given == [{"method_type": "KNN"}, {}]

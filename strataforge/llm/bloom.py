@@ -20,11 +20,8 @@ def _place(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(6)).astype(np.int64), h & np.uint64(63)
 
 
-def may_match(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose first column (bigint, no nulls) may be in the one column of ``ids``: all that are, and few others.
-
-    What is sent to the executors is 2 MB whatever the number of ids; with very many ids it only filters less.
-    """
+def filter_of(ids: DataFrame) -> np.ndarray:
+    """Bits of the values of the one column (bigint) of ``ids``: 2 MB whatever their number; with very many it only filters less."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(WORDS, np.uint64)
@@ -43,11 +40,21 @@ def may_match(rows: DataFrame, ids: DataFrame) -> DataFrame:
     bits = np.zeros(WORDS, np.uint64)
     for r in ids.mapInArrow(mark, "chunk int, v binary").groupBy("chunk").applyInArrow(unite, "chunk int, v binary").collect():
         bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["v"], np.uint64)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def holds(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be among those of the filter: true for all that are."""
+    word, bit = _place(values)
+    return (bits[word] >> bit & np.uint64(1)).astype(bool)
+
+
+def may_match(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose first column (bigint, no nulls) may be in the one column of ``ids``: all that are, and few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(ids))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, bit = _place(batch.column(0).to_numpy())
-            yield batch.filter(pa.array((shared.value[word] >> bit & np.uint64(1)).astype(bool)))
+            yield batch.filter(pa.array(holds(shared.value, batch.column(0).to_numpy())))
 
     return rows.mapInArrow(sift, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))

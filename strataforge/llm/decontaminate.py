@@ -1,7 +1,7 @@
 """Benchmark decontamination: which words of a document stand inside a window of a benchmark item.
 
 A prefix-filtered set join. A window is a run of ``window`` item words (an item of fewer words is one window);
-as a set it is the ``SHINGLE``-word shingles it holds. A document contains a window only if it contains all
+as a set it is the ``SHINGLE``-word shingles it holds (words are compared by 128 bits of hashes). A document contains a window only if it contains all
 of these shingles, so one of them is prefix enough: the rarest, by its count over the whole corpus. Documents
 are joined on these prefix shingles alone; a candidate's position gives the only place where the window could
 stand, which must lie inside the text (length and positional bound), and its words are then compared one by
@@ -12,18 +12,20 @@ executor; a larger benchmark takes more passes, with the documents and their hit
 
 Edge cases: null or empty text has no words and no hits; items with null id or text are ignored; rows with the
 same item id count as one item; repeated document rows are judged one by one; empty tables give no hits or
-no rows; further columns of either table are not read, and those of the documents can be kept with ``keep``.
+no rows; further columns of either table are not read, and those of the documents can be kept with ``keep``, unless a new
+column has the name. Item ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strataforge.llm import textkit as K
 from strataforge.llm.staging import stage
@@ -33,10 +35,11 @@ BLOCK_WORDS = 500_000
 
 
 def _words(text: str) -> np.ndarray:
+    """Two hashes of each word, side by side."""
     buf = K.LOWER[np.frombuffer(text.encode(), np.uint8)]
     s = K.Slice(0, buf, np.array([0, len(buf)], np.int64))
     starts, ends, _ = K.spans(s, K.ALNUM, buf)
-    return K.span_hashes(K.prefix_hashes(buf), starts, ends)
+    return np.stack([K.span_hashes(buf, starts, ends, seed) for seed in (0, 1)], 1)
 
 
 class Windows:
@@ -45,9 +48,10 @@ class Windows:
     def __init__(self, length: int, items: dict[bytes, set[int]]) -> None:
         self.length, self.k = length, min(SHINGLE, length)
         keys = sorted(items)
-        self.words = np.frombuffer(b"".join(keys), np.uint64).reshape(len(keys), length)
+        both = np.frombuffer(b"".join(keys), np.uint64).reshape(len(keys), length, 2)
+        self.words, self.second = np.ascontiguousarray(both[:, :, 0]), np.ascontiguousarray(both[:, :, 1])
         self.items = [sorted(items[k]) for k in keys]
-        flat = self.words.reshape(-1)
+        flat = both.reshape(-1)
         places = length - self.k + 1
         grams = [flat[0:0]] * places
         for j in range(places):
@@ -65,7 +69,7 @@ class Windows:
         at[at == len(known)] = 0
         seen = known[at] == self.shingles if len(known) else np.zeros(self.shingles.shape, bool)
         alive = np.flatnonzero(seen.all(1))
-        self.words, self.items = self.words[alive], [self.items[i] for i in alive]
+        self.words, self.second, self.items = self.words[alive], self.second[alive], [self.items[i] for i in alive]
         shingles, number = self.shingles[alive], number[at[alive]] if len(known) else np.zeros((0, 1), np.int64)
         place = np.array([min(range(n.size), key=lambda j: (n[j], h[j])) for n, h in zip(number, shingles, strict=True)], np.int64)
         key = shingles[np.arange(len(place)), place] if len(place) else np.zeros(0, np.uint64)
@@ -75,8 +79,9 @@ class Windows:
         self.first = np.r_[self.first, len(order)]
         del self.shingles
 
-    def find(self, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start word and window of each occurrence; ``low`` and ``high`` bound the words of each word's text."""
+    def find(self, words: np.ndarray, low: np.ndarray, high: np.ndarray, second: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Start word and window of each occurrence; ``low`` and ``high`` bound the words of each word's text, ``second`` gives
+        the second hashes of words."""
         at, k = K.gram_hashes(words, self.k), self.key
         if not len(k) or not len(at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -94,6 +99,10 @@ class Windows:
         for i in range(self.length):
             same = words[start + i] == self.words[window, i]
             start, window = start[same], window[same]
+        if len(start):
+            used, at = np.unique(start[:, None] + np.arange(self.length), return_inverse=True)
+            same = (second(used)[at].reshape(len(start), -1) == self.second[window]).all(1)
+            start, window = start[same], window[same]
         return start, window
 
 
@@ -111,7 +120,7 @@ def _windows(items: list[tuple[int, str]], window: int) -> list[Windows]:
 def _tokens(s: K.Slice) -> tuple[np.ndarray, ...]:
     buf = K.LOWER[s.buf]
     starts, ends, doc = K.spans(s, K.ALNUM, buf)
-    return starts, ends, doc, K.span_hashes(K.prefix_hashes(buf), starts, ends), K.bounds(doc, s.n)
+    return starts, ends, doc, K.span_hashes(buf, starts, ends), K.bounds(doc, s.n), buf
 
 
 def _count(docs: DataFrame, text_col: str, windows: list[Windows]) -> dict[int, int]:
@@ -123,7 +132,7 @@ def _count(docs: DataFrame, text_col: str, windows: list[Windows]) -> dict[int,
         total = {k: np.zeros(len(v), np.int64) for k, v in shared.value.items()}
         for batch in batches:
             for s in K.slices(batch.column(0)):
-                _, _, doc, words, _ = _tokens(s)
+                _, _, doc, words, _, _ = _tokens(s)
                 for k, v in shared.value.items():
                     h = K.gram_hashes(words, k)
                     h = h[doc[: len(h)] == doc[k - 1 :][: len(h)]]
@@ -142,7 +151,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document row: the ``keep`` columns (the id by default), ``n_words``, ``n_hit``, ``hit_spans`` (byte offsets of
     the maximal runs of hit words in the UTF-8 text) and ``item_ids`` (sorted ids of items with an occurring window)."""
     spark = docs.sparkSession
-    keep = list(keep if keep is not None else [id_col])
+    keep = K.others(keep if keep is not None else [id_col], "n_words", "n_hit", "hit_spans", "item_ids")
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null and t != ''")
     item_kind = dict(items.dtypes)["i"]
     volume = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
@@ -150,6 +159,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     carried = [c for c in keep if c != text_col]
     kinds = dict(docs.dtypes)
     out = [*(f"`{c}` {kinds[c]}" for c in carried), f"`{text_col}` string", "n_words bigint", "n_hit bigint", "hit_spans array<struct<start: bigint, end: bigint>>", f"item_ids array<{item_kind}>"]
+    id_type = pa.list_(to_arrow_type(items.schema["i"].dataType))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     frame = docs.select(*carried, text_col)
     with_text = text_col in keep or blocks > 1
@@ -170,11 +180,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 texts = batch.column(len(carried))
                 for s in K.slices(texts):
                     here = batch.slice(s.first, s.n)
-                    starts, ends, doc, words, bound = _tokens(s)
+                    starts, ends, doc, words, bound, buf = _tokens(s)
                     low, high = bound[doc], bound[doc + 1]
                     cover, found = np.zeros(len(words) + 1, np.int64), [set() for _ in range(s.n)]
                     for w in windows:
-                        at, which = w.find(words, low, high)
+                        at, which = w.find(words, low, high, lambda x: K.span_hashes(buf, starts[x], ends[x], 1))
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + w.length, -1)
                         for d, x in set(zip(doc[at].tolist(), which.tolist(), strict=True)):
@@ -195,7 +205,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         spans[doc[a]].append({"start": int(starts[a] - s.offsets[doc[a]]), "end": int(ends[b] - s.offsets[doc[a]])})
                     n_hit = np.bincount(doc[on], minlength=s.n) if len(on) else np.zeros(s.n, np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [*(here.column(i) for i in range(len(carried))), here.column(len(carried)) if with_text else pa.nulls(s.n, pa.string()), pa.array(np.diff(bound)), pa.array(n_hit), pa.array(spans, span_type), pa.array(item_ids, pa.list_(pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()))],
+                        [*(here.column(i) for i in range(len(carried))), here.column(len(carried)) if with_text else pa.nulls(s.n, pa.string()), pa.array(np.diff(bound)), pa.array(n_hit), pa.array(spans, span_type), pa.array(item_ids, id_type)],
                         names=[*carried, text_col, "n_words", "n_hit", "hit_spans", "item_ids"],
                     )
 

@@ -13,12 +13,22 @@ from __future__ import annotations
 import numpy as np
 
 
+def radix_order(values: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers of 0 or more, digit by digit of 16 bits: for those numpy's stable sort is a counting sort."""
+    order = np.arange(len(values))
+    top = int(values.max(initial=0))
+    for shift in range(0, max(top.bit_length(), 1), 16):
+        digit = (values >> shift & 0xFFFF).astype(np.uint16)
+        order = order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of whole numbers of 0 or more; a shorter suffix comes before one that it begins."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
-    order = np.argsort(text, kind="stable")
+    order = radix_order(text)
     values = text[order]
     first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     size = np.diff(np.r_[first, n])
@@ -30,7 +40,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     last = [0] * n  # by first place: the group's last place
     for a, m in zip(first.tolist(), size.tolist(), strict=True):
         last[a] = a + m - 1
-    smaller, length = [-1] * n, [1] * n
+    smaller, length = [-2] * n, [1] * n  # -2: not known yet
     i = n - 1
     while i >= 0:
         s = sa[i]
@@ -53,28 +63,42 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
                     last[h] = e - 1
                     group[p] = last[e] = e
         else:
-            members = sorted(sa[begin : i + 1])
             grow = length[s]
             pointers: dict[int, int] = {}
-            for s in members:
-                p = s - 1
-                while p >= 0 and group[p] >= begin:
-                    p = smaller[p]
-                smaller[s] = p
-                if p >= 0:
-                    pointers[p] = pointers.get(p, 0) + 1
-            moved: dict[int, list[tuple[int, int]]] = {}
+            for s in sa[begin : i + 1]:
+                waiting = []  # members of the group before ``s`` that are not done yet
+                while smaller[s] == -2:
+                    waiting.append(s)
+                    p = s - 1
+                    while p >= 0 and group[p] > begin:
+                        p = smaller[p]
+                    if p < 0 or group[p] < begin:
+                        smaller[s] = p
+                    else:
+                        s = p
+                p = smaller[s]
+                for s in waiting:
+                    smaller[s] = p
+                    if p >= 0:
+                        pointers[p] = pointers.get(p, 0) + 1
+            # By the number of pointers, the most first: as many steps as there are pointers at most.
+            by_count: list[list[int]] = []
             for p, c in pointers.items():
                 length[p] += c * grow
-                h = group[p]
-                if h in moved:
-                    moved[h].append((c, p))
-                else:
-                    moved[h] = [(c, p)]
+                while len(by_count) <= c:
+                    by_count.append([])
+                by_count[c].append(p)
+            moved: dict[int, list[tuple[int, int]]] = {}
+            for c in range(len(by_count) - 1, 0, -1):
+                for p in by_count[c]:
+                    h = group[p]
+                    if h in moved:
+                        moved[h].append((c, p))
+                    else:
+                        moved[h] = [(c, p)]
             for h, those in moved.items():
                 if last[h] == h:
                     continue
-                those.sort(reverse=True)
                 e, at = last[h], 0
                 whole = len(those) == e - h + 1
                 while at < len(those):
@@ -97,8 +121,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
                 if not whole:
                     last[h] = e
         i = begin - 1
-    ends: list[int] = np.argsort(np.arange(n) + np.array(length), kind="stable").tolist()
-    stop = np.searchsorted(np.sort(np.arange(n) + np.array(length)), np.arange(n + 2)).tolist()
+    end = np.arange(n) + np.array(length)
+    ends: list[int] = radix_order(end).tolist()
+    stop = np.r_[0, np.cumsum(np.bincount(end, minlength=n + 2))].tolist()
     nxt = list(range(n))  # by first place: where the group's next suffix goes
     out = [0] * n
     for k in range(stop[n], stop[n + 1]):

@@ -7,7 +7,7 @@ byte ranges of the keyframes and of all samples, without decoding a payload.
 
 Edge cases: a null or empty text is one frame of zeros; boxes with 64-bit sizes and boxes that reach to the end
 of the file are read; ``probe`` gives nulls for a value that is null or no well-formed container; repeated rows
-and further columns are left alone.
+and further columns are left alone, but for those kept columns that are named as a new one, which give way.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strataforge.llm import textkit as K
+
 FRAME = 64
 FRAMES_PER_CHUNK = 16
 KEYFRAME_EVERY = 8
@@ -177,8 +179,8 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first, n_rows in K.row_groups(batch.column(1)):
+                part = batch.slice(first, n_rows)
                 made = [padded(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write_container(p) for _, p in made], pa.binary())], names=[id_col, "n_bytes", "media"])
 
@@ -193,6 +195,7 @@ def probe(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
 
     The media column itself is kept, so that a caller can hash or store it.
     """
+    keep = K.others(keep, media_col, "payload_bytes", "payload_sha256", "tail_crc32", "codec", "timescale", "duration", "n_samples", "keyframes")
     kinds = dict(media.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -212,8 +215,8 @@ def probe(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), ranges]
         names = [*keep, media_col, "payload_bytes", "payload_sha256", "tail_crc32", "codec", "timescale", "duration", "n_samples", "keyframes"]
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first, n_rows in K.row_groups(batch.column(len(keep))):
+                part = batch.slice(first, n_rows)
                 found = [one(x) for x in part.column(len(keep)).to_pylist()]
                 columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep) + 1)), *columns], names=names)

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a size-aware heavy-light set join, and the components of its links.
 
-A text's set is its distinct ``n``-word shingles as 64-bit hashes. All tokens have one global order, rare ones first,
-by counts from a sketch of fixed size (the order decides speed only). Sets that link share, among the first
+A text's set is its distinct ``n``-word shingles as 64-bit hashes; whether sets are equal and which shingles two sets share is
+decided by 128 bits of each. All tokens have one global order, rare ones first, by the smaller of two counts in a sketch of fixed
+size (the order decides speed only). Sets that link share, among the first
 s - t + k tokens of that order (s the set's size, t the least overlap a partner can have), at least k tokens. So
 
 * small sets enumerate the fixed-size subsets (pairs, k = 2) of that prefix, and meet where a subset is equal;
@@ -34,43 +35,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm import textkit as K
+from strataforge.llm.bloom import may_match
 from strataforge.llm.components import components
-from strataforge.llm.staging import drop, parts, small_batches, stage
+from strataforge.llm.staging import drop, lanes, parts, small_batches, stage
 
-SKETCH_BITS = 20
-FILTER_BITS = 24
+SKETCH_BITS, SKETCH_ROWS = 20, 2
 CHUNK = 4096
 SLICE_BYTES = 1 << 20
 PARITY_BYTES = 128
 LOCAL_LIST = 8
 LONG_LIST = 4096
+#: Signatures and members of open lists that one bucket, which is one task's, has on average at most.
+BUCKET_POSTS, BUCKET_MEMBERS = 4_000_000, 100_000
 
 
 def shingle_sets(s: K.Slice, n: int) -> list[np.ndarray]:
     """Each text's distinct shingles, sorted."""
-    return [x for piece in s.pieces() for x in _shingle_sets(piece, n)]
+    return [x for piece in s.pieces() for x, _ in _shingle_sets(piece, n, False)]
 
 
-def _shingle_sets(s: K.Slice, n: int) -> list[np.ndarray]:
+def wide_sets(s: K.Slice, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct shingles, and a second hash of each, of other words' hashes: together 128 bits."""
+    return [x for piece in s.pieces() for x in _shingle_sets(piece, n, True)]
+
+
+def _shingle_sets(s: K.Slice, n: int, wide: bool) -> list[tuple[np.ndarray, np.ndarray | None]]:
     buf = K.LOWER[s.buf]
     starts, ends, doc = K.spans(s, K.SPACED, buf)
-    words = K.span_hashes(K.prefix_hashes(buf), starts, ends)
+    words = [K.span_hashes(buf, starts, ends, seed) for seed in range(1 + wide)]
     edge = K.bounds(doc, s.n)
-    grams = K.gram_hashes(words, n)
+    grams = [K.gram_hashes(w, n) for w in words]
     out = []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
-        elif b > a:
-            out.append(K.gram_hashes(words[a:b], b - a))
+        both = [g[a : b - n + 1] for g in grams] if b - a >= n else [K.gram_hashes(w[a:b], b - a) if b > a else w[:0] for w in words]
+        if not wide:
+            out.append((np.unique(both[0]), None))
         else:
-            out.append(words[:0])
+            tokens, at = np.unique(both[0], return_index=True)
+            out.append((tokens, both[1][at]))
     return out
 
 
-def digest(tokens: np.ndarray) -> tuple[int, int]:
-    """Two sums over a set, equal for equal sets, as signed 64-bit numbers."""
-    return int(tokens.sum(dtype=np.uint64).view(np.int64)), int(K.mix(tokens + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).view(np.int64))
+def name_of(tokens: np.ndarray) -> int:
+    """A sum over a set, equal for equal sets, as a signed 64-bit number."""
+    return int(tokens.sum(dtype=np.uint64).view(np.int64))
 
 
 def _chunks(array: np.ndarray) -> pa.RecordBatch:
@@ -94,6 +102,13 @@ def _sum_chunks(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _places(tokens: np.ndarray) -> np.ndarray:
+    """Where the sketch counts a token: a place in each of its rows."""
+    high = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    low = (tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+    return np.stack([high, low + (1 << SKETCH_BITS)])
+
+
 def parity(tokens: np.ndarray) -> bytes:
     """One bit per place: whether an odd number of tokens falls on it. Two sets differ in as many tokens as bits at least."""
     count = np.bincount((tokens & np.uint64(8 * PARITY_BYTES - 1)).astype(np.int64), minlength=8 * PARITY_BYTES)
@@ -119,10 +134,13 @@ class Rule:
         return fits & (differ * (self.den + self.num) <= (self.den - self.num) * (n_a + n_b))
 
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
-        if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
+        """``a``, ``b``: tokens and their second hashes, in two rows."""
+        n_a, n_b = a.shape[1], b.shape[1]
+        if self.den * min(n_a, n_b) < self.num * max(n_a, n_b):
             return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return self.den * both >= self.num * (len(a) + len(b) - both)
+        _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+        both = int((a[1][i] == b[1][j]).sum())
+        return self.den * both >= self.num * (n_a + n_b - both)
 
 
 def boundary(sizes: dict[int, int], scan: float, rule: Rule) -> int:
@@ -144,6 +162,15 @@ def boundary(sizes: dict[int, int], scan: float, rule: Rule) -> int:
     return best
 
 
+def posted(sizes: dict[int, int], small: int, rule: Rule) -> int:
+    """How many signatures sets of these sizes have."""
+    out = 0
+    for n, number in sizes.items():
+        pair, one = (int(rule.prefix(np.int64(n), k)) for k in (2, 1))
+        out += number * ((pair * (pair - 1) // 2 if n <= small else 0) + (one if rule.den * n >= rule.num * (small + 1) else 0))
+    return out
+
+
 def list_length(sketch: np.ndarray, share: float) -> float:
     """The mean length of a list that a prefix looks into: over the rarest ``share`` of all tokens, less what tokens that fall
     on the same count by chance add, 1 at least."""
@@ -186,42 +213,46 @@ def _partners(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(pairs, 1), axis=0)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id (a whole number), ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """Per row: the id (a whole number), ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+
+    ``key_col``, a whole number that tells rows with one id apart, is handed on if it is named.
+    """
     with small_batches(docs.sparkSession):
-        return _jaccard_components(docs, n, num, den, id_col, text_col)
+        return _jaccard_components(docs, n, num, den, id_col, text_col, key_col)
 
 
-def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, key_col: str | None) -> DataFrame:
     spark = docs.sparkSession
     rule, buckets = Rule(num, den), parts(spark)
     least_size = next(s for s in range(1, 10_000) if den * s >= num * (s + 1))  # no smaller set links with a different one
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), text_col)
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"), (F.col(key_col) if key_col else F.lit(None)).cast("bigint").alias("k"))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.int64)
         for batch in batches:
             for s in K.slices(batch.column(1), SLICE_BYTES):
-                sets = shingle_sets(s, n)
-                at = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
-                sketch += np.bincount(at.astype(np.int64), minlength=len(sketch))
-                marks = [digest(x) for x in sets]
+                both = wide_sets(s, n)
+                sets = [x for x, _ in both]
+                sketch += np.bincount(_places(np.concatenate(sets)).reshape(-1), minlength=len(sketch))
+                marks = [(name_of(x), name_of(y)) for x, y in both]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.nulls(s.n, pa.int32()), pa.array([parity(x) if len(x) >= least_size else None for x in sets], pa.binary())],
-                    names=["id", "n", "d", "d2", "chunk", "v"],
+                    [batch.column(0).slice(s.first, s.n), batch.column(2).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.nulls(s.n, pa.int32()), pa.array([parity(x) if len(x) >= least_size else None for x in sets], pa.binary())],
+                    names=["id", "k", "n", "d", "d2", "chunk", "v"],
                 )
         rows = _chunks(sketch)
         none = pa.nulls(rows.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, *rows.columns], names=["id", "n", "d", "d2", "chunk", "v"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, *rows.columns], names=["id", "k", "n", "d", "d2", "chunk", "v"])
 
-    surveyed = stage(narrow.mapInArrow(survey, "id bigint, n bigint, d bigint, d2 bigint, chunk int, v binary"), "sets")
+    surveyed = stage(narrow.mapInArrow(survey, "id bigint, k bigint, n bigint, d bigint, d2 bigint, chunk int, v binary"), "sets")
     rows = surveyed.where("chunk is null")
-    members = rows.select("id", "n", "d", "d2")
-    sketch = _sum_chunks(surveyed.where("chunk is not null").select("chunk", "v"), 1 << SKETCH_BITS)
+    members = rows.select("id", "k", "n", "d", "d2")
+    sketch = _sum_chunks(surveyed.where("chunk is not null").select("chunk", "v"), SKETCH_ROWS << SKETCH_BITS)
     classes = stage(members.where(f"n >= {least_size} and id is not null").groupBy("d", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     sizes = {r["n"]: r["c"] for r in classes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    small = boundary(sizes, list_length(sketch, 1 - num / den), rule)
-    shared = spark.sparkContext.broadcast(sketch)
+    small = boundary(sizes, list_length(sketch[: 1 << SKETCH_BITS], 1 - num / den), rule)
+    buckets = max(buckets, -(-posted(sizes, small, rule) // BUCKET_POSTS))
+    shared, lane = spark.sparkContext.broadcast(sketch), lanes(spark, buckets)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,9 +260,9 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
                 sigs, owner = [], []
                 for x in shingle_sets(s, n):
                     if len(x) >= least_size:
-                        rank = shared.value[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                        rank = shared.value[_places(x)].min(0)
                         sigs.append(signatures(x, rank, small, rule))
-                        owner.append(np.full(len(sigs[-1]), digest(x)[0]))
+                        owner.append(np.full(len(sigs[-1]), name_of(x)))
                 if not sigs:
                     continue
                 sig, own = np.concatenate(sigs), np.concatenate(owner)
@@ -251,14 +282,14 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
                         edge = np.searchsorted(to[order], np.arange(buckets + 1))
                         some = np.flatnonzero(np.diff(edge))
                         cut = [[v[order][edge[k] : edge[k + 1]].tobytes() if v is not None else None for k in some] for v in (x, y, z)]
-                        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.binary()), *(pa.array(c, pa.binary()) for c in cut)], names=["bucket", "sigs", "tied", "owners", "others"])
+                        yield pa.RecordBatch.from_arrays([pa.array(lane[some]), pa.nulls(len(some), pa.binary()), *(pa.array(c, pa.binary()) for c in cut)], names=["bucket", "sigs", "tied", "owners", "others"])
                     sig, own = sig[~long | first], own[~long | first]
                 bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edge))
                 sent = [pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()) for x in (sig, own)]
                 none = pa.nulls(len(some), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), sent[0], none, sent[1], none], names=["bucket", "sigs", "tied", "owners", "others"])
+                yield pa.RecordBatch.from_arrays([pa.array(lane[some]), sent[0], none, sent[1], none], names=["bucket", "sigs", "tied", "owners", "others"])
 
     def meet(table: pa.Table) -> pa.Table:
         """Lists of two sets or more: their members, and each member's two partners of the first round."""
@@ -285,7 +316,7 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
         K.trim()
         return pa.table({"sig": pa.array(np.r_[lists[0], np.zeros(m, np.int64)], mask=np.r_[np.zeros(k, bool), np.ones(m, bool)]), "a": np.r_[lists[1], pairs[:, 0]], "b": np.r_[lists[1], pairs[:, 1]]})
 
-    met = stage(narrow.where("id is not null").select(text_col).mapInArrow(post, "bucket int, sigs binary, tied binary, owners binary, others binary").groupBy("bucket").applyInArrow(meet, "sig bigint, a bigint, b bigint"), "lists")
+    met = stage(narrow.where("id is not null").select("t").mapInArrow(post, "bucket int, sigs binary, tied binary, owners binary, others binary").groupBy("bucket").applyInArrow(meet, "sig bigint, a bigint, b bigint"), "lists")
     lists = met.where("sig is not null").select("sig", F.col("a").alias("d"))
     pairs = met.where("sig is null").select("a", "b").distinct()
 
@@ -305,52 +336,24 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
         two = one.join(marks.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb")), "b")
         return stage(two.select("a", "b", "na", "nb", "va", "vb").mapInArrow(differ, "a bigint, b bigint"), name + "-hopeful")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-        for batch in batches:
-            h = K.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
-            np.bitwise_or.at(bits, (h >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (h & np.uint64(63))).view(np.int64))
-        yield _chunks(bits)
-
-    def unite(table: pa.Table) -> pa.Table:
-        bits = np.zeros(CHUNK, np.int64)
-        for x in table.column("v").to_pylist():
-            bits |= np.frombuffer(x, np.int64 if len(x) == 8 * CHUNK else np.int32)
-        return pa.table({"chunk": table.column("chunk")[:1], "v": pa.array([bits.tobytes()], pa.binary())})
-
-    def sifted(wanted: DataFrame) -> DataFrame:
-        """Rows whose id may be wanted; a filter of fixed size keeps most other texts from the shuffle."""
-        bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-        for r in wanted.mapInArrow(mark, "chunk int, v binary").groupBy("chunk").applyInArrow(unite, "chunk int, v binary").collect():
-            bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["v"], np.int64)
-        allowed = spark.sparkContext.broadcast(bits)
-
-        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = K.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
-                on = allowed.value[(h >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (h & np.uint64(63)) & np.uint64(1)
-                yield batch.filter(pa.array(on.astype(bool)))
-
-        return narrow.where("id is not null").mapInArrow(sift, f"id bigint, `{text_col}` string")
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column(0), SLICE_BYTES):
-                sets = [x for x in shingle_sets(s, n) if len(x) >= least_size]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["d", "tokens"])
+                sets = [(x, y) for x, y in wide_sets(s, n) if len(x) >= least_size]
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x, _ in sets], pa.int64()), pa.array([x.tobytes() + y.tobytes() for x, y in sets], pa.binary())], names=["d", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                ok = [rule.links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                ok = [rule.links(np.frombuffer(x, np.uint64).reshape(2, -1), np.frombuffer(y, np.uint64).reshape(2, -1)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """``pairs``: staged. The sets of one document of each class are read again, then the overlap is counted."""
         ends = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
         wanted = stage(classes.join(ends, "d", "left_semi").select(F.col("rep").alias("id")), name + "-wanted")
-        sets = stage(sifted(wanted).join(wanted, "id", "left_semi").select(text_col).mapInArrow(gather, "d bigint, tokens binary"), name + "-tokens")
+        sets = stage(may_match(narrow.where("id is not null").select("id", "t"), wanted).join(wanted, "id", "left_semi").select("t").mapInArrow(gather, "d bigint, tokens binary"), name + "-tokens")
         one = pairs.join(sets.select(F.col("d").alias("a"), F.col("tokens").alias("ta")), "a")
         two = one.join(sets.select(F.col("d").alias("b"), F.col("tokens").alias("tb")), "b")
         out = stage(two.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint"), name + "-links")
@@ -377,18 +380,29 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
         K.trim()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (d, sig, c, n, v) with the parity bits as whole numbers."""
+        for batch in batches:
+            by = dict(zip(batch.schema.names, batch.columns, strict=True))
+            bits = np.frombuffer(b"".join(by["v"].to_pylist()), np.int64).reshape(-1, PARITY_BYTES // 8)
+            yield pa.RecordBatch.from_arrays([by["sig"], by["d"], by["c"], by["n"], *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], names=["sig", "d", "c", "n", *(f"v{i}" for i in range(PARITY_BYTES // 8))])
+
     first = linked(hopeful(pairs, "pairs"), "pairs")
     found = components(first)
     # Members of lists with more than one component, and their pairs across components.
     named = stage(lists.join(found.select(F.col("node").alias("d"), "component"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("c")), "named")
     mixed = stage(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("sig", "m"), "mixed")
     open_ = stage(named.join(mixed.where(F.col("m") <= LONG_LIST), "sig", "left_semi").join(marks, "d"), "open")
-    crossing = open_.groupBy(F.pmod(F.xxhash64("sig"), F.lit(buckets)).alias("bucket")).applyInArrow(cross, "a bigint, b bigint")
-    # Lists too long for one task: the pairs come from a join that Spark can split.
-    long = stage(named.join(mixed.where(F.col("m") > LONG_LIST), "sig", "left_semi"), "long")
-    left, right = long.select("sig", F.col("d").alias("a"), F.col("c").alias("ca")), long.select("sig", F.col("d").alias("b"), F.col("c").alias("cb"))
-    crossing_long = left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = linked(stage(crossing.unionByName(hopeful(crossing_long.distinct(), "crossing-long")).distinct(), "crossing"), "crossing")
+    groups = max(parts(spark), -(-open_.count() // BUCKET_MEMBERS))
+    crossing = open_.groupBy(F.pmod(F.xxhash64("sig"), F.lit(groups)).alias("bucket")).applyInArrow(cross, "a bigint, b bigint")
+    # Lists too long for one task: the pairs come from a join that Spark can split. Sizes and parity bits are looked at inside
+    # the join, so that only what can link is shuffled.
+    long = stage(named.join(mixed.where(F.col("m") > LONG_LIST), "sig", "left_semi").join(marks, "d").mapInArrow(opened, f"sig bigint, d bigint, c bigint, n bigint, {', '.join(f'v{i} bigint' for i in range(PARITY_BYTES // 8))}"), "long")
+    left, right = (long.select(*(F.col(c).alias(x + c) for c in long.columns)) for x in "lr")
+    differing = sum((F.bit_count(F.col(f"lv{i}").bitwiseXOR(F.col(f"rv{i}"))) for i in range(PARITY_BYTES // 8)), F.lit(0))
+    fits = (F.col("lc") < F.col("rc")) & (den * F.least("ln", "rn") >= num * F.greatest("ln", "rn")) & (differing * (den + num) <= (den - num) * (F.col("ln") + F.col("rn")))
+    crossing_long = left.join(right, (F.col("lsig") == F.col("rsig")) & fits).select(F.least("ld", "rd").alias("a"), F.greatest("ld", "rd").alias("b"))
+    second = linked(stage(crossing.unionByName(crossing_long).distinct(), "crossing"), "crossing")
     if second.limit(1).count():  # links between components of the first round: a graph of those components only
         ends = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         across = second.join(ends, F.col("a") == F.col("_n"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
@@ -403,6 +417,7 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     final = stage(by_class.join(lowest, "c").select("d", "d2", "n", "component_id"), "final")
     # Sets too small to link with a different one still are one with their copies.
     tiny = stage(members.where(f"n > 0 and n < {least_size} and id is not null").groupBy("d", "d2", "n").agg(F.min("id").alias("component_id")), "tiny")
-    joined = members.where("n > 0 and id is not null").join(final.unionByName(tiny), ["d", "d2", "n"], "left").select("id", "n", "component_id")
-    alone = members.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return joined.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    joined = members.where("n > 0 and id is not null").join(final.unionByName(tiny), ["d", "d2", "n"], "left").select("id", "k", "n", "component_id")
+    alone = members.where("n = 0 or id is null").select("id", "k", "n", F.col("id").alias("component_id"))
+    kept = [F.col("k").alias(key_col)] if key_col else []
+    return joined.unionByName(alone).select(F.col("id").alias(id_col), *kept, F.col("n").alias("n_shingles"), "component_id")

@@ -6,8 +6,8 @@ over residual gaps of the squared number of open sequences with that gap is smal
 keep a partner at hand for every later length, so few sequences end with a gap. A new sequence is opened only
 where no open one has room: with a count of gaps near 0 or 1 the plain rule opens 3 % more than it needs.
 
-Pieces are dealt at random to shards of about ``SHARD_PIECES``, each packed alone by one task with a
-few MB of state: a shard leaves a bounded number of sequences part-filled, so the share lost to shards
+Pieces are dealt at random (by their place in the staged table, so equal rows spread too) to shards of about ``SHARD_PIECES``,
+each packed alone by one task with a few MB of state: a shard leaves a bounded number of sequences part-filled, so the share lost to shards
 does not grow with the corpus. A shard takes its pieces by falling length.
 
 Edge cases: a null or empty text is the end id alone (one piece of length 1); repeated rows are packed as
@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.staging import stage
+from strataforge.llm.textkit import row_groups
 
 SEQUENCE = 2048
 SHARD_PIECES = 20_000
+OUT_BYTES = 1 << 25  # ids in one Arrow batch, whatever the texts' lengths
 
 #: White space of so many characters is taken out of the text before ``tiktoken``, whose regular expression fails on 600,000 to 1,000,000.
 LONG_SPACE = 10_000
@@ -105,22 +107,25 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+
+        def made(part: pa.RecordBatch, rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+            place, *rest = zip(*rows, strict=True)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place, pa.int64())), *map(pa.array, rest, kinds)], names=[id_col, "piece", "start", "length", "ids"])
+
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                rows, pieces, starts, lengths, ids = [], [], [], [], []
+            for first, n_rows in row_groups(batch.column(1)):
+                part, rows, held = batch.slice(first, n_rows), [], 0
                 for i, text in enumerate(part.column(1).to_pylist()):
                     packed = enc.encode_with_added(text or "") + end
                     for k, (at, n) in enumerate(cut(len(packed) // 4, size)):
-                        rows.append(i)
-                        pieces.append(k)
-                        starts.append(at)
-                        lengths.append(n)
-                        ids.append(packed[4 * at : 4 * (at + n)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
-                    names=[id_col, "piece", "start", "length", "ids"],
-                )
+                        rows.append((i, k, at, n, packed[4 * at : 4 * (at + n)]))
+                        held += 4 * n
+                        if held > OUT_BYTES:
+                            yield made(part, rows)
+                            rows, held = [], 0
+                if rows:
+                    yield made(part, rows)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -167,7 +172,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, length_col: str = "length", sh
     pieces = stage(pieces, "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
     names = pieces.columns
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(*names), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column(length_col).to_numpy().astype(np.int64)

@@ -35,13 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm import textkit as K
-from strataforge.llm.staging import parts, small_batches, stage
+from strataforge.llm.staging import lanes, parts, small_batches, stage
 
 ORDER = 5
 #: Bytes that UTF-8 never has, for the place before a text and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 255  # all bytes but BEFORE
 SLICE_BYTES = 1 << 23  # what travels is distinct by slice: large ones send less
+BUCKET_BYTES = 1 << 24  # of words and codes, so many in one bucket on average at most
 
 
 def gram_codes(s: K.Slice, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +267,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
     The model is that of the rows not held out, kept in parts, unless a ``trie`` in one process is given.
     """
     spark = docs.sparkSession
-    shared, buckets = trie and spark.sparkContext.broadcast(trie), parts(spark)
+    shared = trie and spark.sparkContext.broadcast(trie)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col, held_out.alias("h"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +284,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
                         grams.append(_counted(code, np.repeat(~held[rows][piece.first : piece.first + piece.n], np.diff(edge))))
                     buf = K.LOWER[piece.buf]
                     starts, ends, owner = K.spans(piece, K.SPACED, buf)
-                    h.append(K.span_hashes(K.prefix_hashes(buf), starts, ends))
+                    h.append(K.span_hashes(buf, starts, ends))
                     doc.append(owner + piece.first)
                 h, doc = np.concatenate(h), np.concatenate(doc)
                 n_words = np.bincount(doc, minlength=s.n)
@@ -314,6 +315,10 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
 
     with small_batches(spark):
         cuts = stage(narrow.mapInArrow(cut, _SLICE), "slices")
+    volume = cuts.agg(F.sum(F.octet_length("words") + 2 * F.octet_length("codes")).alias("v")).first()["v"] or 0
+    buckets = max(parts(spark), -(-volume // BUCKET_BYTES))
+    lane = lanes(spark, buckets)
+    place = {int(x): i for i, x in enumerate(lane)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +329,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edge))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), part)), pa.array([words[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()), pa.array([_narrow(counts[edge[b] : edge[b + 1]]).tobytes() for b in some], pa.binary())],
+                    [pa.array(lane[some]), pa.array(np.full(len(some), part)), pa.array([words[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()), pa.array([_narrow(counts[edge[b] : edge[b + 1]]).tobytes() for b in some], pa.binary())],
                     names=["bucket", "part", "words", "train"],
                 )
 
@@ -359,7 +364,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         n = row["n"]
-        back = sorted(zip(*(right.column(x).to_pylist() for x in ("kind", "bucket", "a", "b")), strict=True), key=lambda r: r[:2])
+        back = sorted(zip(*(right.column(x).to_pylist() for x in ("kind", "bucket", "a", "b")), strict=True), key=lambda r: (r[0], place[r[1]]))
         count = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(a, "<u8") for kind, _, a, _ in back if kind == WORDS)]).astype(np.float64)
         sizes = _wide(row["sizes"], len(count))
         doc, times = _wide(row["docs"], row["pairs"]), _wide(row["counts"], row["pairs"])
@@ -375,7 +380,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
     left = cuts.select("part", "n", "doc_id", "held_out", "n_tokens", "score", "pairs", "sizes", "docs", "counts", "text", "lengths")
     back = totals.select("part", F.lit(WORDS).alias("kind"), "bucket", F.col("c").alias("a"), F.lit(None).cast("binary").alias("b"))
     if not shared:
-        for values in _parted(cuts, buckets):
+        for values in _parted(cuts, lane):
             back = back.unionByName(values)
     done = left.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return done.withColumnRenamed("doc_id", id_col)
@@ -391,9 +396,9 @@ def _counted(code: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes, np.bincount(at, learned, minlength=len(codes)).astype(np.int64)
 
 
-def _parted(cuts: DataFrame, buckets: int) -> list[DataFrame]:
-    """The values of all codes of all slices as rows of ``_BACK``."""
-    spark = cuts.sparkSession
+def _parted(cuts: DataFrame, lane: np.ndarray) -> list[DataFrame]:
+    """The values of all codes of all slices as rows of ``_BACK``; ``lane``: a number for each bucket."""
+    spark, buckets = cuts.sparkSession, len(lane)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,7 +409,7 @@ def _parted(cuts: DataFrame, buckets: int) -> list[DataFrame]:
                 code, n = code[order], n[order]
                 some = np.flatnonzero(np.diff(edge))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), part)), pa.array([_planes(code[edge[b] : edge[b + 1]]) for b in some], pa.binary()), pa.array([_narrow(n[edge[b] : edge[b + 1]]).tobytes() for b in some], pa.binary())],
+                    [pa.array(lane[some]), pa.array(np.full(len(some), part)), pa.array([_planes(code[edge[b] : edge[b + 1]]) for b in some], pa.binary()), pa.array([_narrow(n[edge[b] : edge[b + 1]]).tobytes() for b in some], pa.binary())],
                     names=["bucket", "part", "codes", "n"],
                 )
 
@@ -455,7 +460,7 @@ def _parted(cuts: DataFrame, buckets: int) -> list[DataFrame]:
                 n = np.frombuffer(b, "<i8") if part is None else np.zeros(len(code), np.int64)
                 for i in range(0, len(code), 1 << 16):
                     at = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(np.full(len(code[at]), part or 0)), pa.array(code[at].view(np.int64)), pa.array(n[at])], names=["bucket", "part", "code", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lane[bucket[at]]), pa.array(np.full(len(code[at]), part or 0)), pa.array(code[at].view(np.int64)), pa.array(n[at])], names=["bucket", "part", "code", "n"])
 
     def escape(table: pa.Table) -> pa.Table:
         code, n, part = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy(), table.column("part").to_numpy()
@@ -474,7 +479,7 @@ def _parted(cuts: DataFrame, buckets: int) -> list[DataFrame]:
             out = [part[first], [code[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], [value[i:j].astype("<f4").tobytes() for i, j in zip(edge[:-1], edge[1:])]]
         rows = len(out[0])
         K.trim()
-        return pa.table([pa.array(out[0], pa.int64()), pa.array([UNSEEN] * rows, pa.int32()), pa.array([0] * rows, pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "kind", "bucket", "a", "b"])
+        return pa.table([pa.array(out[0], pa.int64()), pa.array([UNSEEN] * rows, pa.int32()), pa.array(np.full(rows, lane[0])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "kind", "bucket", "a", "b"])
 
     unseen = sums.select("part", F.when(F.col("part").isNull(), F.col("a")).alias("a"), "b").mapInArrow(again, "bucket int, part bigint, code bigint, n bigint").groupBy("bucket").applyInArrow(escape, _BACK)
     seen = sums.where("part is not null").withColumn("b", F.lit(None).cast("binary"))

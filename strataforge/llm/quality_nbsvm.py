@@ -4,13 +4,14 @@ Indicators are the presence of word 1- and 2-grams and of 1- to 4-grams of a tex
 space and each mark as classes, runs of small letters as one), hashed to ``DIMENSIONS``; a word that repeats its
 forerunner is one 2-gram whatever the word. Each indicator is scaled by the log ratio of its smoothed counts in the
 two classes; a linear model with squared hinge loss is fitted by dual coordinate descent and drawn towards its
-mean magnitude, as the method has it; Platt's sigmoid makes the margin a score.
+mean magnitude, as the method has it; Platt's sigmoid, fitted to rows that the weights were not, makes the margin a score.
 
-The fit takes at most ``TRAIN_ROWS`` labelled documents (their hashed indicators, not their texts, reach the
-driver). Scoring reads every whole text in one pass without a shuffle.
+The fit takes at most ``TRAIN_ROWS`` labelled documents, ``training.TRAIN_TEXT_BYTES`` of a text and
+``training.TRAIN_BYTES`` in all (their hashed indicators, not their texts, reach the driver). Scoring reads every whole text in one pass without a shuffle.
 
 Edge cases: null and empty texts have no indicators and score by the intercept; with one class only, or no labelled row,
-every score is the labels' mean or 0.5; repeated rows are scored one by one; further columns are not read.
+every score is the labels' mean or 0.5; repeated rows are scored one by one; further columns are not read, and one to be kept
+that is named ``score`` gives way.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataforge.llm import textkit as K
+from strataforge.llm.training import folds, gathered
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -56,7 +58,7 @@ def indicators(s: K.Slice) -> list[np.ndarray]:
     found = [_grams(shape, where, n, 1000 * n) for n in range(1, SHAPE_GRAMS + 1)]
     buf = K.LOWER[s.buf]
     starts, ends, doc = K.spans(s, K.SPACED, buf)
-    words = K.span_hashes(K.prefix_hashes(buf), starts, ends)
+    words = K.span_hashes(buf, starts, ends)
     found.append((words, doc))
     pair, pair_doc = _grams(words, doc, 2, 0)
     if len(words) > 1:
@@ -113,7 +115,7 @@ def fit_sigmoid(margin: np.ndarray, target: np.ndarray, steps: int = 30) -> tupl
 
 class Model:
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, blend: float = 0.25) -> None:
-        self.constant = None
+        self.constant, self.slope, self.shift = None, 1.0, 0.0
         if not 0 < labels.sum() < len(labels):
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return
@@ -126,8 +128,11 @@ class Model:
         w = fit_hinge(rows, ratio, np.where(labels == 1, 1.0, -1.0))
         mean = np.abs(w[:-1]).mean()
         self.weight, self.bias = ((1 - blend) * mean + blend * w[:-1]) * ratio, blend * w[-1]
-        self.slope, self.shift = 1.0, 0.0
-        self.slope, self.shift = fit_sigmoid(np.array([self.margin(r) for r in rows]), labels)
+
+    def calibrate(self, margin: np.ndarray, labels: np.ndarray) -> None:
+        """The sigmoid, from margins of rows that the weights were not fitted on."""
+        if self.constant is None and 0 < labels.sum() < len(labels):
+            self.slope, self.shift = fit_sigmoid(margin, labels)
 
     def margin(self, row: np.ndarray) -> float:
         return float(self.weight[row].sum() + self.bias)
@@ -139,7 +144,7 @@ class Model:
 
 
 def fit(sample: DataFrame) -> Model:
-    """``sample``: rows of ``labelled_sample``."""
+    """``sample``: rows of ``labelled_sample``. The sigmoid is fitted to a quarter's margins by a model of the other rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,14 +153,22 @@ def fit(sample: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(s.first, s.n).cast(pa.int32()), batch.column(2).slice(s.first, s.n).cast(pa.string()), pa.array([f.tobytes() for f in found], pa.binary())], names=["y", "k", "f"])
 
     id_col = sample.columns[0]
-    rows = sample.select("text", "_label", id_col).mapInArrow(run, "y int, k string, f binary").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
+    rows = sample.select("text", "_label", id_col).mapInArrow(run, "y int, k string, f binary")
+    rows = gathered(rows)
     features = [np.sort(np.frombuffer(x, np.int32)) for x in rows.column("f").to_pylist()]
-    return Model(features, rows.column("y").to_numpy().astype(np.int64))
+    labels = rows.column("y").to_numpy().astype(np.int64)
+    model = Model(features, labels)
+    fitted, rest = folds(len(labels))
+    trial = Model([features[i] for i in fitted], labels[fitted])
+    if trial.constant is None:
+        model.calibrate(np.array([trial.margin(features[i]) for i in rest]), labels[rest])
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The ``keep`` columns and ``score``, the probability-like value of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(K.others(keep, "score"))
     kinds = dict(docs.dtypes)
     extra = [c for c in keep if c != text_col]
 

@@ -152,17 +152,25 @@ def _rule_sql(what: int) -> str:
     return "CASE " + " ".join(out) + " END"
 
 
-def _strength_sql(level: str) -> str:
-    return f"(SELECT CASE WHEN scale <= 0 OR (kk - total * rate * rate - (groups - 1) * inside) <= 0 THEN 10000.0 ELSE least(10000.0, greatest(1.0, inside / ((kk - total * rate * rate - (groups - 1) * inside) / scale) - 1)) END FROM (SELECT total, rate, rate * (1 - rate) AS inside, count(*) AS groups, sum(k * k / n) AS kk, total - sum(n * n) / total AS scale FROM {level}, r GROUP BY total, rate))"
+def _strength_sql(level: str, parents: str) -> str:
+    by = f"SELECT count(*) AS g, sum(n) AS n, sum(k) AS k, sum(n * n) AS n2, sum(k * k / n) AS kk FROM {level} {f'GROUP BY {parents}' if parents else 'HAVING count(*) > 0'}"
+    sums = f"SELECT sum(kk - k * k / n - (g - 1) * (k / n) * (1 - k / n)) AS spread, sum(n - n2 / n) AS scale, sum(n * (k / n) * (1 - k / n)) / sum(n) AS inside FROM ({by})"
+    return f"(SELECT CASE WHEN inside IS NULL OR scale <= 1e-9 OR spread <= 1e-9 THEN 10000.0 ELSE least(10000.0, greatest(1.0, inside / (spread / scale) - 1)) END FROM ({sums}))"
+
+
+def _two_label_sql() -> str:
+    from strataforge.llm.url_reputation import TWO_LABEL_SUFFIXES
+
+    return ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
 
 _OP1_SQL = f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     names AS (SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS w FROM (SELECT DISTINCT host FROM p)),
-    sites AS (SELECT host, CASE WHEN array_to_string(w, '.') SIMILAR TO '[0-9.]+' THEN array_to_string(w, '.') ELSE array_to_string(w[-2:], '.') END AS domain, CASE WHEN array_to_string(w, '.') SIMILAR TO '[0-9.]+' THEN '' ELSE w[-1] END AS suffix FROM names),
+    sites AS (SELECT host, CASE WHEN array_to_string(w, '.') SIMILAR TO '[0-9.]+' THEN array_to_string(w, '.') WHEN array_to_string(w[-2:], '.') IN ({_two_label_sql()}) THEN array_to_string(w[-3:], '.') ELSE array_to_string(w[-2:], '.') END AS domain, CASE WHEN array_to_string(w, '.') SIMILAR TO '[0-9.]+' THEN '' WHEN array_to_string(w[-2:], '.') IN ({_two_label_sql()}) THEN array_to_string(w[-2:], '.') ELSE w[-1] END AS suffix FROM names),
     h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k FROM p JOIN labels ON doc_id = page_id JOIN sites USING (host) WHERE quality IS NOT NULL GROUP BY ALL),
     dm AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL), sx AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM dm GROUP BY ALL),
     r AS (SELECT coalesce(sum(n), 0) AS total, coalesce(sum(k) / sum(n), 0.5) AS rate FROM h),
-    c AS (SELECT rate, coalesce({_strength_sql("h")}, 10000.0) AS sh, coalesce({_strength_sql("dm")}, 10000.0) AS sd, coalesce({_strength_sql("sx")}, 10000.0) AS ss FROM r),
+    c AS (SELECT rate, coalesce({_strength_sql("h", "domain, suffix")}, 10000.0) AS sh, coalesce({_strength_sql("dm", "suffix")}, 10000.0) AS sd, coalesce({_strength_sql("sx", "")}, 10000.0) AS ss FROM r),
     ms AS (SELECT suffix, (k + ss * rate) / (n + ss) AS sm FROM sx, c), md AS (SELECT domain, (k + sd * sm) / (n + sd) AS dmean FROM dm JOIN ms USING (suffix), c),
     a AS (SELECT host, coalesce(k, 0) + sh * coalesce(dmean, sm, rate) AS alpha, coalesce(n, 0) + sh AS size FROM sites LEFT JOIN (SELECT host, n, k FROM h) USING (host) LEFT JOIN md USING (domain) LEFT JOIN ms USING (suffix), c),
     l AS (SELECT host, round(alpha / size, 6) AS score, round(greatest(0.0, alpha / size - 1.645 * sqrt(alpha / size * (1 - alpha / size) / (size + 1))), 6) AS lower FROM a)

@@ -8,19 +8,22 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of this machine only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; where the session names none, one of this machine, if all of it runs here."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strataforge-")
         sc.setCheckpointDir(found)
     return found
@@ -63,6 +66,37 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lanes(spark: SparkSession, buckets: int) -> np.ndarray:
+    """A number for each bucket, all different, such that Spark's hash partitioning by them gives each shuffle partition as many.
+
+    A few hundred bucket numbers hashed to as many partitions would leave some empty and give others five.
+    """
+    n = parts(spark)
+    each = -(-buckets // n)
+    found, held, begin = np.full((n, each), -1, np.int64), np.zeros(n, np.int64), 0
+    while (held < each).any():
+        number = np.arange(begin, begin + 4 * n * each + 64)
+        to = _spark_hash(number) % n
+        order = np.argsort(to, kind="stable")
+        first = np.searchsorted(to[order], np.arange(n + 1))
+        for p in np.flatnonzero(held < each):
+            some = number[order[first[p] : first[p + 1]]][: each - held[p]]
+            found[p, held[p] : held[p] + len(some)] = some
+            held[p] += len(some)
+        begin = int(number[-1]) + 1
+    return found.T.reshape(-1)[:buckets].astype(np.int32)
+
+
+def _spark_hash(number: np.ndarray) -> np.ndarray:
+    """Spark's hash of an int, the 32-bit Murmur3 of one block with seed 42, as a signed number."""
+    turn = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    k = turn(number.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While staged passes run, Arrow batches of whole texts hold at most ``rows`` of them; the session's setting is put back after."""

@@ -7,17 +7,22 @@ windows have equal anchors at equal places, and most windows in a row share one.
 2. The anchors of all other texts meet in buckets by their hash; those of one text only are done with. An anchor that
    occurs in several texts of one slice of the input meets the other slices as one entry.
 3. Texts that have a shared anchor are read again. Each such anchor brings what its windows cover, up to ``length`` bytes
-   from the anchor on and what is left of it; equal ones of a slice are one entry with the smallest id.
-4. In a bucket the strings from the anchors on are put in order by a suffix array, which is built by linear grouping over
-   letters of up to ``ANCHOR`` bytes. Windows that reach k bytes beyond their anchor and agree there stand side by side with common
-   prefixes of k bytes or more; among these, equal left parts are equal windows, and the smallest id keeps them.
+   from the anchor on and what is left of it; equal ones of a slice are one entry with the smallest id. Anchors that ``HOT`` slices
+   or more have bring each of their windows as an entry of its own, under a key of all its bytes: what surrounds a hot passage
+   differs from text to text, and this spreads it over all buckets, while the passage itself is one entry a slice.
+4. In a bucket two suffix arrays are built by linear grouping: of the strings from the anchors on, and of the strings before
+   the anchors, read backwards. Letters are runs of ``LETTER`` bytes as numbers; what all entries of an anchor share is left
+   out. Neighbours' common prefixes, counted in bytes, give the windows that reach k bytes beyond their anchor and agree
+   there, and those that reach o bytes before it and agree there; entries that do both have that window in common, and the
+   smallest id keeps it. No hash takes part in this.
 5. Each slice learns, for its entries, the smallest id and which windows a smaller id has, and cuts its texts.
 
 What grows with a hot passage is one entry per slice and anchor, not per text.
 
 Edge cases: a null or empty text has no bytes and loses none; a text shorter than ``length`` never loses any; equal texts with
 the same id keep all; rows with a null id are left as they are and delete nothing; an empty table gives an empty
-table; further columns are not read.
+table; further columns are not read. Long texts are gone through in chunks; a text is held whole by one task, with
+``length`` + 30 bytes for every shared anchor, one in about 15 bytes of what is shared.
 """
 
 from __future__ import annotations
@@ -32,15 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm import textkit as K
-from strataforge.llm.bloom import may_match
+from strataforge.llm.bloom import filter_of, holds, may_match
 from strataforge.llm.gsaca import suffix_array
-from strataforge.llm.staging import drop, parts, small_batches, stage
+from strataforge.llm.staging import drop, lanes, parts, small_batches, stage
 
 ANCHOR = 20
-BLOCK = 10
+#: Bytes in a letter of the suffix arrays, the most that keeps a letter a whole number of 63 bits.
+LETTER = 7
 SLICE_BYTES = 1 << 21
+#: Of a longer text so many bytes are gone through at once.
+CHUNK = 1 << 22
 SORTED_AT_ONCE = 5_000
-_PLACE_BITS = np.uint64(28)
+#: Text in one bucket on average at most; what is shared of it is about five times as much there.
+BUCKET_BYTES = 1 << 23
+#: An anchor in so many slices has its windows dealt one by one.
+HOT = 4096
+_PLACE_BITS = np.uint64(24)
 
 
 def _ident(sha: str) -> int:
@@ -60,42 +72,49 @@ class Anchors:
     """The anchors of a slice: place, hash, text, and the first and last window that each stands for."""
 
     def __init__(self, s: K.Slice, length: int) -> None:
-        n = len(s.buf)
-        self.at = self.first = self.last = self.doc = np.zeros(0, np.int64)
-        self.hash = np.zeros(0, np.uint64)
-        if n < length:
-            return
-        prefix = K.prefix_hashes(s.buf)
-        start = np.arange(n - ANCHOR + 1)
-        h = K.span_hashes(prefix, start, start + ANCHOR)
-        low = _window_min((h >> _PLACE_BITS << _PLACE_BITS) | start.astype(np.uint64), length - ANCHOR + 1)
-        doc = np.repeat(np.arange(s.n), np.diff(s.offsets))
-        ok = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
+        found = [self._chunk(s, a, min(a + CHUNK, len(s.buf) - length + 1), length) for a in range(0, len(s.buf) - length + 1, CHUNK)]
+        none = np.zeros(0, np.int64)
+        self.at, self.first, self.last, self.hash, self.doc = (np.concatenate([f[i] for f in found]) if found else none.astype(kind) for i, kind in enumerate((np.int64, np.int64, np.int64, np.uint64, np.int64)))
+
+    @staticmethod
+    def _chunk(s: K.Slice, a: int, b: int, length: int) -> tuple[np.ndarray, ...]:
+        """Of the windows that start at ``a`` and before ``b``; a run of windows ends with the chunk."""
+        buf = s.buf[a : b + length - 1]
+        eight = K.loads(buf)
+        n = len(buf) - ANCHOR + 1
+        h = K.mix(eight[:n] * K._GRAM[0] + eight[8 : n + 8] * K._GRAM[1] + (eight[16 : n + 16] & np.uint64(0xFFFFFFFF)) * K._GRAM[2])
+        low = _window_min((h >> _PLACE_BITS << _PLACE_BITS) | np.arange(n, dtype=np.uint64), length - ANCHOR + 1)
+        cut = s.offsets[1:-1]
+        cut = cut[(cut > a) & (cut < b + length - 1)] - a
+        over = np.zeros(len(low) + 1, np.int64)  # windows that run into the next text
+        np.add.at(over, np.clip(cut - length + 1, 0, len(low)), 1)
+        np.add.at(over, np.clip(cut, 0, len(low)), -1)
+        ok = np.flatnonzero(np.cumsum(over[:-1]) == 0)
         if not len(ok):
-            return
+            return (ok, ok, ok, h[:0], ok)
         at = (low[ok] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
         new = np.r_[True, (at[1:] != at[:-1]) | (ok[1:] != ok[:-1] + 1)]
         head = np.flatnonzero(new)
-        self.at, self.first, self.last = at[head], ok[head], ok[np.r_[head[1:] - 1, len(ok) - 1]]
-        self.hash, self.doc = h[self.at], doc[self.at]
+        at, first, last = at[head], ok[head], ok[np.r_[head[1:] - 1, len(ok) - 1]]
+        return at + a, first + a, last + a, h[at], np.searchsorted(s.offsets, at + a, side="right") - 1
 
     def keys(self, buckets: int) -> np.ndarray:
-        """Bucket and 32 more bits of the hash, as one number."""
-        bucket = (self.hash >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        return ((bucket << np.uint64(32)) | (self.hash >> np.uint64(4) & np.uint64(0xFFFFFFFF))).view(np.int64)
+        return _keys(self.hash, buckets)
+
+
+def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 more bits of hashes, as one number."""
+    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return ((bucket << np.uint64(32)) | (h >> np.uint64(4) & np.uint64(0xFFFFFFFF))).view(np.int64)
 
 
 def windows_of(anchor_hash: np.ndarray, body: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For entries (rows of ``body``: ``length - ANCHOR`` bytes before the anchor, ``length`` from it on; windows start ``low`` to
     ``high`` bytes before the anchor): the smallest owner of an equal entry, and the windows, as bits, that a smaller owner than that has."""
-    lead = length - ANCHOR
     code = np.concatenate([body, low[:, None], high[:, None]], 1)
-    weight = K.mix(np.arange(1, code.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    row = np.zeros(len(code), np.uint64)
-    for j in range(code.shape[1]):
-        row += K._BYTE_CODE[code[:, j]] * weight[j]
+    row = _row_hash(code)
     order = np.lexsort((owner, row))
-    new = np.r_[True, row[order][1:] != row[order][:-1]] if len(order) else np.zeros(0, bool)
+    new = _new_rows(row, code, order)
     one, back = order[new], np.empty(len(order), np.int64)
     back[order] = np.cumsum(new) - 1
     least, mask = owner[one], np.zeros(len(one), np.uint64)
@@ -108,43 +127,89 @@ def windows_of(anchor_hash: np.ndarray, body: np.ndarray, low: np.ndarray, high:
     for end, after in zip(edge[1:], np.r_[edge[2:], np.iinfo(np.int64).max], strict=False):
         if after - begin > SORTED_AT_ONCE:
             part = open_[begin:end]
-            mask[part] = _smaller(body[one[part]], low[one[part]], high[one[part]], least[part], length)
+            mask[part] = _smaller(body[one[part]], at[part], low[one[part]], high[one[part]], least[part], length)
             begin = end
     return least[back], mask[back]
 
 
-def _smaller(body: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+def _row_hash(code: np.ndarray) -> np.ndarray:
+    weight = K.mix(np.arange(1, code.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    row = np.zeros(len(code), np.uint64)
+    for j in range(code.shape[1]):
+        row += K._BYTE_CODE[code[:, j]] * weight[j]
+    return K.mix(row)
+
+
+def _new_rows(row: np.ndarray, code: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where, in ``order``, a row other than the one before it begins. Hashes only bring equal rows together; bytes decide."""
+    if not len(order):
+        return np.zeros(0, bool)
+    new = np.r_[True, row[order][1:] != row[order][:-1]]
+    same = np.flatnonzero(~new)
+    new[same] = (code[order[same]] != code[order[same - 1]]).any(1)
+    return new
+
+
+def _ranked(rows: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings of equal length within their anchors, and the bytes that each shares with the next in that order (-1 at
+    the end of an anchor). ``anchor``: numbers in order, one anchor's rows in a row.
+
+    The suffix array is that of all strings one after the other, each led by its anchor's number, without the bytes at the front on
+    which all of an anchor agree and the zeros at their ends; of two strings the first letter in which they differ is enough.
+    """
+    n, width = rows.shape
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    size = np.diff(np.r_[first, n])
+    head = np.repeat(first, size)
+    differ = rows != rows[head]
+    shared = np.where(differ.any(1), differ.argmax(1), width)
+    front = np.minimum.reduceat(shared, first)  # what all of an anchor agree on
+    used = rows[:, ::-1] != 0
+    back = np.maximum.reduceat(np.where(used.any(1), width - used.argmax(1), 0), first)
+    rest = np.clip(back - front, 0, np.where(size == 2, 1, width))
+    letters = -(-rest // LETTER)
+    front, letters = np.repeat(front, size), np.repeat(letters, size)
+    place = np.r_[0, np.cumsum(letters + 1)]
+    text = np.empty(place[-1], np.int64)
+    text[place[:-1]] = np.repeat(np.arange(len(first)), size)
+    wide = np.zeros((n, width + LETTER), np.uint8)
+    wide[:, :width] = rows
+    for j in range(int(letters.max(initial=0))):
+        some = np.flatnonzero(letters > j)
+        value = np.zeros(len(some), np.int64)
+        for i in range(LETTER):
+            value = (value << 8) | wide[some, np.minimum(front[some] + j * LETTER + i, width)]
+        text[place[some] + 1 + j] = value + len(first)  # all letters are greater than an anchor's number
+    starts = np.zeros(len(text), bool)
+    starts[place[:-1]] = True
+    found = suffix_array(text)
+    ranked = np.searchsorted(place, found[starts[found]])
+    left, right = rows[ranked[:-1]], rows[ranked[1:]]
+    differ = left != right
+    common = np.where(differ.any(1), differ.argmax(1), width)
+    return ranked, np.where(anchor[ranked[1:]] == anchor[ranked[:-1]], common, -1)
+
+
+def _smaller(body: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """The windows, as bits, of each distinct entry that an entry with a smaller owner has too."""
     lead = length - ANCHOR
-    right = np.ascontiguousarray(body[:, lead:])
-    letters, base = [], 1
-    for a in (0, *range(ANCHOR, length, BLOCK)):
-        b = ANCHOR if a == 0 else min(a + BLOCK, length)
-        _, letter = np.unique(np.ascontiguousarray(right[:, a:b]).view(f"V{b - a}").reshape(-1), return_inverse=True)
-        letters.append(letter + base)
-        base += int(letter.max()) + 1
-    letters.append(np.zeros(len(body), np.int64))  # the end of each string is the least letter
-    found = suffix_array(np.stack(letters, 1).reshape(-1))
-    ranked = found[found % len(letters) == 0] // len(letters)
-    differ = right[ranked][1:] != right[ranked][:-1]
-    common = np.where(differ.any(1), differ.argmax(1), length)
-    who, lo, hi, left = owner[ranked], low[ranked], high[ranked], body[ranked, :lead]
-    left_hash, bits = np.zeros(len(ranked), np.uint64), np.zeros(len(ranked), np.uint64)
+    sides = [_ranked(np.ascontiguousarray(x), anchor) for x in (body[:, lead:], body[:, lead - 1 :: -1] if lead else body[:, :0])]
+    bits = np.zeros(len(body), np.uint64)
+    run = [np.zeros(len(body), np.int64) for _ in sides]
     for o in range(lead + 1):
-        if o:
-            left_hash = left_hash * np.uint64(0xD6E8FEB86659FD93) + K._BYTE_CODE[left[:, lead - o]]
-        here = np.flatnonzero((lo <= o) & (o <= hi))
+        here = np.flatnonzero((low <= o) & (o <= high))
         if len(here) < 2:
             continue
-        run = np.r_[0, np.cumsum(common < length - o)][here]
-        sort = np.lexsort((who[here], left_hash[here], run))
-        r, x, w = run[sort], left_hash[here][sort], who[here][sort]
-        head = np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])]
-        smallest = w[head][np.cumsum(head) - 1]
+        for k, (side, reach) in enumerate(zip(sides, (length - o, o), strict=True)):
+            ranked, common = side
+            run[k][ranked] = np.r_[0, np.cumsum(common < reach)]
+        group = run[0][here] * len(body) + run[1][here]
+        sort = np.lexsort((owner[here], group))
+        g, w = group[sort], owner[here][sort]
+        first = np.r_[True, g[1:] != g[:-1]]
+        smallest = w[first][np.cumsum(first) - 1]
         bits[here[sort[smallest < w]]] |= np.uint64(1) << np.uint64(o)
-    out = np.zeros(len(body), np.uint64)
-    out[ranked] = bits
-    return out
+    return bits
 
 
 _POSTED = "bucket int, ident bigint, keys binary, who binary, idents binary"
@@ -152,7 +217,7 @@ _CUT = "part bigint, n int, ids binary, idents binary, sizes binary, text binary
 
 
 def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id (a whole number), ``n_bytes``, ``n_removed``, ``removed`` (byte spans, maximal runs) and ``kept_sha256``."""
+    """Per row: the id (a whole number), ``n_bytes``, ``n_removed``, ``removed`` (byte spans, maximal runs), ``kept_sha256`` and ``sha256`` (of the whole text)."""
     with small_batches(docs.sparkSession):
         return _find_repeats(docs, length, id_col, text_col)
 
@@ -161,11 +226,16 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
     if not ANCHOR < length <= ANCHOR + 60:
         raise ValueError(f"length must be over {ANCHOR} and at most {ANCHOR + 60}")
     spark = docs.sparkSession
-    buckets, lead = 2 * parts(spark), length - ANCHOR
+    lead = length - ANCHOR
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     sha = F.sha2("t", 256)
     rows = stage(narrow.select("id", F.octet_length("t").cast("bigint").alias("n"), sha.alias("sha"), F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint").alias("ident")), "digests")
-    firsts = stage(rows.where(f"n >= {length} and id is not null").groupBy("ident").agg(F.min("id").alias("first")), "firsts")
+    # Equal texts, by the whole digest; ``ident`` is a short name of them.
+    firsts = stage(rows.where(f"n >= {length} and id is not null").groupBy("sha").agg(F.min("id").alias("first"), F.first("ident").alias("ident")), "firsts")
+    volume = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    buckets = max(2 * parts(spark), -(-volume // BUCKET_BYTES))
+    lane = lanes(spark, buckets)
+    place = {int(x): i for i, x in enumerate(lane)}
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +261,7 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
                     edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1], True])
                     of = distinct[w[edge[:-1]]]
                     none = pa.nulls(len(of), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array((of % buckets).astype(np.int32)), pa.array(of), pa.array([k[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), none, none], names=["bucket", "ident", "keys", "who", "idents"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lane[of % buckets]), pa.array(of), pa.array([k[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), none, none], names=["bucket", "ident", "keys", "who", "idents"])
                 key, who = key[~several | first], np.where(several, len(distinct), who)[~several | first]
                 edge = np.searchsorted(key >> 32, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edge))
@@ -201,13 +271,14 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
                     used, at = np.unique(w, return_inverse=True)
                     table = np.r_[distinct, -1][used]
                     sent.append(((key[edge[b] : edge[b + 1]] & 0xFFFFFFFF).astype("<u4").tobytes(), at.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(), table.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.int64()), *(pa.array([x[i] for x in sent], pa.binary()) for i in range(3))], names=["bucket", "ident", "keys", "who", "idents"])
+                yield pa.RecordBatch.from_arrays([pa.array(lane[some]), pa.nulls(len(some), pa.int64()), *(pa.array([x[i] for x in sent], pa.binary()) for i in range(3))], names=["bucket", "ident", "keys", "who", "idents"])
 
     def meet(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
+        bucket, none = place[table.column("bucket")[0].as_py()], np.zeros(0, np.int64)
         found = table.to_pylist()
         idents, keys = [r["ident"] for r in found if r["ident"] is not None], [r["keys"] for r in found if r["ident"] is not None]
         plain = [r for r in found if r["ident"] is None]
+        hot = none
         if plain:
             rest = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in plain]).astype(np.int64)
             who = np.concatenate([np.frombuffer(r["idents"], np.int64)[np.frombuffer(r["who"], "<u2" if 2 * len(r["keys"]) == 4 * len(r["who"]) else "<u4")] for r in plain])
@@ -217,6 +288,7 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
             at = np.flatnonzero(first)
             end = np.r_[at[1:], len(rest)] - 1
             shared = np.repeat((who[at] == -1) | (who[at] != who[end]), end - at + 1) & (who != -1)
+            hot = rest[at[end - at + 1 >= HOT]]
             rest, who = rest[shared], who[shared]
             order = np.argsort(who, kind="stable")
             rest, who = rest[order] | (bucket << 32), who[order]
@@ -224,11 +296,23 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 idents.append(int(who[a]))
                 keys.append(rest[a:b].tobytes())
+        if len(hot):
+            idents.append(-1 - bucket)
+            keys.append((hot | (bucket << 32)).tobytes())
         K.trim()
         return pa.table({"ident": pa.array(idents, pa.int64()), "keys": pa.array(keys, pa.binary())})
 
     met = narrow.where(f"id is not null and octet_length(t) >= {length}").select("t").mapInArrow(post, _POSTED).groupBy("bucket").applyInArrow(meet, "ident bigint, keys binary")
-    wanted = stage(met.groupBy("ident").agg(F.collect_list("keys").alias("keys")).join(firsts, "ident").select(F.col("first").alias("id"), "ident", "keys"), "wanted")
+    found = stage(met.groupBy("ident").agg(F.collect_list("keys").alias("keys")).join(firsts.select("ident", "first"), "ident", "left").select(F.col("first").alias("id"), "ident", "keys"), "wanted")
+    wanted = found.where("id is not null")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(some), np.int64))], names=["key"])
+
+    # A filter of fixed size: keys that it takes for hot ones are treated as hot everywhere.
+    hot_keys = spark.sparkContext.broadcast(filter_of(found.where("ident < 0").select("keys").mapInArrow(listed, "key bigint")))
     again = may_match(narrow.where(f"id is not null and octet_length(t) >= {length}"), wanted.select("id")).join(wanted, "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,19 +331,29 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
                             keep[edge[i] : edge[i + 1]] = np.isin(key[edge[i] : edge[i + 1]], np.frombuffer(b"".join(shared[a + i]), np.int64))
                     got.append((key[keep], a + x.doc[keep], base + x.at[keep], (x.at - x.last)[keep], (x.at - x.first)[keep], x.hash[keep]))
                 key, doc, at, low, high, h = (np.concatenate([g[i] for g in got]) for i in range(6))
+                hot = holds(hot_keys.value, key)
+                if hot.any():
+                    times = np.where(hot, high - low + 1, 1)
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    hot = np.repeat(hot, times)
+                    key, doc, at, low, high, h = (np.repeat(x, times) for x in (key, doc, at, low, high, h))
+                    low = low + np.where(hot, nth, 0)
+                    high = np.where(hot, low, high)
                 offset = np.arange(-lead, length, dtype=np.int32)
                 body = np.zeros((len(at), lead + length), np.uint8)
                 for a in range(0, len(at), 16384):
                     rows = slice(a, a + 16384)
-                    body[rows] = s.buf[np.clip(at[rows, None].astype(np.int32) + offset, 0, len(s.buf) - 1)]
+                    body[rows] = s.buf[np.clip(at[rows, None] + offset, 0, len(s.buf) - 1)]
                     body[rows][(offset < -high[rows, None]) | (offset >= length - low[rows, None])] = 0
                 low8, high8, owner = low.astype(np.uint8), high.astype(np.uint8), ids[doc] if len(doc) else doc
-                row = np.zeros(len(at), np.uint64)
-                for j in range(body.shape[1]):
-                    row += K._BYTE_CODE[body[:, j]] * K._GRAM[j % 64] * np.uint64(2 * j + 1)
-                row = K.mix(row + low.astype(np.uint64) * K._GRAM[1] + high.astype(np.uint64) * K._GRAM[2])
+                code = np.concatenate([body, low8[:, None], high8[:, None]], 1)
+                row = _row_hash(code)
+                if hot.any():
+                    h, key = np.where(hot, row, h), np.where(hot, _keys(row, buckets), key)
                 order = np.lexsort((owner, row, key >> 32))
-                new = np.r_[True, (row[order][1:] != row[order][:-1]) | (key[order][1:] >> 32 != key[order][:-1] >> 32)] if len(order) else np.zeros(0, bool)
+                new = _new_rows(row, code, order)
+                new[1:] |= key[order][1:] >> 32 != key[order][:-1] >> 32
+                del code
                 one, entry = order[new], np.empty(len(order), np.int64)
                 entry[order] = np.cumsum(new) - 1
                 texts = np.flatnonzero(mine)
@@ -281,7 +375,7 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
                 edge = np.searchsorted(np.frombuffer(r["keys"], np.int64) >> 32, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edge))
                 columns = [pa.array([r[c][edge[b] * w : edge[b + 1] * w] for b in some], pa.binary()) for c, w in width.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), r["part"], np.int64)), *columns], names=["bucket", "part", *width])
+                yield pa.RecordBatch.from_arrays([pa.array(lane[some]), pa.array(np.full(len(some), r["part"], np.int64)), *columns], names=["bucket", "part", *width])
 
     def settle(table: pa.Table) -> pa.Table:
         join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
@@ -300,7 +394,7 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
         ids, idents, sizes = (np.frombuffer(r[c], np.int64) for c in ("ids", "idents", "sizes"))
         doc, at, entry = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("doc", "at", "entry"))
         low, high = np.frombuffer(r["low"], np.uint8), np.frombuffer(r["high"], np.uint8)
-        back = sorted(right.select(["bucket", "least", "mask"]).to_pylist(), key=lambda x: x["bucket"])
+        back = sorted(right.select(["bucket", "least", "mask"]).to_pylist(), key=lambda x: place[x["bucket"]])
         least = np.concatenate([np.frombuffer(x["least"], np.int64) for x in back]) if back else np.zeros(0, np.int64)
         mask = np.concatenate([np.frombuffer(x["mask"], np.uint64) for x in back]) if back else np.zeros(0, np.uint64)
         begin = np.r_[0, np.cumsum(sizes)]
@@ -324,10 +418,10 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
     left = cuts.select("part", "ids", "idents", "sizes", "text", "doc", "at", "low", "high", "entry").groupBy("part")
     spans = "array<struct<start: bigint, end: bigint>>"
     done = stage(left.cogroup(settled.groupBy("part")).applyInArrow(finish, f"id bigint, ident bigint, n_removed bigint, removed {spans}, kept string").where("n_removed > 0").dropDuplicates(["id", "ident"]), "repeats")
-    for used in (cuts, settled, wanted):
+    for used in (cuts, settled, found):
         drop(used)
     # Whole copies, by a join of digests only; hot digests are split, as both sides are staged tables.
-    told = stage(rows.join(firsts, "ident", "left").select("id", "n", "sha", "ident", (F.col("first") < F.col("id")).alias("copy")), "told")
+    told = stage(rows.join(firsts.select("sha", "first"), "sha", "left").select("id", "n", "sha", "ident", (F.col("first") < F.col("id")).alias("copy")), "told")
     joined = told.join(done, ["id", "ident"], "left")
     copy = F.coalesce("copy", F.lit(False)) & (F.col("n") >= length)
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end")))
@@ -338,5 +432,6 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
         F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0).cast("bigint"))).alias("n_removed"),
         F.when(copy, whole).otherwise(F.coalesce("removed", F.array().cast(spans))).alias("removed"),
         F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.col("sha").alias("sha256"),
     )
 

@@ -6,18 +6,22 @@ memory stays bounded however many rows an Arrow batch has; a single longer text
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _GRAM = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(64)]
+#: Of a little-endian 8-byte number, its first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer spans are hashed one by one with BLAKE2.
+LONG_SPAN = 256
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,22 +47,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = -(-n // (1 << 18)) * (1 << 18)
-            with np.errstate(over="ignore"):
-                self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
-                self.down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, _BASE_INV, np.uint64)])
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def _trimmer():
     import ctypes
 
@@ -117,6 +105,25 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
     trim()
 
 
+def row_groups(column: pa.Array, rows: int = 256, limit: int = 1 << 24) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of runs that hold about ``limit`` bytes at most; a longer value is a run of its own."""
+    size = np.array([x or 0 for x in pc.binary_length(column).to_pylist()], np.int64)
+    first, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > first and (held + n > limit or i - first == rows):
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if len(size):
+        yield first, len(size) - first
+
+
+def others(keep, *made: str) -> list[str]:
+    """Of the columns to keep, those whose names, whatever their case, are not those of new columns."""
+    taken = {m.lower() for m in made}
+    return [c for c in keep if c.lower() not in taken]
+
+
 def spans(s: Slice, table: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the place in ``s`` of each word's text."""
     inside = np.zeros(len(buf) + 2, bool)
@@ -132,17 +139,30 @@ def spans(s: Slice, table: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends, np.searchsorted(s.offsets, starts, side="right") - 1
 
 
-def prefix_hashes(buf: np.ndarray) -> np.ndarray:
-    up, _ = _POWERS.get(len(buf) + 1)
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[buf] * up[: len(buf)], out=out[1:])
-    return out
-
-
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever they stand."""
-    _, down = _POWERS.get(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def loads(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a little-endian number, zeros behind the end."""
+    held = np.zeros(len(buf) + 8, np.uint8)
+    held[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", held.data, strides=(1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same wherever they stand: 8 bytes after 8 are mixed in, so that no
+    arrangement of bytes cancels out. With another ``seed`` it is another hash."""
+    starts, size = np.asarray(starts, np.int64), np.asarray(ends - starts, np.int64)
+    at, eight = starts, loads(buf)
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019 + seed))
+    h = mix(h ^ (eight[at] & _FIRST[np.minimum(size, 8)]))
+    some = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    at, left = at[some] + 8, size[some] - 8
+    while len(some):
+        h[some] = mix(h[some] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        on = left > 8
+        some, at, left = some[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        got = hashlib.blake2b(buf[starts[i] : starts[i] + size[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(got, "little")
+    return h
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -188,8 +208,8 @@ def cut_spans(df, spans_col: str, text_col: str = "text", length_col: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for first, n_rows in row_groups(batch.column(text_col), 512):
+                part = batch.slice(first, n_rows)
                 texts = [without_spans(t, s) for t, s in zip(part.column(text_col).to_pylist(), part.column(spans_col).to_pylist(), strict=True)]
                 made = {text_col: pa.array(texts, part.schema.field(text_col).type)}
                 if length_col in names:

@@ -7,15 +7,17 @@ pooling over the whole text follow, then a logistic layer. Training is AdaGrad o
 position of each filter carries a gradient. For scoring, each filter's product with every embedding is worked out
 once, so a convolution is a sum of table rows.
 
-``language_thresholds`` calibrates a decision threshold per language on the training rows (largest F1, ties to the
-lower threshold); languages with fewer than ``MIN_PER_LANGUAGE`` rows of either class use the one of all rows. Thresholds are
+``language_thresholds`` calibrates a decision threshold per language (largest F1, ties to the lower threshold) on a quarter of
+the training rows, scored by a model of the other three; languages with fewer than ``MIN_PER_LANGUAGE`` rows of either class use the one of all rows. Thresholds are
 applied to scores afterwards; a language is never an input of a score.
 
-The fit takes at most ``TRAIN_ROWS`` labelled documents (their word hashes reach the driver). Scoring reads every whole text,
+The fit takes at most ``TRAIN_ROWS`` labelled documents, ``training.TRAIN_TEXT_BYTES`` of a text and
+``training.TRAIN_BYTES`` of word hashes in all, which is what reaches the driver; it holds about three times as much. Scoring reads every whole text,
 in one pass without a shuffle.
 
 Edge cases: null and empty texts have no words and pool to zeros; with one class only, or no labelled row, every score is
-the labels' mean or 0; repeated rows are scored one by one; further columns are not read.
+the labels' mean or 0; repeated rows are scored one by one; further columns are not read, and one to be kept that is named
+``score`` gives way.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataforge.llm import textkit as K
+from strataforge.llm.training import folds, gathered
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -44,8 +47,7 @@ def buckets(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of each word (words x forms), and where each text's words begin."""
     buf = K.LOWER[s.buf]
     starts, ends, doc = K.spans(s, K.ALNUM, buf)
-    prefix = K.prefix_hashes(buf)
-    forms = [K.span_hashes(prefix, starts, ends), *(K.mix(K.span_hashes(prefix, starts, np.minimum(starts + n, ends)) + np.uint64(n)) for n in PREFIXES)]
+    forms = [K.span_hashes(buf, starts, ends), *(K.span_hashes(buf, starts, np.minimum(starts + n, ends), n) for n in PREFIXES)]
     return np.stack([(h >> np.uint64(64 - BITS)).astype(np.int32) for h in forms], 1), K.bounds(doc, s.n)
 
 
@@ -178,18 +180,23 @@ def fit(sample: DataFrame, lang_col: str | None = None) -> tuple[Model, dict[str
                 yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), part.column(2).cast(pa.string()), part.column(3).cast(pa.string()), pa.array(found, pa.binary())], names=["y", "k", "lang", "f"])
 
     id_col = sample.columns[0]
-    rows = sample.select("text", "_label", id_col, lang_col or id_col).mapInArrow(run, "y int, k string, lang string, f binary").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
+    rows = sample.select("text", "_label", id_col, lang_col or id_col).mapInArrow(run, "y int, k string, lang string, f binary")
+    rows = gathered(rows)
     texts, labels = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in rows.column("f").to_pylist()], rows.column("y").to_numpy().astype(np.int64)
     model = Model(texts, labels)
-    edge = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-    score = model.scores(np.concatenate(texts) if texts else np.zeros((0, 1 + len(PREFIXES)), np.int32), edge)
-    by_lang, overall = language_thresholds(score, labels, rows.column("lang").to_pylist() if lang_col else [])
+    fitted, rest = folds(len(labels))
+    trial, held = Model([texts[i] for i in fitted], labels[fitted]), [texts[i] for i in rest]
+    edge = np.r_[0, np.cumsum([len(t) for t in held])].astype(np.int64)
+    score = trial.scores(np.concatenate(held) if held else np.zeros((0, 1 + len(PREFIXES)), np.int32), edge)
+    langs = rows.column("lang").to_pylist() if lang_col else []
+    by_lang, overall = language_thresholds(score, labels[rest], [langs[i] for i in rest] if langs else [])
     return model, by_lang, overall
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The ``keep`` columns and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(K.others(keep, "score"))
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 ``with_parts`` cuts a url into host and path. ``apply_rules`` finds the longest fitting rule. ``reputation`` shrinks
 labelled page outcomes (1 good, 0 bad) through beta-binomial priors: a suffix (``com``) towards the overall rate,
 a registered domain (``example.com``) towards its suffix, a host towards its domain. How strongly each level
-is drawn to the one above is estimated from the spread of its groups by the method of moments. ``judge`` blocks a
+is drawn to the one above is estimated by the method of moments from the spread of its groups about their own parents' rates. ``judge`` blocks a
 page without a rule if the lower posterior bound of its host is under ``floor``.
 
 Outcomes are counted with partial aggregation, so a host with a third of all rows is a few partial sums; the
@@ -11,7 +11,7 @@ per-host posteriors are staged, which leaves their join with the pages to be spl
 
 Edge cases: a null url or one without ``://`` has empty host and path and takes the overall prior; null outcomes are
 ignored; without any outcome the overall rate is 0.5; repeated rows are judged one by one; further columns of
-the pages are kept, and a name that clashes with a new column raises ``ValueError``.
+the pages are kept, but one named like a new column gives way to it.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Public suffixes of two labels that the queries know; longer lists are a parameter.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.jp", "ne.jp", "com.br", "co.in", "co.nz", "com.cn")
 STRENGTH_MIN, STRENGTH_MAX = 1.0, 10_000.0
-_NEW = ("host", "path", "rule", "verdict", "score", "lower")
+_NEW = ("host", "path", "rule", "rule_verdict", "verdict", "score", "lower")
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    clash = [c for c in _NEW if c in pages.columns]
-    if clash:
-        raise ValueError(f"columns already there: {clash}")
+    if url_col.lower() in _NEW:
+        pages, url_col = pages.withColumn("_url", F.col(url_col)), "_url"
+    pages = pages.drop(*(c for c in pages.columns if c.lower() in _NEW))
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.translate(F.regexp_extract(url, r"://([^/?#]*)", 1), _UPPER, _LOWER)
     return pages.withColumns({"host": host, "path": F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)})
@@ -63,34 +63,33 @@ def _site(two_label: Sequence[str]) -> tuple[Column, Column]:
     return domain, suffix
 
 
-def _spread(level: str, n: str, k: str) -> list[Column]:
-    """Sums from which a level's strength follows, over rows that are its groups."""
-    n_, k_ = F.col(n).cast("double"), F.col(k).cast("double")
-    return [F.count(F.lit(1)).alias(f"{level}_groups"), F.sum(n_ * n_).alias(f"{level}_n2"), F.sum(k_ * k_ / n_).alias(f"{level}_kk")]
-
+def _strength(groups: DataFrame, n: str, k: str, parents: Sequence[str]) -> float:
+    """The prior weight, in pages, of a level whose groups (rows) are drawn to the means of their parents.
 
-def strength(groups: float, total: float, n2: float, kk: float, rate: float) -> float:
-    """Prior weight in pages: rate (1 - rate) over the variance between groups, less one, within fixed bounds."""
-    inside = rate * (1 - rate)
-    scale = total - n2 / total if total else 0.0
-    between = (kk - total * rate * rate - (groups - 1) * inside) / scale if scale > 0 else 0.0
-    if between <= 0:
+    By moments: how far the groups' rates spread about their parent's, less what chance alone makes of it, gives the variance
+    between groups; rate (1 - rate) over it, less one, is the weight, within fixed bounds.
+    """
+    n_, k_ = F.col(n).cast("double"), F.col(k).cast("double")
+    by = groups.groupBy(*parents).agg(F.count(F.lit(1)).alias("g"), F.sum(n_).alias("n"), F.sum(k_).alias("k"), F.sum(n_ * n_).alias("n2"), F.sum(k_ * k_ / n_).alias("kk"))
+    inside = F.col("k") / F.col("n") * (1 - F.col("k") / F.col("n"))
+    spread = F.col("kk") - F.col("k") * F.col("k") / F.col("n") - (F.col("g") - 1) * inside
+    r = by.agg(F.sum(spread).alias("spread"), F.sum(F.col("n") - F.col("n2") / F.col("n")).alias("scale"), (F.sum(F.col("n") * inside) / F.sum("n")).alias("inside")).first()
+    # What rounding leaves of a spread or scale of nothing is nothing.
+    if r["inside"] is None or r["scale"] <= 1e-9 or r["spread"] <= 1e-9:
         return STRENGTH_MAX
-    return min(STRENGTH_MAX, max(STRENGTH_MIN, inside / between - 1))
+    return min(STRENGTH_MAX, max(STRENGTH_MIN, r["inside"] / (r["spread"] / r["scale"]) - 1))
 
 
 def reputation(outcomes: DataFrame, z: float = 1.645, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[DataFrame, dict]:
-    """From rows (host, good) a staged row per host: ``score`` (posterior mean) and ``lower`` (``z`` deviations below);
-    and what a host without outcomes gets: the priors by which ``judge`` scores it, and rows per domain and suffix."""
+    """From rows (host, good) a staged row per host with counts ``n`` and ``k``; and the priors by which ``judge`` scores hosts:
+    the overall rate, each level's strength, and the means of domains and suffixes."""
     domain, suffix = _site(two_label)
     hosts = stage(outcomes.where("good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("bigint")).alias("k")).withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    a = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), *_spread("host", "n", "k")).first()
-    b, c = domains.agg(*_spread("domain", "dn", "dk")).first(), suffixes.agg(*_spread("suffix", "sn", "sk")).first()
-    total = float(a["n"] or 0)
-    rate = float(a["k"]) / total if total else 0.5
-    weigh = {level: strength(r[f"{level}_groups"], total, r[f"{level}_n2"] or 0.0, r[f"{level}_kk"] or 0.0, rate) for level, r in (("host", a), ("domain", b), ("suffix", c))}
+    all_ = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    rate = float(all_["k"]) / float(all_["n"]) if all_["n"] else 0.5
+    weigh = {"host": _strength(hosts, "n", "k", ("domain", "suffix")), "domain": _strength(domains, "dn", "dk", ("suffix",)), "suffix": _strength(suffixes, "sn", "sk", ())}
     prior = {"rate": rate, "z": z, **weigh, "two_label": tuple(two_label)}
     upper = suffixes.withColumn("suffix_mean", (F.col("sk") + weigh["suffix"] * rate) / (F.col("sn") + weigh["suffix"]))
     middle = domains.join(upper.select("suffix", "suffix_mean"), "suffix").withColumn("domain_mean", (F.col("dk") + weigh["domain"] * F.col("suffix_mean")) / (F.col("dn") + weigh["domain"]))

@@ -2,12 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
 one's ``docs``. All but the last return the columns of ``documents``. SQL can't express the stages as a whole (the first is a
-fitted model), so there is no ``ORACLE_SQL``; tests hold each stage against a brute-force version.
+fitted model), so there is no ``ORACLE_SQL``; tests/llm/test_pipeline.py holds each stage and ``run`` against a brute-force version.
+
+Edge cases, for all stages: columns of any further names are carried along, whatever the operators call theirs; a null text is
+empty and, if it stays, null; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import queries as Q
@@ -22,35 +25,51 @@ from strataforge.llm.textkit import cut_spans
 ORACLE_SQL = None
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names of its columns' own that no operator uses, and these by the old names."""
+    new = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5 go."""
     model = Q.quality_model(spark, docs, sf_dir)
-    return score(docs, model, tuple(docs.columns)).where("score >= 0.5").drop("score")
+    plain, name = _plain(docs)
+    return score(plain, model, tuple(plain.columns), name["text"]).where("score >= 0.5").drop("score").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a Jaccard similarity of 0.8 in shingles of five words (op2 has its own) the one with the smallest id stays; of rows with one id, the first by text.
+    """Of each group of documents linked at a Jaccard similarity of 0.8 in shingles of five words (op2 has its own) the one with the smallest id stays.
 
-    Rows without an id can't be told apart and stay.
+    Each row is judged by its own text, so of rows with one id those stay whose text is not linked with a smaller id's; of equal
+    rows (id and text) one stays. Rows without an id can't be told apart and stay.
     """
-    kept = jaccard_components(docs, n=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    chosen = docs.where("doc_id is not null").join(stage(kept, "kept"), "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    plain, name = _plain(docs)
+    text = F.coalesce(F.col(name["text"]), F.lit(""))
+    rows = plain.where(F.col(name["doc_id"]).isNotNull()).withColumns({"id": F.col(name["doc_id"]).cast("bigint"), "key": F.xxhash64(text)})
+    found = jaccard_components(rows, n=5, num=80, den=100, id_col="id", text_col=name["text"], key_col="key")
+    kept = stage(found.where("id = component_id").select("id", "key").distinct(), "kept")
+    first = rows.join(kept, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select(*plain.columns)
+    return first.unionByName(plain.where(F.col(name["doc_id"]).isNull())).toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that an earlier document has too are cut; documents of which nothing is left go."""
-    found = stage(find_repeats(docs).where("n_removed > 0").select("doc_id", "removed", (F.col("n_removed") == F.col("n_bytes")).alias("_gone")).dropDuplicates(["doc_id"]), "cut")
-    joined = docs.join(found, "doc_id", "left").where(~F.coalesce("_gone", F.lit(False)))
-    return cut_spans(joined.select(*docs.columns, "removed"), "removed")
+    plain, name = _plain(docs)
+    found = find_repeats(plain, id_col=name["doc_id"], text_col=name["text"]).where("n_removed > 0")
+    found = stage(found.select(F.col(name["doc_id"]).alias("id"), "n_bytes", "removed", (F.col("n_removed") == F.col("n_bytes")).alias("gone"), "sha256"), "cut")
+    joined = plain.join(found.dropDuplicates(["id", "sha256"]), (F.col(name["doc_id"]) == F.col("id")) & (F.sha2(F.coalesce(F.col(name["text"]), F.lit("")), 256) == F.col("sha256")), "left")
+    left = joined.where(~F.coalesce("gone", F.lit(False))).select(*plain.columns, "removed")
+    return cut_spans(left, "removed", name["text"], name.get("n_chars")).toDF(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two items or more go; from others the words in such windows are cut."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_windows(docs, benchmark, keep=docs.columns)
-    return cut_spans(found.where(F.size("item_ids") < 2).select(*docs.columns, "hit_spans"), "hit_spans")
+    plain, name = _plain(docs)
+    found = find_windows(plain, benchmark, id_col=name["doc_id"], text_col=name["text"], keep=plain.columns)
+    left = found.where(F.size("item_ids") < 2).select(*plain.columns, "hit_spans")
+    return cut_spans(left, "hit_spans", name["text"], name.get("n_chars")).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

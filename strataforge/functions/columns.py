@@ -26,6 +26,11 @@ def type_classes(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     return numeric, text, [c for c in df.columns if c not in numeric and c not in text]
 
 
+def get_dtype(df: DataFrame, name: str) -> str:
+    """The Spark type of one column, by name."""
+    return dict(df.dtypes)[name]
+
+
 def discrete(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, _DISCRETE)]
 

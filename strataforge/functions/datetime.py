@@ -123,8 +123,10 @@ def time_diff(df: DataFrame, ts1: str, ts2: str, unit: str, output_mode: str = "
     return out.drop(ts1, ts2) if output_mode == "replace" else out
 
 
-def time_elapsed(df: DataFrame, list_of_cols: Columns, unit: str, output_mode: str = "append") -> DataFrame:
-    return _each(df, list_of_cols, lambda c: _between(_ts(c), F.current_timestamp(), unit), f"_{_unit(unit)}diff", output_mode)
+def time_elapsed(df: DataFrame, list_of_cols: Columns, unit: str, output_mode: str = "append", now: object = None) -> DataFrame:
+    """Time since (or to) ``now``, the time of the run by default."""
+    until = F.current_timestamp() if now is None else F.lit(now)
+    return _each(df, list_of_cols, lambda c: _between(_ts(c), until, unit), f"_{_unit(unit)}diff", output_mode)
 
 
 def adding_time_units(df: DataFrame, list_of_cols: Columns, unit: str, unit_value: int, output_mode: str = "append") -> DataFrame:

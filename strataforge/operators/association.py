@@ -74,10 +74,12 @@ def ig_calculation(df: DataFrame, list_of_cols: Columns = "all", drop_cols: Colu
     return both.groupBy("attribute").agg((F.max(entropy(F.col("events") / rows)) - of_bins).alias("ig"))
 
 
-def variable_clustering(df: DataFrame, list_of_cols: Columns = "all", drop_cols: Columns = (), max_eigenvalue: float = 1.0, max_clusters: int | None = None) -> DataFrame:
+def variable_clustering(df: DataFrame, list_of_cols: Columns = "all", drop_cols: Columns = (), max_eigenvalue: float = 1.0, max_clusters: int | None = None, restarts: int = 0, seed: int = 7) -> DataFrame:
     """Groups of correlated attributes: the group whose second eigenvalue is largest (over ``max_eigenvalue``) is split along its two first
     components after quartimax rotation, and attributes move between the parts while that gains variance. String columns are label
-    encoded, nulls get the median, constant columns are left out. RS_Ratio is (1 - own R2) / (1 - next group's R2)."""
+    encoded, nulls get the median, constant columns are left out. ``restarts``: how often a split is tried again with the attributes in
+    another order, of which the one with the most variance stays. RS_Own is the squared correlation with the own group's component,
+    RS_NC the largest with another's, RS_Ratio (1 - RS_Own) / (1 - RS_NC)."""
     from strataforge.operators.imputation import impute_mmm
     from strataforge.operators.stats import unique_count
     from strataforge.operators.transform import cat_to_num_unsupervised
@@ -91,14 +93,14 @@ def variable_clustering(df: DataFrame, list_of_cols: Columns = "all", drop_cols:
         work = cat_to_num_unsupervised(work, text, cardinality_threshold=max(found.values()))
     work = impute_mmm(work.select(*(col(c).cast("double").alias(c) for c in names)), names, method_type="median")
     corr = _correlations(work, names)
-    groups = _clusters(corr, max_eigenvalue, max_clusters)
+    groups = _clusters(corr, max_eigenvalue, max_clusters, restarts, seed)
     rows = []
     for k, group in enumerate(groups):
         for i in group:
             own, others = _r2(corr, i, group), [_r2(corr, i, g) for j, g in enumerate(groups) if j != k]
             near = max(others, default=0.0)
-            rows.append((k, names[i], round(float((1 - own) / (1 - near)), 4) if near < 1 else None))
-    return model_frame(df, rows, "Cluster int, Attribute string, RS_Ratio double")
+            rows.append((k, names[i], round(own, 4), round(near, 4), round(float((1 - own) / (1 - near)), 4) if near < 1 else None))
+    return model_frame(df, rows, "Cluster int, Attribute string, RS_Own double, RS_NC double, RS_Ratio double")
 
 
 def _eigen(corr: np.ndarray, group: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +127,27 @@ def _quartimax(loadings: np.ndarray, rounds: int = 100) -> np.ndarray:
     return loadings @ rotation
 
 
-def _clusters(corr: np.ndarray, limit: float, most: int | None) -> list[list[int]]:
+def _reassign(corr: np.ndarray, left: list[int], right: list[int], order: list[int]) -> tuple[list[int], list[int], float]:
+    """The two parts after attributes, taken in ``order``, have moved while that gains variance; and the variance of both."""
+    first = lambda g: float(_eigen(corr, g)[0][0]) if g else 0.0
+    left, right, moved = sorted(left), sorted(right), True
+    while moved:
+        moved = False
+        for x in order:
+            a, b = (left, right) if x in left else (right, left)
+            if len(a) == 1:
+                continue
+            one, two = [y for y in a if y != x], sorted([*b, x])
+            if first(one) + first(two) > first(a) + first(b) + 1e-12:
+                a.remove(x)
+                b.append(x)
+                b.sort()
+                moved = True
+    return left, right, first(left) + first(right)
+
+
+def _clusters(corr: np.ndarray, limit: float, most: int | None, restarts: int = 0, seed: int = 7) -> list[list[int]]:
+    rng = np.random.Generator(np.random.PCG64(seed))
     groups = [list(range(len(corr)))]
     fixed: set[tuple[int, ...]] = set()
     while most is None or len(groups) < most:
@@ -141,19 +163,7 @@ def _clusters(corr: np.ndarray, limit: float, most: int | None) -> list[list[int
         if not left or not right:
             fixed.add(tuple(group))
             continue
-        first = lambda g: _eigen(corr, g)[0][0] if g else 0.0
-        moved = True
-        while moved:
-            moved = False
-            for x in group:
-                a, b = (left, right) if x in left else (right, left)
-                if len(a) == 1:
-                    continue
-                one, two = [y for y in a if y != x], sorted([*b, x])
-                if first(one) + first(two) > first(a) + first(b) + 1e-12:
-                    a.remove(x)
-                    b.append(x)
-                    b.sort()
-                    moved = True
+        tries = [_reassign(corr, left, right, order) for order in (group, *(rng.permutation(group).tolist() for _ in range(restarts)))]
+        left, right, _ = max(tries, key=lambda t: t[2])
         groups[k : k + 1] = [sorted(left), sorted(right)]
     return groups

@@ -27,6 +27,19 @@ def cutoffs(df: DataFrame, names: Sequence[str], method_type: str, bin_size: int
     return out
 
 
+def cutoffs_by_size(df: DataFrame, names: Sequence[str], method_type: str, sizes: Sequence[int], accuracy: int = ACCURACY) -> dict[int, dict[str, list[float]]]:
+    """``cutoffs`` for several numbers of bins, still from one pass."""
+    if method_type not in ("equal_range", "equal_frequency"):
+        raise TypeError("Invalid input for method_type")
+    if method_type == "equal_range":
+        row = df.agg(*(f(col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max)))).first()
+        return {n: {c: [row[f"lo{i}"] + j * ((row[f"hi{i}"] - row[f"lo{i}"]) / n) for j in range(1, n)] for i, c in enumerate(names) if row[f"hi{i}"] is not None} for n in sizes}
+    wanted = {n: [j * (1 / n) for j in range(1, n)] for n in sizes}
+    probs = sorted({p for v in wanted.values() for p in v})
+    found = {c: dict(zip(probs, v, strict=True)) for c, v in quantiles(df, names, probs, accuracy).items() if v is not None}
+    return {n: {c: [v[p] for p in wanted[n]] for c, v in found.items()} for n in sizes}
+
+
 def bin_number(value: Column, cuts: Sequence[float]) -> Column:
     """1 for values up to the first cut-off, and so on; NaN is above all, null stays null."""
     edges = F.array(*(F.lit(float(x)) for x in cuts))
@@ -80,7 +93,7 @@ def monotonic_binning(df: DataFrame, list_of_cols: Columns = "all", drop_cols: C
     names = [c for c in numeric_columns(df, list_of_cols, drop_cols) if c != label_col]
     event = F.when(col(label_col) == event_label, 1).otherwise(0)
     tried = list(range(20, 2, -1))
-    cuts = {n: cutoffs(df, names, bin_method, n) for n in tried}
+    cuts = cutoffs_by_size(df, names, bin_method, tried)
     cells = [F.struct(F.lit(c).alias("c"), F.lit(n).alias("n"), bin_number(col(c), cuts[n][c]).alias("b"), col(c).cast("double").alias("v")) for c in names for n in tried if c in cuts[n]]
     chosen = {c: bin_size for c in names}
     if cells:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strataforge.functions import geo as G
 from strataforge.functions.columns import Columns, as_list, col, type_classes, union_all
+from strataforge.sources.staging import stage
 
 _FORMATS = ("dd", "dms", "radian", "cartesian", "geohash")
 
@@ -170,40 +171,50 @@ def rog_calculation(df: DataFrame, lat_col: str, long_col: str, id_col: str | No
     return both.groupBy(*(col(k) for k in keys)).agg(F.avg(d).alias("radius_of_gyration"))
 
 
+#: Widths of grid cells in degrees, each a part of 360; the last holds the globe.
+WIDTHS = (1.0, 5.0, 20.0, 60.0, 360.0)
+
+
 def reverse_geocoding(df: DataFrame, lat_col: str, long_col: str, gazetteer: DataFrame, precision: int = 3) -> DataFrame:
-    """The nearest place of ``gazetteer`` (latitude, longitude, name_of_place, region, country_code) for every row.
+    """The nearest place of ``gazetteer`` (latitude, longitude, name_of_place, region, country_code) for every row; ties by name.
 
-    Places are filed under grid cells; a point looks into its own and the eight around it, and only points without a place there
-    (few, far from any) are compared with all places in blocks of the gazetteer.
+    Places are filed under grid cells, which go round the globe. A point looks into its own cell and those around it; where the
+    nearest place there is farther than a place outside might be, the point goes on to cells of the next width. ``precision``
+    (1 to 3) sets only the first width, 20, 5 or 1 degrees, and with it the work, not the result.
     """
-    step = {1: 20.0, 2: 5.0, 3: 1.0}.get(precision, 1.0)
-    cell = lambda a, b: (F.floor(a / step).cast("int"), F.floor(b / step).cast("int"))
+    first = {1: 20.0, 2: 5.0, 3: 1.0}.get(precision, 1.0)
     g = gazetteer.select(F.col("latitude").cast("double").alias("_ga"), F.col("longitude").cast("double").alias("_go"), "name_of_place", "region", "country_code")
-    g = g.withColumns(dict(zip(("_ca", "_co"), cell(F.col("_ga"), F.col("_go")), strict=True)))
-    points = _valid(df, lat_col, long_col).select(col(lat_col).cast("double").alias(lat_col), col(long_col).cast("double").alias(long_col)).distinct()
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a, b = cell(col(lat_col), col(long_col))
-    near = points.select("*", F.inline(around)).select(lat_col, long_col, (a + F.col("i")).alias("_ca"), (b + F.col("j")).alias("_co"))
+    left = _valid(df, lat_col, long_col).select(col(lat_col).cast("double").alias(lat_col), col(long_col).cast("double").alias(long_col)).distinct()
     d = G.haversine(col(lat_col), col(long_col), F.col("_ga"), F.col("_go"))
-    best = lambda x: x.groupBy(lat_col, long_col).agg(F.min(F.struct(d.alias("d"), "name_of_place", "region", "country_code")).alias("p"))
-    found = best(near.join(g, ["_ca", "_co"]))
-    # A place in the next cell but one can be nearer only if it is over one cell's width away.
-    sure = found.where(F.col("p.d") <= step * 111_000 * F.cos(F.radians(F.least(F.abs(col(lat_col)) + step, F.lit(89.9)))))
-    rest = points.join(sure, [lat_col, long_col], "left_anti")
-    blocks = rest.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_k")).join(g.withColumn("_k", F.pmod(F.hash("_ga", "_go"), F.lit(16))), "_k")
-    return sure.unionByName(best(blocks)).select(lat_col, long_col, "p.name_of_place", "p.region", "p.country_code")
+    settled = []
+    for width in (w for w in WIDTHS if w >= first):
+        round_ = int(360 / width)
+        cell = lambda a, b, width=width, round_=round_: (F.floor((a + 90) / width).cast("int"), F.pmod(F.floor((b + 180) / width).cast("int"), F.lit(round_)))
+        steps = sorted({j % round_: j for j in (0, 1, -1)}.values())
+        around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in steps))
+        a, b = cell(col(lat_col), col(long_col))
+        near = left.select("*", F.inline(around)).select(lat_col, long_col, (a + F.col("i")).alias("_ca"), F.pmod(b + F.col("j"), F.lit(round_)).alias("_co"))
+        places = g.withColumns(dict(zip(("_ca", "_co"), cell(F.col("_ga"), F.col("_go")), strict=True)))
+        found = near.join(places, ["_ca", "_co"]).groupBy(lat_col, long_col).agg(F.min(F.struct(d.alias("d"), "name_of_place", "region", "country_code")).alias("p"))
+        if width == WIDTHS[-1]:
+            settled.append(found)
+            break
+        # Whatever is in none of these cells is over one width away, north, south, or along a circle of latitude.
+        sure = stage(found.where(F.col("p.d") <= 0.99 * width * 111_000 * F.cos(F.radians(F.least(F.abs(col(lat_col)) + width, F.lit(90.0))))), "settled")
+        settled.append(sure)
+        left = stage(left.join(sure.select(lat_col, long_col), [lat_col, long_col], "left_anti"), "unsettled")
+    return union_all(settled).select(lat_col, long_col, "p.name_of_place", "p.region", "p.country_code")
 
 
 # Detection and profile
 
 
-def detect_locations(df: DataFrame, max_records: int = 100_000) -> tuple[list[str], list[str], list[str]]:
+def detect_locations(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """Names of latitude, longitude and geohash columns: by name, by the spread of fractional numbers, by texts that decode.
-    Unequal numbers of latitudes and longitudes count as none. One aggregation over at most ``max_records`` rows."""
+    Unequal numbers of latitudes and longitudes count as none. One aggregation over all rows."""
     kinds = dict(df.dtypes)
     floats = [c for c, t in kinds.items() if t in ("double", "float") or t.startswith("decimal")]
     texts = type_classes(df)[1]
-    part = df.limit(max_records)
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(floats):
         v = col(c).cast("double")
@@ -211,7 +222,7 @@ def detect_locations(df: DataFrame, max_records: int = 100_000) -> tuple[list[st
     for i, c in enumerate(texts):
         lat, _ = G.from_geohash(col(c))
         aggs += [F.max(F.length(col(c))).alias(f"t{i}n"), F.approx_count_distinct(lat).alias(f"t{i}d"), F.count_if(col(c).isNotNull() & lat.isNull()).alias(f"t{i}b")]
-    row = part.agg(*aggs).first()
+    row = df.agg(*aggs).first()
     lats, lons = [], []
     for i, c in enumerate(floats):
         name = c.lower()
@@ -254,10 +265,20 @@ def cluster_analysis(df: DataFrame, lat_col: str, long_col: str, max_cluster: in
     cost = [models[k].summary.trainingCost for k in ks]
     span = [(c - cost[-1]) / ((cost[0] - cost[-1]) or 1) + (k - ks[0]) / ((ks[-1] - ks[0]) or 1) for k, c in zip(ks, cost, strict=True)]
     best = ks[span.index(min(span))]
-    labels = _density(part.toPandas().to_numpy(float), eps, min_samples)
     points = part.toPandas()
-    points["cluster"] = labels
-    return models[best].transform(v).drop("_v"), df.sparkSession.createDataFrame(points)
+    points["cluster"] = _density(points.to_numpy(float), eps, min_samples)
+    return models[best].transform(v).drop("_v"), df.sparkSession.createDataFrame(points, f"`{lat_col}` double, `{long_col}` double, cluster long")
+
+
+def cluster_all(df: DataFrame, lat_cols: Sequence[str] = (), long_cols: Sequence[str] = (), geohash_cols: Sequence[str] = (), max_cluster: int = 20, eps: float = 0.3, min_samples: int = 500, max_records: int = 100_000) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """``cluster_analysis`` of every pair of location columns and every geohash column (by its cell's middle), by name."""
+    if len(lat_cols) != len(long_cols):
+        raise TypeError("there must be as many latitudes as longitudes")
+    found = {f"{a}_{b}": cluster_analysis(df, a, b, max_cluster, eps, min_samples, max_records) for a, b in zip(lat_cols, long_cols, strict=True)}
+    for c in geohash_cols:
+        lat, lon = G.from_geohash(col(c))
+        found[c] = cluster_analysis(df.select(lat.alias("latitude"), lon.alias("longitude")), "latitude", "longitude", max_cluster, eps, min_samples, max_records)
+    return found
 
 
 def _density(x, eps: float, min_samples: int):
@@ -296,9 +317,9 @@ def _density(x, eps: float, min_samples: int):
     return label
 
 
-def geospatial_profile(df: DataFrame, id_col: str, max_records: int = 100_000, top_geo_records: int = 100) -> dict[str, tuple[DataFrame, DataFrame]]:
+def geospatial_profile(df: DataFrame, id_col: str, top_geo_records: int = 100) -> dict[str, tuple[DataFrame, DataFrame]]:
     """``location_stats`` of every location column that is found."""
-    lats, lons, hashes = detect_locations(df, max_records)
+    lats, lons, hashes = detect_locations(df)
     out = {f"{a}_{b}": location_stats(df, a, b, None, id_col, top_geo_records) for a, b in zip(lats, lons, strict=True)}
     return out | {c: location_stats(df, None, None, c, id_col, top_geo_records) for c in hashes}
 

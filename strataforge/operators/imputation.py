@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.functions.columns import ACCURACY, Columns, col, model_frame, numeric_columns, place, quantiles, resolve, type_classes
+from strataforge.functions.columns import ACCURACY, Columns, col, model_frame, place, quantiles, resolve, type_classes, union_all
 from strataforge.operators import stats
+from strataforge.sources.staging import numbered, stage
+
+#: ALS takes ids of 31 bits.
+MOST_IDS = 2**31 - 1
 
 
 def _missing(df: DataFrame, list_of_cols: Columns, drop_cols: Columns, numeric_only: bool) -> list[str]:
@@ -59,19 +63,27 @@ def impute_mmm(df: DataFrame, list_of_cols: Columns = "missing", drop_cols: Colu
 
 def _neighbours(fit: np.ndarray, x: np.ndarray, k: int = 5) -> np.ndarray:
     """Nulls of ``x`` by the mean of the ``k`` nearest fitted rows that have the value; distances over shared columns, scaled up."""
-    out = x.copy()
-    known = ~np.isnan(fit)
-    filled = np.where(known, fit, 0)
-    means = np.nanmean(fit, axis=0)
-    for i in np.flatnonzero(np.isnan(x).any(1)):
-        have = ~np.isnan(x[i])
-        shared = known[:, have].sum(1)
-        d = (np.where(known[:, have], filled[:, have] - x[i, have], 0) ** 2).sum(1) * x.shape[1] / np.maximum(shared, 1)
-        d[shared == 0] = np.inf
-        for j in np.flatnonzero(~have):
-            can = np.flatnonzero(known[:, j] & np.isfinite(d))
-            near = can[np.argsort(d[can], kind="stable")[:k]]
-            out[i, j] = fit[near, j].mean() if len(near) else means[j]
+    out, gaps = x.copy(), np.isnan(x)
+    known, means = ~np.isnan(fit), np.nanmean(fit, axis=0)
+    filled = np.where(known, fit - means, 0)
+    some = np.flatnonzero(gaps.any(1))
+    for at in range(0, len(some), 256):  # distances of 256 rows to all fitted ones as products of matrices
+        rows = some[at : at + 256]
+        have = (~gaps[rows]).astype(float)
+        here = np.where(gaps[rows], 0, x[rows] - means)
+        shared = have @ known.T
+        d = have @ (filled**2).T - 2 * here @ filled.T + (here**2) @ known.T
+        d = np.where(shared > 0, np.maximum(d, 0) * x.shape[1] / np.maximum(shared, 1), np.inf)
+        for j in np.flatnonzero(gaps[rows].any(0)):
+            can, mine = np.flatnonzero(known[:, j]), np.flatnonzero(gaps[rows, j])
+            if len(can) == 0:
+                out[rows[mine], j] = means[j]
+                continue
+            dist = d[np.ix_(mine, can)]
+            order = np.argpartition(dist, min(k, len(can)) - 1, axis=1)[:, :k]
+            used = np.isfinite(np.take_along_axis(dist, order, 1))
+            total = np.where(used, fit[can, j][order], 0).sum(1)
+            out[rows[mine], j] = np.where(used.any(1), total / np.maximum(used.sum(1), 1), means[j])
     return out
 
 
@@ -131,7 +143,8 @@ def impute_model(df: DataFrame, list_of_cols: Columns = "missing", drop_cols: Co
 def impute_factorization(df: DataFrame, list_of_cols: Columns = "missing", drop_cols: Columns = (), id_col: str = "", output_mode: str = "replace", rank: int = 10, iterations: int = 20, seed: int = 7) -> DataFrame:
     """Alternating least squares on (row, column, standardised value); rows without any value keep their nulls.
 
-    Without ``id_col`` rows get an id that is staged with them, so that it stays the same in every pass.
+    Rows are staged and numbered without gaps, which makes their numbers ids for ALS; tables of over 2^31 - 1 rows are fitted in
+    as many parts as that needs.
     """
     from pyspark.ml.recommendation import ALS
 
@@ -140,14 +153,19 @@ def impute_factorization(df: DataFrame, list_of_cols: Columns = "missing", drop_
     names = [c for c in names if c in numeric]
     if not names:
         return df
-    keyed = df.withColumn("_r", F.monotonically_increasing_id()).checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.withColumn("_r", F.xxhash64(*(col(c) for c in ([id_col] if id_col else df.columns))))
-    # ALS takes 32-bit ids; rows are numbered densely by their place among the sorted keys.
+    keyed = stage(numbered(df, "_r"), "keyed")
+    parts = -(-keyed.count() // MOST_IDS)
     scale = df.agg(*(f(col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(numeric) for k, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
     cells = F.array(*(F.struct(F.lit(i).alias("k"), ((col(c).cast("double") - (scale[f"m{i}"] or 0.0)) / (scale[f"s{i}"] or 1.0)).alias("x")) for i, c in enumerate(numeric)))
-    ids = keyed.select("_r", (F.pmod(F.xxhash64("_r"), F.lit(2**31 - 1))).cast("int").alias("u"))
-    long = keyed.select("_r", F.inline(cells)).join(ids, "_r").select("_r", "u", "k", "x")
-    model = ALS(maxIter=iterations, regParam=0.01, rank=rank, coldStartStrategy="drop", userCol="u", itemCol="k", ratingCol="x", seed=seed).fit(long.where("x is not null"))
-    guess = model.transform(long.where(F.col("x").isNull())).groupBy("_r").pivot("k", [numeric.index(c) for c in names]).agg(F.first("prediction"))
+    guesses = []
+    for part in range(parts):
+        mine = keyed.where(F.floor(F.col("_r") / MOST_IDS) == part) if parts > 1 else keyed
+        long = mine.select("_r", (F.col("_r") - part * MOST_IDS).cast("int").alias("u"), F.inline(cells))
+        model = ALS(maxIter=iterations, regParam=0.01, rank=rank, coldStartStrategy="drop", userCol="u", itemCol="k", ratingCol="x", seed=seed).fit(long.where("x is not null"))
+        guesses.append(model.transform(long.where(F.col("x").isNull())).select("_r", "k", "prediction"))
+    if not guesses:
+        return df
+    guess = union_all(guesses).groupBy("_r").pivot("k", [numeric.index(c) for c in names]).agg(F.first("prediction"))
     kinds = dict(df.dtypes)
     full = keyed.join(guess, "_r", "left")
     made = {}
@@ -164,14 +182,16 @@ def auto_imputation(df: DataFrame, list_of_cols: Columns = "missing", drop_cols:
     numeric = [c for c in names if c in type_classes(df)[0] and c != id_col]
     if not numeric:
         return impute_mmm(df, names, output_mode=output_mode)
-    complete = df.dropna(subset=numeric).select(*(col(c) for c in df.columns))
+    complete = df.dropna(subset=numeric)
     keep = {c: F.when(F.rand(seed + i) >= null_pct, col(c)) for i, c in enumerate(numeric)}
-    test = complete.select("*", *(col(c).alias(f"_true{i}") for i, c in enumerate(numeric))).withColumns(keep)
+    # Staged: every method sees the same values taken out.
+    test = stage(complete.select("*", *(col(c).alias(f"_true{i}") for i, c in enumerate(numeric))).withColumns(keep), "test")
     methods = {
         "median": lambda x: impute_mmm(x, numeric, method_type="median"),
         "mean": lambda x: impute_mmm(x, numeric, method_type="mean"),
         "KNN": lambda x: impute_model(x, numeric, method_type="KNN"),
         "regression": lambda x: impute_model(x, numeric, method_type="regression"),
+        "factorization": lambda x: impute_factorization(x, numeric, id_col=id_col),
     }
     hidden = [f"_true{i}" for i in range(len(numeric))]
     best, least = "median", float("inf")
@@ -188,7 +208,3 @@ def auto_imputation(df: DataFrame, list_of_cols: Columns = "missing", drop_cols:
     if output_mode == "append":
         return df.select("*") if not names else place(df, {}, "_imputed", "append") if not numeric else out
     return out
-
-
-def numeric_only(df: DataFrame) -> list[str]:
-    return numeric_columns(df, "all", (), empty_ok=True)

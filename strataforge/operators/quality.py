@@ -121,10 +121,10 @@ def outlier_bounds(df: DataFrame, names: Sequence[str], detection_side: str, con
 
 
 def outlier_detection(
-    df: DataFrame, list_of_cols: Columns = "all", drop_cols: Columns = (), detection_side: str = "upper", detection_configs: Mapping | None = None, treatment: bool = True, treatment_method: str = "value_replacement", pre_existing_model: bool = False, model_path: str = "NA", sample_size: int = 1_000_000, output_mode: str = "replace", accuracy: int = ACCURACY
+    df: DataFrame, list_of_cols: Columns = "all", drop_cols: Columns = (), detection_side: str = "upper", detection_configs: Mapping | None = None, treatment: bool = True, treatment_method: str = "value_replacement", pre_existing_model: bool = False, model_path: str = "NA", sample_size: int | None = None, output_mode: str = "replace", accuracy: int = ACCURACY
 ) -> tuple[DataFrame, DataFrame]:
-    """Marks -1 below, 1 above, 0 else (nulls too). Treatments: value_replacement, null_replacement, row_removal. ``sample_size`` bounds
-    the rows that bounds are fitted on; all rows are marked."""
+    """Marks -1 below, 1 above, 0 else (nulls too). Treatments: value_replacement, null_replacement, row_removal. Bounds are fitted on
+    all rows, or on ``sample_size`` where one is given; all rows are marked."""
     names = numeric_columns(df, list_of_cols, drop_cols)
     if treatment_method not in ("value_replacement", "null_replacement", "row_removal"):
         raise TypeError("Invalid input for treatment_method")
@@ -133,8 +133,8 @@ def outlier_detection(
         skewed = [c for c in names if c in model and "skewed_attribute" in (model[c] or [])]
         bounds = {c: tuple(None if v is None else float(v) for v in model[c]) for c in names if c in model and c not in skewed}
     else:
-        rows = df.count()
-        fit = df.sample(False, sample_size / rows, 11) if rows > sample_size else df
+        rows = df.count() if sample_size else 0
+        fit = df.sample(False, sample_size / rows, 11) if sample_size and rows > sample_size else df
         bounds, skewed = outlier_bounds(fit.select(*(col(c) for c in names)), names, detection_side, detection_configs if detection_configs is not None else _OUTLIER, accuracy)
         if model_path != "NA":
             none = ["skewed_attribute" if detection_side in (s, "both") else None for s in ("lower", "upper")]

@@ -157,6 +157,24 @@ def ts_analyzer(df: DataFrame, id_col: str, output_type: Columns = "daily", max_
     return out
 
 
+def decomposition(df: DataFrame, time_col: str, value_col: str, period: int = 12) -> DataFrame:
+    """(time, value, trend, seasonal, residual) of a series of one row per time, the same additive way as ``seasonal_decompose``.
+
+    The series is a profile by day, so windows over all of it are over as many rows as there are days.
+    """
+    w = Window.orderBy(time_col)
+    half = period // 2
+    inner = F.sum("value").over(w.rowsBetween(1 - half if period % 2 == 0 else -half, half - 1 if period % 2 == 0 else half))
+    ends = F.lag("value", half).over(w) + F.lead("value", half).over(w)
+    whole = F.count("value").over(w.rowsBetween(-half, half)) == 2 * half + 1
+    x = df.select(col(time_col).alias(time_col), col(value_col).cast("double").alias("value")).withColumn("_phase", F.pmod(F.row_number().over(w) - 1, F.lit(period)))
+    x = x.withColumn("trend", F.when(whole, (inner + ends / 2) / period if period % 2 == 0 else inner / period))
+    x = x.withColumn("_mean", F.coalesce(F.avg(F.col("value") - F.col("trend")).over(Window.partitionBy("_phase")), F.lit(0.0)))
+    level = x.select("_phase", "_mean").distinct().agg(F.avg("_mean").alias("_level"))
+    x = x.join(F.broadcast(level)).withColumn("seasonal", F.col("_mean") - F.col("_level"))
+    return x.select(time_col, "value", "trend", "seasonal", (F.col("value") - F.col("trend") - F.col("seasonal")).alias("residual"))
+
+
 def seasonal_decompose(values: Sequence[float], period: int = 12) -> dict[str, np.ndarray]:
     """Additive decomposition: a centred moving average, the mean of each phase around it, and what is left."""
     x = np.asarray(values, float)

@@ -216,12 +216,6 @@ def feature_transformation(df: DataFrame, list_of_cols: Columns = "all", drop_co
 LAMBDAS = (1, -1, 0.5, -0.5, 2, -2, 0.25, -0.25, 3, -3, 4, -4, 5, -5)
 
 
-def _kolmogorov(d: float, n: int) -> float:
-    """Asymptotic p-value of the two-sided statistic."""
-    t = d * math.sqrt(n)
-    return 1.0 if t < 0.2 else max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * t) ** 2) for k in range(1, 101))))
-
-
 def boxcox_transformation(df: DataFrame, list_of_cols: Columns = "all", drop_cols: Columns = (), boxcox_lambda: float | Sequence[float] | None = None, output_mode: str = "replace") -> DataFrame:
     """x to the power lambda, or ln x for 0. Without a lambda the one whose result is nearest to the standard normal by the
     Kolmogorov-Smirnov p-value, 1 if none has any. Values must be over 0."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataforge.functions import datetime as dt
 from strataforge.operators import association, binning, drift, geospatial, imputation, quality, sampling, stats, timeseries, transform
-from strataforge.plans import report
+from strataforge.plans import charts, featurestore, report
 from strataforge.sources import io
 
 _INGEST = {"delete_column": io.delete_column, "select_column": io.select_column, "rename_column": io.rename_column, "recast_column": io.recast_column, "data_sample": sampling.data_sample}
@@ -101,7 +101,7 @@ def run(spark: SparkSession, config: Mapping | str) -> tuple[DataFrame, dict[str
 
     for block, args in config.items():
         if not args or block in ("input_dataset", "write_main", "write_intermediate", "write_stats", "write_feast_features"):
-            continue
+            continue  # the last two after all others
         if block == "concatenate_dataset":
             rest = [etl(spark, v) for k, v in args.items() if k != "method"]
             df = _write(io.concatenate_dataset(df, *rest, method_type=args.get("method", "name")), between, block)
@@ -114,9 +114,11 @@ def run(spark: SparkSession, config: Mapping | str) -> tuple[DataFrame, dict[str
             for key, table in timeseries.ts_analyzer(df, args.get("id_col"), args.get("analysis_level", "daily"), int(args.get("max_days", 3600))).items():
                 keep("/".join((block, *key)), table)
         elif block == "geospatial_controller":
-            for name, pair in geospatial.geospatial_profile(df, args["id_col"], args.get("max_records", 100_000), args.get("top_geo_records", 100)).items():
-                for kind, table in zip(("summary", "top"), pair, strict=True):
-                    keep(f"{block}/{name}/{kind}", table)
+            if "geospatial_analyzer" in args:
+                args = args["geospatial_analyzer"]
+            clusters = {k: args[k] for k in ("max_cluster", "eps", "min_samples", "max_records") if args.get(k) is not None} if args.get("cluster_analysis") else None
+            for name, table in charts.location_tables(df, args["id_col"], int(args.get("top_geo_records", 100)), clusters).items():
+                keep(f"{block}/{name}", table)
         elif block == "basic_report":
             if args.get("basic_report", True):
                 wanted = {k: v for k, v in args.get("report_args", {}).items() if k in ("id_col", "label_col", "event_label", "skip_corr_matrix")}
@@ -153,11 +155,26 @@ def run(spark: SparkSession, config: Mapping | str) -> tuple[DataFrame, dict[str
         elif block == "datetime":
             for name, a in args.items():
                 df = getattr(dt, name)(df, **a)
+        elif block == "report_preprocessing":
+            wanted = dict(args.get("charts_to_objects") or {})
+            source = etl(spark, wanted.pop("source_dataset")) if wanted.get("source_dataset") else None
+            allowed = {k: v for k, v in wanted.items() if k in ("list_of_cols", "drop_cols", "label_col", "event_label", "bin_method", "bin_size", "outlier_charts") and v is not None}
+            for name, table in charts.chart_tables(df, source=source, **allowed).items():
+                keep(f"{block}/{name}", table)
         elif block == "report_generation":
-            page = report.html(tables, args.get("title", "Report"))
+            keep("data_dictionary", charts.data_dictionary(df))
+            page = charts.page(tables, args.get("title", "Report"))
             df.sparkSession.createDataFrame([(page,)], "page string").coalesce(1).write.mode("overwrite").text(args["final_report_path"])
         else:
             raise ValueError(f"unknown block: {block}")
+    export = config.get("write_feast_features")
+    if export:
+        featurestore.check_config(export, int((config.get("write_main") or {}).get("file_configs", {}).get("repartition", 1)))
+        df = featurestore.add_timestamp_columns(df, export["file_source"])
     if config.get("write_main"):
         df = _write(df, config["write_main"], "final_dataset")
+    if export:
+        path = f"{config['write_main']['file_path'].rstrip('/')}/final_dataset" if config.get("write_main") else ""
+        text = featurestore.definitions(df.dtypes, export, path)
+        spark.createDataFrame([(text,)], "text string").coalesce(1).write.mode("overwrite").text(export["file_path"])
     return df, tables

@@ -5,7 +5,9 @@ The tables hold no nulls and no coordinates, so queries that need some derive th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from strataforge.functions import datetime as dt
 from strataforge.functions import geo as G
 from strataforge.functions.columns import flatten, transpose
 from strataforge.operators import association, binning, drift, geospatial, imputation, quality, recommend, sampling, stats, timeseries, transform
-from strataforge.plans import featurestore, report
+from strataforge.plans import charts, featurestore, report
 from strataforge.sources import io
+from strataforge.sources.staging import shared_folder
 from strataforge.streaming.profile import windowed_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,7 +148,11 @@ def _(s, d):
 # Statistics
 
 
-@_query("global_summary")
+@_query(
+    "global_summary",
+    """SELECT * FROM (VALUES ('rows_count', (SELECT CAST(count(*) AS VARCHAR) FROM lineitem)), ('columns_count', '11'), ('numcols_count', '8'), ('numcols_name', 'l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax'),
+    ('catcols_count', '2'), ('catcols_name', 'l_returnflag, l_linestatus'), ('othercols_count', '1'), ('othercols_name', 'l_shipdate')) t(metric, value)""",
+)
 def _(s, d):
     return stats.global_summary(_t(s, d, "lineitem"))
 
@@ -394,10 +401,19 @@ def _(s, d):
     return drift.stability_index_computation(x, "o_totalprice", idx_col="idx")
 
 
-@_query("feature_stability")
+_SI = "CASE WHEN {0} IS NULL THEN NULL WHEN abs({0}) < 0.03 THEN 4 WHEN abs({0}) < 0.1 THEN 3 WHEN abs({0}) < 0.2 THEN 2 WHEN abs({0}) < 0.5 THEN 1 ELSE 0 END"
+
+
+@_query(
+    "feature_stability",
+    f"""WITH p AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY year(o_orderdate)), f AS (SELECT m * m + s * s AS fm, 2 * m * s AS fs FROM p),
+    c AS (SELECT round(stddev_pop(fm) / avg(fm), 3) AS mean_cv, round(stddev_pop(fs) / avg(fs), 3) AS stddev_cv FROM f), i AS (SELECT *, CAST({_SI.format("mean_cv")} AS INTEGER) AS mean_si, CAST({_SI.format("stddev_cv")} AS INTEGER) AS stddev_si FROM c)
+    SELECT 'A**2' AS feature_formula, mean_cv, stddev_cv, mean_si, stddev_si, CAST(mean_si * 0.5 + stddev_si * 0.3 AS DOUBLE) AS lower, CAST(mean_si * 0.5 + stddev_si * 0.3 + 0.8 AS DOUBLE) AS upper FROM i""",
+)
 def _(s, d):
     x = _t(s, d, "orders").select(F.year("o_orderdate").alias("idx"), F.col("o_totalprice").alias("A"))
-    return drift.feature_stability_estimation(drift.period_metrics(x, ["A"], "idx"), {"A": "A**2"})
+    found = drift.feature_stability_estimation(drift.period_metrics(x, ["A"], "idx"), {"A": "A**2"})
+    return found.select("feature_formula", F.round("mean_cv", 3).alias("mean_cv"), F.round("stddev_cv", 3).alias("stddev_cv"), "mean_si", "stddev_si", F.col("stability_index_lower_bound").alias("lower"), F.col("stability_index_upper_bound").alias("upper"))
 
 
 # Transformers
@@ -447,7 +463,10 @@ def _(s, d):
     return transform.cat_to_num_supervised(_gaps(s, d), "c_mktsegment", label_col="c_nationkey", event_label=3).select("c_custkey", "c_acctbal", "c_mktsegment")
 
 
-@_query("cat_to_num_transformer")
+@_query(
+    "cat_to_num_transformer",
+    "SELECT o_orderkey, CAST(i AS INTEGER) AS o_orderpriority, CAST(o_orderstatus = 'F' AS INTEGER) AS o_orderstatus FROM orders JOIN (SELECT v, row_number() OVER (ORDER BY n DESC, v) - 1 AS i FROM (SELECT o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1)) ON v = o_orderpriority",
+)
 def _(s, d):
     return transform.cat_to_num_transformer(_t(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), label_col="o_orderstatus", event_label="F")
 
@@ -615,9 +634,21 @@ def _(s, d):
     return x.select("l_orderkey", "l_linenumber", F.round("l_shipdate_o_orderdate_daydiff", 6).alias("days"), F.round("l_shipdate_o_orderdate_monthdiff", 6).alias("months"))
 
 
-@_query("time_elapsed")
+@_query("time_elapsed", "SELECT o_orderkey, round(abs(epoch(TIMESTAMP '2001-02-03 04:05:06') - epoch(o_orderdate)) / 86400, 6) AS o_orderdate_daydiff FROM orders")
 def _(s, d):
-    return dt.time_elapsed(_o(s, d), "o_orderdate", "days")
+    found = dt.time_elapsed(_o(s, d), "o_orderdate", "days", now=datetime(2001, 2, 3, 4, 5, 6, tzinfo=UTC))
+    return found.select("o_orderkey", F.round("o_orderdate_daydiff", 6).alias("o_orderdate_daydiff"))
+
+
+@_query("string_to_timestamp", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS day FROM orders")
+def _(s, d):
+    x = _t(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("31/31/x").alias("day"))
+    return dt.timestamp_to_string(dt.string_to_timestamp(x, "day", "%d/%m/%Y"), "day")
+
+
+@_query("timestamp_to_string", "SELECT event_id, strftime(ts, '%d.%m.%Y %H:%M') AS ts FROM events")
+def _(s, d):
+    return dt.timestamp_to_string(_t(s, d, "events").select("event_id", "ts"), "ts", "%d.%m.%Y %H:%M")
 
 
 @_query("adding_time_units", "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 2 MONTH, '%Y-%m-%d') AS t FROM orders")
@@ -694,10 +725,11 @@ def _(s, d):
 # Time series
 
 
-@_query("ts_detection")
+@_query("ts_detection", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d %H:%M:%S') AS day, strftime(o_orderdate + INTERVAL 1000000000 SECOND, '%Y-%m-%d %H:%M:%S') AS sec FROM orders")
 def _(s, d):
-    x = _t(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("day"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("sec"))
-    return timeseries.detect_timestamps(x, "o_orderkey")[0]
+    x = _t(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("day"), (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 1_000_000_000).alias("sec"))
+    found = timeseries.detect_timestamps(x, "o_orderkey")[0]
+    return found.select("o_orderkey", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("day", "sec")))
 
 
 @_query("ts_eligibility", "WITH x AS (SELECT d, count(*) AS n, datediff('day', lag(d) OVER (ORDER BY d), d) AS gap FROM (SELECT CAST(ts AS DATE) AS d FROM events) GROUP BY d) SELECT count(*) AS count_unique_dates, CAST(min(d) AS VARCHAR) AS min_date, CAST(max(d) AS VARCHAR) AS max_date, CAST(arg_max(d, n * 100000 + datediff('day', DATE '1970-01-01', d)) AS VARCHAR) AS modal_date, round(avg(gap), 3) AS mean, round(var_samp(gap), 3) AS variance, round(stddev_samp(gap), 3) AS stdev, round(stddev_samp(gap) / avg(gap), 3) AS cov FROM x")
@@ -706,7 +738,14 @@ def _(s, d):
     return x.withColumns({c: F.col(c).cast("string") for c in ("min_date", "max_date", "modal_date")})
 
 
-@_query("ts_eligibility_spread")
+_SPREAD = ", ".join(f"CAST(l[greatest(1, CAST(ceil({p!r} * len(l)) AS BIGINT))] AS BIGINT) AS p{round(p * 100)}" for p in (0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0))
+
+
+@_query(
+    "ts_eligibility_spread",
+    f"""WITH x AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) SELECT 'id_date_pair' AS metric, {_SPREAD} FROM (SELECT list(n ORDER BY n) AS l FROM (SELECT count(*) AS n FROM x GROUP BY user_id))
+    UNION ALL SELECT 'date_id_pair', {_SPREAD} FROM (SELECT list(n ORDER BY n) AS l FROM (SELECT count(*) AS n FROM x GROUP BY d))""",
+)
 def _(s, d):
     return timeseries.eligibility(_t(s, d, "events"), "user_id", "ts", 1)
 
@@ -818,7 +857,11 @@ def _(s, d):
     return geospatial.rog_calculation(_places(s, d), "lat", "lon", "c_nationkey").withColumn("radius_of_gyration", F.round("radius_of_gyration", 1))
 
 
-@_query("reverse_geocoding")
+@_query(
+    "reverse_geocoding",
+    f"""WITH g AS (SELECT lat AS ga, lon AS go, 'city' || c_custkey AS name_of_place FROM {_PLACES} WHERE c_custkey % 10 = 0), p AS (SELECT DISTINCT lat, lon FROM {_PLACES})
+    SELECT lat, lon, arg_min(name_of_place, round({_hav("lat", "lon", "ga", "go", G.EARTH_RADIUS)}, 3)) AS name_of_place, 'r' AS region, 'XX' AS country_code FROM p, g GROUP BY lat, lon""",
+)
 def _(s, d):
     g = _places(s, d).where("c_custkey % 10 = 0").select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.concat(F.lit("city"), F.col("c_custkey")).alias("name_of_place"), F.lit("r").alias("region"), F.lit("XX").alias("country_code"))
     return geospatial.reverse_geocoding(_places(s, d), "lat", "lon", g)
@@ -887,6 +930,195 @@ def _(s, d):
     return report.health_flags(_items(s, d, *NUM, *FLAGS), "l_returnflag", "R")
 
 
+# Tables behind charts and report tabs
+
+
+@_query("write_dataset", "SELECT s_nationkey, s_acctbal, s_name FROM supplier")
+def _(s, d):
+    path = f"{shared_folder(s).rstrip('/')}/suppliers-{uuid.uuid4().hex}"
+    io.write_dataset(_t(s, d, "supplier").select("s_name", "s_acctbal", "s_nationkey"), path, "parquet", {"mode": "overwrite", "repartition": 2}, ["s_nationkey", "s_acctbal", "s_name"])
+    return io.read_dataset(s, path, "parquet")
+
+
+@_query(
+    "report_comparative_drift",
+    """WITH p AS (SELECT c_nationkey AS k, count(*) / (SELECT count(*) FROM customer)::DOUBLE AS a FROM customer GROUP BY 1), q AS (SELECT s_nationkey AS k, count(*) / (SELECT count(*) FROM supplier)::DOUBLE AS b FROM supplier GROUP BY 1)
+    SELECT CAST(k AS VARCHAR) AS bin, round(coalesce(a, 0), 6) AS source_share, round(coalesce(b, 0), 6) AS target_share, CASE WHEN a > 0 THEN round(100 * (coalesce(b, 0) - a) / a, 4) END AS diff FROM p FULL JOIN q USING (k)""",
+)
+def _(s, d):
+    a, b = _t(s, d, "customer").select(F.col("c_nationkey").cast("string").alias("k")), _t(s, d, "supplier").select(F.col("s_nationkey").cast("string").alias("k"))
+    return report.comparative_drift(b, a, "k").select("bin", F.round("source_share", 6).alias("source_share"), F.round("target_share", 6).alias("target_share"), F.col("%_diff").alias("diff"))
+
+
+_Q3 = "[l[greatest(1, CAST(ceil(p * len(l)) AS BIGINT))] for p in [0.25, 0.5, 0.75]]"
+
+
+@_query(
+    "report_outlier_spread",
+    f"""WITH q AS (SELECT l_linestatus AS grp, l[1] AS lo, l[len(l)] AS hi, {_Q3} AS q, l FROM (SELECT l_linestatus, list(l_extendedprice ORDER BY l_extendedprice) AS l FROM lineitem GROUP BY 1)),
+    f AS (SELECT *, q[1] - 1.5 * (q[3] - q[1]) AS a, q[3] + 1.5 * (q[3] - q[1]) AS b FROM q)
+    SELECT grp AS "group", 'l_extendedprice' AS attribute, lo AS min, q[1] AS q1, q[2] AS median, q[3] AS q3, hi AS max, round(a, 4) AS lower_fence, round(b, 4) AS upper_fence, CAST(len(list_filter(l, lambda x: x < a OR x > b)) AS BIGINT) AS outliers FROM f""",
+)
+def _(s, d):
+    found = charts.outlier_spread(_t(s, d, "lineitem"), "l_extendedprice", split_col="l_linestatus", accuracy=EXACT)
+    return found.withColumns({c: F.round(c, 4) for c in ("lower_fence", "upper_fence")})
+
+
+@_query("report_bin_index", "SELECT * FROM (VALUES (1, '<= 1.0'), (2, '1.0-2.5'), (3, '2.5'), (4, '> 2.5')) t(bin_idx, size)")
+def _(s, d):
+    return charts.bin_index(_t(s, d, "region"), "size", [1, 2.5, 2.5])
+
+
+@_query("report_frequency_binned", f"SELECT CASE WHEN l_quantity <= lo + w THEN 0 WHEN l_quantity <= lo + 2 * w THEN 1 WHEN l_quantity <= lo + 3 * w THEN 2 ELSE 3 END AS bin, count(*) AS count, round(100 * count(*) / (SELECT count(*) FROM lineitem)::DOUBLE, 4) AS pct FROM lineitem, (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 4 AS w FROM lineitem) GROUP BY 1")
+def _(s, d):
+    x = _items(s, d, "l_quantity")
+    cuts = binning.cutoffs(x, ["l_quantity"], "equal_range", 4)["l_quantity"]
+    labels = charts.bin_index(x, "l_quantity", cuts)
+    found = charts.chart_tables(x, bin_size=4)["freqDist_l_quantity"]
+    return found.join(labels, "l_quantity").select((F.col("bin_idx") - 1).alias("bin"), "count", F.col("count_%").alias("pct"))
+
+
+@_query(
+    "report_stability_lines",
+    """WITH p AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS idx, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY 1), i AS (SELECT (SELECT stddev_samp(m) / avg(m) FROM p) AS cv)
+    SELECT 'o_totalprice' AS attribute, idx, measure, round(value, 2) AS value FROM (SELECT idx, 'mean' AS measure, m AS value FROM p UNION ALL SELECT idx, 'stddev', s FROM p)""",
+)
+def _(s, d):
+    x = _t(s, d, "orders").select(F.year("o_orderdate").alias("idx"), "o_totalprice")
+    history = drift.period_metrics(x, ["o_totalprice"], "idx")
+    lines = charts.stability_lines(history, drift.stability_from_metrics(history))
+    return lines.where("measure != 'kurtosis'").select("attribute", "idx", "measure", F.round("value", 2).alias("value"))
+
+
+@_query("report_stability_bands", "SELECT * FROM (VALUES (0.5, 'Very Unstable'), (1.0, 'Unstable'), (2.2, 'Marginally Stable'), (3.0, 'Stable'), (3.5, 'Very Stable'), (-1.0, 'Out of Range')) t(x, band)")
+def _(s, d):
+    x = s.createDataFrame([(v,) for v in (0.5, 1.0, 2.2, 3.0, 3.5, -1.0)], "x double")
+    return x.withColumn("x", F.col("x").cast("decimal(2,1)")).withColumn("band", report.stability_band(F.col("x")))
+
+
+@_query("data_dictionary", "SELECT * FROM (VALUES ('n_nationkey', 'int', NULL), ('n_name', 'string', 'name of a nation'), ('n_regionkey', 'int', NULL)) t(attribute, data_type, definition)")
+def _(s, d):
+    return charts.data_dictionary(_t(s, d, "nation"), s.createDataFrame([("n_name", "name of a nation")], "attribute string, definition string"))
+
+
+_PRODUCT_DAYS = "(SELECT CAST(ts AS DATE) AS d, avg(value) AS v FROM events GROUP BY 1)"
+
+
+@_query(
+    "ts_decomposition",
+    f"""WITH x AS (SELECT d, v, (row_number() OVER w - 1) % 12 AS ph, CASE WHEN count(v) OVER (ORDER BY d ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN (sum(v) OVER (ORDER BY d ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(v, 6) OVER w + lead(v, 6) OVER w) / 2) / 12 END AS t FROM {_PRODUCT_DAYS} WINDOW w AS (ORDER BY d)),
+    m AS (SELECT ph, coalesce(avg(v - t), 0) AS m FROM x GROUP BY ph) SELECT CAST(d AS VARCHAR) AS ts, round(v, 6) AS value, round(t, 6) AS trend, round(m - (SELECT avg(m) FROM m), 6) AS seasonal, round(v - t - (m - (SELECT avg(m) FROM m)), 6) AS residual FROM x JOIN m USING (ph)""",
+)
+def _(s, d):
+    days = timeseries.profile(_t(s, d, "events"), "ts", "value")
+    found = timeseries.decomposition(days, "ts", "mean")
+    return found.select(F.col("ts").cast("string").alias("ts"), *(F.round(c, 6).alias(c) for c in ("value", "trend", "seasonal", "residual")))
+
+
+@_query("ts_view_hourly", "SELECT CASE WHEN hour(ts) BETWEEN 4 AND 6 THEN 'early_hours' WHEN hour(ts) BETWEEN 10 AND 16 THEN 'work_hours' WHEN hour(ts) BETWEEN 20 AND 23 THEN 'late_hours' WHEN hour(ts) IN (7, 8, 9, 17, 18, 19) THEN 'commuting_hours' ELSE 'other_hours' END AS ts, min(value) AS min, max(value) AS max, round(avg(value), 8) AS mean, round(quantile_cont(value, 0.5), 8) AS median FROM events GROUP BY 1")
+def _(s, d):
+    found = charts.ts_views(_t(s, d, "events"), "ts", "value", "hourly")["ts_value_hourly"]
+    return found.withColumns({c: F.round(c, 8) for c in ("mean", "median")})
+
+
+@_query("ts_analyzer", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS ts, event_type, count(*) AS count FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 10) GROUP BY 1, 2")
+def _(s, d):
+    found = timeseries.ts_analyzer(_t(s, d, "events").select("event_id", "ts", "event_type"), "event_id", max_days=1_000_000)
+    return found["ts", "event_type", "daily"].withColumn("ts", F.col("ts").cast("string"))
+
+
+@_query("ts_landscape", "SELECT CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS first, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS last FROM events")
+def _(s, d):
+    found = charts.ts_landscape(_t(s, d, "events"), "ts", "user_id")["ts_ts_eligibility_2"]
+    return found.select(F.col("count_unique_dates").alias("days"), F.col("min_date").cast("string").alias("first"), F.col("max_date").cast("string").alias("last"))
+
+
+@_query("ts_tests")
+def _(s, d):
+    return charts.ts_tests(_t(s, d, "events"), "ts", "value")
+
+
+@_query("location_fields", "SELECT * FROM (VALUES ('Latitude Col', 'latitude', 1), ('Longitude Col', 'longitude', 1), ('Geohash Col', '', 0)) t(field, columns, count)")
+def _(s, d):
+    x = _places(s, d).select("c_custkey", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    return charts.location_fields(x, *geospatial.detect_locations(x))
+
+
+@_query("location_stats_summary", f"WITH x AS (SELECT DISTINCT lat, lon FROM {_PLACES}) SELECT 'Distinct {{Lat, Long}} Pair' AS stats, CAST(count(*) AS VARCHAR) AS count FROM x UNION ALL SELECT 'Distinct Latitude', CAST(count(DISTINCT lat) AS VARCHAR) FROM x UNION ALL SELECT 'Distinct Longitude', CAST(count(DISTINCT lon) AS VARCHAR) FROM x")
+def _(s, d):
+    x = _places(s, d).select("c_custkey", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    return charts.location_tables(x, "c_custkey")["location_summary_latitude_longitude"]
+
+
+@_query("location_in_range", f"SELECT c_custkey, lat, lon FROM {_PLACES} WHERE c_custkey % 9 <> 0")
+def _(s, d):
+    x = _places(s, d).select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("lat")).otherwise(F.col("lat") + 300).alias("lat"), "lon")
+    return geospatial._valid(x, "lat", "lon").select("c_custkey", "lat", "lon")
+
+
+@_query("cluster_sizes", f"SELECT CAST(c_nationkey AS BIGINT) AS cluster, count(*) AS count, round(avg(lat), 6) AS latitude, round(avg(lon), 6) AS longitude FROM {_PLACES} GROUP BY 1")
+def _(s, d):
+    x = _places(s, d).select("lat", "lon", F.col("c_nationkey").cast("bigint").alias("cluster"))
+    return charts.cluster_sizes(x).withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+
+
+@_query("usecases_by_industry", "SELECT DISTINCT 'size ' || (p_size % 5) AS usecase FROM part WHERE contains(lower(p_brand), (SELECT min(lower(p_brand)) FROM part))")
+def _(s, d):
+    c = _corpus(s, d)
+    return recommend.listed_by(c, "usecase", "industry", c.agg(F.min("industry")).first()[0], semantic=False)
+
+
+@_query("industries_by_usecase", "SELECT DISTINCT lower(p_brand) AS industry FROM part WHERE p_size % 5 = 2")
+def _(s, d):
+    return recommend.listed_by(_corpus(s, d), "industry", "usecase", "size 2", semantic=False)
+
+
+@_query("features_by_pair", "SELECT p_name AS feature_name, p_type AS feature_desc, lower(p_brand) AS industry, 'size 1' AS usecase FROM part WHERE p_size % 5 = 1 AND contains(lower(p_brand), (SELECT min(lower(p_brand)) FROM part))")
+def _(s, d):
+    c = _corpus(s, d)
+    return recommend.features_by(c, c.agg(F.min("industry")).first()[0], "size 1", "all", semantic=False)
+
+
+@_query("features_by_usecase", "SELECT p_name AS feature_name, p_type AS feature_desc, lower(p_brand) AS industry, 'size 4' AS usecase FROM part WHERE p_size % 5 = 4")
+def _(s, d):
+    return recommend.features_by(_corpus(s, d), usecase="size 4", num_of_feat="all", semantic=False)
+
+
+@_query("sankey_edges", "SELECT r_name AS source, n_name AS target, CAST(1.5 AS DOUBLE) AS weight FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(s, d):
+    x = _t(s, d, "nation").join(_t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.col("n_name").alias("feature_name"), F.lit(1.5).alias("similarity"))
+    return recommend.sankey_frames(x, "r_name")[1]
+
+
+@_query(
+    "feature_store_fields",
+    """SELECT * FROM (VALUES ('c_name', '        Field(name="c_name", dtype=String),'), ('c_nationkey', '        Field(name="c_nationkey", dtype=Int64),'), ('c_acctbal', '        Field(name="c_acctbal", dtype=Float64),'), ('c_mktsegment', '        Field(name="c_mktsegment", dtype=String),')) t(attribute, field)""",
+)
+def _(s, d):
+    kinds = [(n, k) for n, k in _t(s, d, "customer").dtypes if n != "c_custkey"]
+    text = featurestore.fields_text(kinds, ["c_custkey"]).splitlines()
+    return s.createDataFrame([(n, line) for (n, _), line in zip(kinds, text, strict=True)], "attribute string, field string")
+
+
+@_query("feature_store_timestamps", "SELECT s_suppkey, '2020-01-02 03:04:05' AS event_time, '2020-01-02 03:04:05' AS create_time FROM supplier")
+def _(s, d):
+    source = {"event_timestamp": "event_time", "create_timestamp": "create_time"}
+    x = featurestore.add_timestamp_columns(_t(s, d, "supplier").select("s_suppkey"), source, datetime(2020, 1, 2, 3, 4, 5, tzinfo=UTC))
+    return x.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in source.values()})
+
+
+@_query(
+    "point_in_time_join_ttl",
+    """SELECT event_id, CASE WHEN user_id IS NOT NULL THEN (SELECT f.value FROM events f WHERE f.event_type = 'purchase' AND CASE WHEN f.event_id % 4 <> 0 THEN f.user_id END = e.user_id AND f.ts <= e.ts AND e.ts - f.ts <= INTERVAL 864000 SECOND ORDER BY f.ts DESC, f.value DESC LIMIT 1) END AS value
+    FROM (SELECT event_id, ts, CASE WHEN event_id % 3 <> 0 THEN user_id END AS user_id FROM events WHERE event_type <> 'purchase') e""",
+)
+def _(s, d):
+    e = _t(s, d, "events")
+    keyed = lambda x, n: x.withColumn("user_id", F.when(F.col("event_id") % n != 0, F.col("user_id")))
+    f = keyed(e.where("event_type = 'purchase'"), 4).select("user_id", F.col("ts").alias("ft"), "value")
+    return featurestore.point_in_time_join(keyed(e.where("event_type != 'purchase'"), 3).select("event_id", "user_id", "ts"), f, ["user_id"], "ts", "ft", 864_000).select("event_id", "value")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

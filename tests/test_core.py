@@ -285,3 +285,145 @@ def test_queries_fit_as_the_operators_do(monkeypatch):
     for name in ("imputation_knn", "autoencoder_latent_features"):
         registry.queries()[name](None, "")
     assert given == [{"method_type": "KNN"}, {}]
+
+
+def test_point_in_time_join_null_keys_and_ties(spark):
+    from strataforge.plans.featurestore import point_in_time_join
+
+    entities = spark.createDataFrame([(1, None, 10), (2, 7, 10), (3, 7, 4)], "i int, k int, t int")
+    features = spark.createDataFrame([(None, 5, "leak"), (7, 5, "b"), (7, 5, "c"), (7, 5, "a")], "k int, ft int, v string")
+    assert sorted((r["i"], r["v"]) for r in point_in_time_join(entities, features, ["k"], "t", "ft").collect()) == [(1, None), (2, "c"), (3, None)]
+
+
+def test_reverse_geocoding_round_the_globe(spark):
+    import math
+
+    from strataforge.operators.geospatial import reverse_geocoding
+
+    places = [("far", -60.0, 20.0), ("east", 0.5, 179.2), ("west", 0.5, -179.95), ("pole", 89.0, 10.0), ("home", 40.0, 3.0)]
+    g = spark.createDataFrame([(n, a, b, "r", "c") for n, a, b in places], "name_of_place string, latitude double, longitude double, region string, country_code string")
+    points = [(0.5, 179.95), (0.5, 179.5), (88.0, -170.0), (-80.0, -100.0), (41.0, 3.5), (0.0, 90.0)]
+
+    def distance(p, q):
+        a, b, c, d = map(math.radians, (*p, *q))
+        return math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    want = {p: min(places, key=lambda x: distance(p, x[1:]))[0] for p in points}
+    for precision in (1, 3):
+        got = reverse_geocoding(spark.createDataFrame(points, "lat double, lon double"), "lat", "lon", g, precision).collect()
+        assert {(r["lat"], r["lon"]): r["name_of_place"] for r in got} == want
+
+
+def test_numbered_rows_have_no_gaps(spark):
+    from strataforge.sources.staging import numbered
+
+    x = numbered(spark.range(1000).repartition(7), "n")
+    assert sorted(r["n"] for r in x.collect()) == list(range(1000))
+
+
+def test_factorization_tells_rows_apart(spark):
+    from strataforge.operators.imputation import auto_imputation, impute_factorization
+
+    rows = [(i, float(i % 10), float(2 * (i % 10)), None if i % 9 == 0 else float(3 * (i % 10))) for i in range(200)]
+    df = spark.createDataFrame(rows, "i bigint, a double, b double, c double")
+    got = {r["i"]: r for r in impute_factorization(df, "c", id_col="i", rank=2, iterations=10).collect()}
+    assert len(got) == 200 and all(abs(got[i]["c"] - 3 * a) < 3 for i, a, _, _ in rows)
+    assert auto_imputation(df, "c", id_col="i").where("c is null").count() == 0
+
+
+def test_nearest_neighbours_of_all_rows():
+    import numpy as np
+
+    from strataforge.operators.imputation import _neighbours
+
+    rng = np.random.default_rng(1)
+    fit, x = rng.normal(5, 2, (60, 4)), rng.normal(5, 2, (30, 4))
+    fit[rng.random(fit.shape) < 0.1] = np.nan
+    x[rng.random(x.shape) < 0.2] = np.nan
+    got = _neighbours(fit, x)
+    for i, row in enumerate(x):
+        for j in np.flatnonzero(np.isnan(row)):
+            found = []
+            for f in fit:
+                both = ~np.isnan(f) & ~np.isnan(row)
+                if not np.isnan(f[j]) and both.any():
+                    found.append((((f - row)[both] ** 2).sum() * 4 / both.sum(), f[j]))
+            want = np.mean([v for _, v in sorted(found)[:5]]) if found else np.nanmean(fit[:, j])
+            assert abs(got[i, j] - want) < 1e-9
+
+
+def test_bins_of_all_sizes_at_once(spark):
+    from strataforge.operators.binning import cutoffs, cutoffs_by_size
+
+    x = spark.range(500).selectExpr("cast(id as double) v", "cast(id % 7 as double) w")
+    for method in ("equal_range", "equal_frequency"):
+        assert cutoffs_by_size(x, ["v", "w"], method, [3, 8, 20]) == {n: cutoffs(x, ["v", "w"], method, n) for n in (3, 8, 20)}
+
+
+def test_restarts_of_clustering(spark):
+    from strataforge.operators.association import variable_clustering
+
+    x = spark.range(300).selectExpr("sin(id) a", "sin(id) + cos(id * 3) / 9 b", "cos(id * 7) c", "cos(id * 7) - sin(id * 5) / 9 d", "cast(id % 5 as double) e")
+    got = {r["Attribute"]: r for r in variable_clustering(x, restarts=3).collect()}
+    assert got["a"]["Cluster"] == got["b"]["Cluster"] != got["c"]["Cluster"] == got["d"]["Cluster"]
+    assert all(0 <= r["RS_NC"] <= 1 and r["RS_Own"] > r["RS_NC"] for r in got.values())
+
+
+def test_names_and_paths(spark):
+    from strataforge.functions.columns import get_dtype
+    from strataforge.functions.paths import ends_with, https_path, local_path
+    from strataforge.plans import charts
+
+    assert (ends_with("a"), ends_with("a/"), local_path("dbfs:/x"), local_path("/x")) == ("a/", "a/", "/dbfs/x", "/x")
+    assert https_path("wasbs://box@host.example.net/a/b") == "https://host.example.net/box/a/b"
+    assert get_dtype(spark.range(1), "id") == "bigint"
+    assert charts.title("nullRows_detection") == "Null Detection" and charts.title("measures_of_counts") == "Measures Of Counts"
+    assert [charts.power_name(v) for v in (-2, -1, -0.5, 0, 0.5, 1, 2)] == ["Reciprocal Square Transform", "Reciprocal Transform", "Receiprocal Square Root Transform", "Log Transform", "Square Root Transform", "No Transform", "Square Transform"]
+    assert charts.plain_names(["a_ts", "b"]) == ["a", "b"] and charts.converted_names(["a_ts", "b"]) == ["a_ts", "b_ts"]
+    assert set(charts.saved_stats("p", "nullColumns_detection")) == {"stats_unique", "stats_mode", "stats_missing"} and charts.saved_stats("p", "x") == {}
+
+
+def test_charts(spark, tmp_path):
+    from strataforge.plans import charts
+
+    x = spark.range(100).selectExpr("cast(id as double) v", "if(id % 3 = 0, 'a', 'b') c", "cast(id % 2 as int) y")
+    made = charts.charts_to_objects(x, f"{tmp_path}/charts", list_of_cols="v|c", label_col="y", source=x, outlier_charts=True)
+    assert set(made) == {"freqDist_v", "eventDist_v", "drift_v", "outlier_v", "freqDist_c", "eventDist_c", "drift_c"}
+    assert {r["c"]: r["count"] for r in made["freqDist_c"]["data"]} == {"a": 34, "b": 66} and made["outlier_v"]["type"] == "box"
+    assert charts.charts_in(spark, f"{tmp_path}/charts", "freqDist_", "c") == {"freqDist_c": made["freqDist_c"]}
+    found = charts.tabs({"stats_generator/measures_of_counts": x, "quality_checker/nullRows_detection": x, "drift_detector/drift_statistics": x, "zzz": x})
+    assert list(found) == ["Descriptive Statistics", "Quality Check", "Data Drift & Data Stability", "Other"]
+    assert "<h2>Wiki: Data Dictionary</h2>" in charts.page({"data_dictionary": charts.data_dictionary(x)})
+    assert charts.outlier_points(x, "v").count() == 100
+
+
+def test_pipeline_with_charts_and_feature_store(spark, tmp_path):
+    from strataforge.plans import pipeline
+
+    spark.range(60).selectExpr("id", "cast(id % 7 as double) v", "if(id % 2 = 0, 'a', 'b') c").write.parquet(f"{tmp_path}/in")
+    config = {
+        "input_dataset": {"read_dataset": {"file_path": f"{tmp_path}/in", "file_type": "parquet"}},
+        "stats_generator": {"metric": ["measures_of_counts"], "metric_args": {"list_of_cols": "v|c"}},
+        "report_preprocessing": {"charts_to_objects": {"list_of_cols": "v|c", "outlier_charts": True}},
+        "report_generation": {"final_report_path": f"{tmp_path}/page"},
+        "write_main": {"file_path": f"{tmp_path}/out", "file_type": "parquet", "file_configs": {"mode": "overwrite", "repartition": 1}},
+        "write_feast_features": {"file_path": f"{tmp_path}/store", "entity": {"name": "thing", "id_col": "id"}, "file_source": {"event_timestamp": "event_time", "create_timestamp": "create_time"}, "feature_view": {"name": "view", "ttl_in_seconds": 60}},
+    }
+    df, tables = pipeline.run(spark, config)
+    assert {"event_time", "create_time"} < set(df.columns) and "report_preprocessing/outlier_v" in tables and "data_dictionary" in tables
+    text = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/store").collect())
+    assert 'Field(name="v", dtype=Float64)' in text and 'join_keys=["id"]' in text
+    assert "Measures Of Counts" in spark.read.text(f"{tmp_path}/page").first()[0]
+
+
+def test_checks(spark):
+    from strataforge.functions.columns import resolve
+    from strataforge.operators import drift
+
+    with pytest.raises(ValueError):
+        drift.check_weights({"mean": 0.5})
+    with pytest.raises(ValueError):
+        drift.check_threshold(5)
+    drift.check_weights({"mean": 0.5, "stddev": 0.3, "kurtosis": 0.2})
+    with pytest.raises(TypeError):
+        resolve(spark.range(1), "nope")

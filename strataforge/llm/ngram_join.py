@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a size-aware heavy-light set join, and the components of its links.
 
-A text's set is its distinct ``n``-word shingles as 64-bit hashes; whether sets are equal and which shingles two sets share is
-decided by 128 bits of each. All tokens have one global order, rare ones first, by the smaller of two counts in a sketch of fixed
+A text's set is its distinct ``n``-word shingles as 64-bit hashes. Candidates are found by these; how many shingles two candidates
+share is counted by a second hash, of other hashes of the words, and whether sets are equal is decided by both. All tokens have one global order, rare ones first, by the smaller of two counts in a sketch of fixed
 size (the order decides speed only). Sets that link share, among the first
 s - t + k tokens of that order (s the set's size, t the least overlap a partner can have), at least k tokens. So
 
@@ -55,7 +55,7 @@ def shingle_sets(s: K.Slice, n: int) -> list[np.ndarray]:
 
 
 def wide_sets(s: K.Slice, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct shingles, and a second hash of each, of other words' hashes: together 128 bits."""
+    """Each text's distinct shingles, and a second hash of each, of other words' hashes: together 128 bits of each."""
     return [x for piece in s.pieces() for x in _shingle_sets(piece, n, True)]
 
 
@@ -134,13 +134,10 @@ class Rule:
         return fits & (differ * (self.den + self.num) <= (self.den - self.num) * (n_a + n_b))
 
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
-        """``a``, ``b``: tokens and their second hashes, in two rows."""
-        n_a, n_b = a.shape[1], b.shape[1]
-        if self.den * min(n_a, n_b) < self.num * max(n_a, n_b):
+        if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
             return False
-        _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-        both = int((a[1][i] == b[1][j]).sum())
-        return self.den * both >= self.num * (n_a + n_b - both)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return self.den * both >= self.num * (len(a) + len(b) - both)
 
 
 def boundary(sizes: dict[int, int], scan: float, rule: Rule) -> int:
@@ -202,13 +199,14 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, small: int, rule: Rule) ->
 
 
 def _partners(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Pairs of each list's members with its first and with a random neighbour; sorted by (sig, own), without repeats."""
+    """Pairs of each list's members with its first and with the next by a hash, which is the same in lists of the same members; sorted by
+    (sig, own), without repeats."""
     if not len(sig):
         return np.zeros((0, 2), np.int64)
     first = np.r_[True, sig[1:] != sig[:-1]]
     at = np.flatnonzero(first)
     hub = np.repeat(own[at], np.diff(np.r_[at, len(sig)]))
-    near = own[np.lexsort((K.mix(own.view(np.uint64) ^ sig), sig))]
+    near = own[np.lexsort((K.mix(own.view(np.uint64)), sig))]
     pairs = np.r_[np.stack([hub, own], 1)[~first], np.stack([near, np.roll(near, 1)], 1)[~first]]
     return np.unique(np.sort(pairs, 1), axis=0)
 
@@ -340,13 +338,13 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
         for batch in batches:
             for s in K.slices(batch.column(0), SLICE_BYTES):
                 sets = [(x, y) for x, y in wide_sets(s, n) if len(x) >= least_size]
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x, _ in sets], pa.int64()), pa.array([x.tobytes() + y.tobytes() for x, y in sets], pa.binary())], names=["d", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x, _ in sets], pa.int64()), pa.array([y.tobytes() for _, y in sets], pa.binary())], names=["d", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                ok = [rule.links(np.frombuffer(x, np.uint64).reshape(2, -1), np.frombuffer(y, np.uint64).reshape(2, -1)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                ok = [rule.links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:

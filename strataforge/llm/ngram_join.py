@@ -45,6 +45,7 @@ SLICE_BYTES = 1 << 20
 PARITY_BYTES = 128
 LOCAL_LIST = 8
 LONG_LIST = 4096
+ORDERS = 8
 #: Signatures and members of open lists that one bucket, which is one task's, has on average at most.
 BUCKET_POSTS, BUCKET_MEMBERS = 4_000_000, 100_000
 
@@ -199,14 +200,14 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, small: int, rule: Rule) ->
 
 
 def _partners(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Pairs of each list's members with its first and with the next by a hash, which is the same in lists of the same members; sorted by
-    (sig, own), without repeats."""
+    """Pairs of each list's members with its first and with the next in one of ``ORDERS`` random orders, so that lists of the same members give
+    few different pairs and still tie all of them; sorted by (sig, own), without repeats."""
     if not len(sig):
         return np.zeros((0, 2), np.int64)
     first = np.r_[True, sig[1:] != sig[:-1]]
     at = np.flatnonzero(first)
     hub = np.repeat(own[at], np.diff(np.r_[at, len(sig)]))
-    near = own[np.lexsort((K.mix(own.view(np.uint64)), sig))]
+    near = own[np.lexsort((K.mix(own.view(np.uint64) ^ (sig & np.uint64(ORDERS - 1))), sig))]
     pairs = np.r_[np.stack([hub, own], 1)[~first], np.stack([near, np.roll(near, 1)], 1)[~first]]
     return np.unique(np.sort(pairs, 1), axis=0)
 
@@ -385,8 +386,25 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
             bits = np.frombuffer(b"".join(by["v"].to_pylist()), np.int64).reshape(-1, PARITY_BYTES // 8)
             yield pa.RecordBatch.from_arrays([by["sig"], by["d"], by["c"], by["n"], *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], names=["sig", "d", "c", "n", *(f"v{i}" for i in range(PARITY_BYTES // 8))])
 
-    first = linked(hopeful(pairs, "pairs"), "pairs")
-    found = components(first)
+    def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+        """``found`` (node, component) after further links: a graph of the components that they join only."""
+        ends = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        across = links.join(ends, F.col("a") == F.col("_n"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
+        across = across.join(ends, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+        more = components(across)
+        renamed = found.join(more.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+        return stage(renamed.unionByName(more.join(found, "node", "left_anti")), "components")
+
+    # Sets are read and compared for one pair of each set first, the one with its least partner; then for what is still apart.
+    likely = hopeful(pairs, "pairs")
+    least = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    chosen = stage(least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chosen")
+    found = components(linked(chosen, "chosen"))
+    for x, y in (("a", "ca"), ("b", "cb")):
+        likely = likely.join(found.select(F.col("node").alias(x), F.col("component").alias(y)), x, "left").withColumn(y, F.coalesce(y, x))
+    apart = stage(likely.where("ca != cb").select("a", "b").join(chosen, ["a", "b"], "left_anti"), "apart")
+    if apart.limit(1).count():
+        found = merged(found, linked(apart, "apart"))
     # Members of lists with more than one component, and their pairs across components.
     named = stage(lists.join(found.select(F.col("node").alias("d"), "component"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("c")), "named")
     mixed = stage(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("sig", "m"), "mixed")
@@ -402,12 +420,7 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     crossing_long = left.join(right, (F.col("lsig") == F.col("rsig")) & fits).select(F.least("ld", "rd").alias("a"), F.greatest("ld", "rd").alias("b"))
     second = linked(stage(crossing.unionByName(crossing_long).distinct(), "crossing"), "crossing")
     if second.limit(1).count():  # links between components of the first round: a graph of those components only
-        ends = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        across = second.join(ends, F.col("a") == F.col("_n"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
-        across = across.join(ends, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_c", "b").alias("b"))
-        merged = components(across)
-        renamed = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
-        found = stage(renamed.unionByName(merged.join(found, "node", "left_anti")), "components")
+        found = merged(found, second)
     # A component's name is so far its smallest digest; the smallest id takes its place.
     by_class = classes.join(found.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
     by_class = stage(by_class.select("d", "d2", "n", "rep", F.col("component").alias("c")), "named-classes")

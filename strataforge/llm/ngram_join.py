@@ -45,7 +45,6 @@ SLICE_BYTES = 1 << 20
 PARITY_BYTES = 128
 LOCAL_LIST = 8
 LONG_LIST = 4096
-ORDERS = 8
 #: Signatures and members of open lists that one bucket, which is one task's, has on average at most.
 BUCKET_POSTS, BUCKET_MEMBERS = 4_000_000, 100_000
 
@@ -200,14 +199,14 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, small: int, rule: Rule) ->
 
 
 def _partners(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Pairs of each list's members with its first and with the next in one of ``ORDERS`` random orders, so that lists of the same members give
-    few different pairs and still tie all of them; sorted by (sig, own), without repeats."""
+    """Pairs of each list's members with its first and with the next in a random order of the list's own, so that a long list's members are tied
+    in many ways; sorted by (sig, own), without repeats."""
     if not len(sig):
         return np.zeros((0, 2), np.int64)
     first = np.r_[True, sig[1:] != sig[:-1]]
     at = np.flatnonzero(first)
     hub = np.repeat(own[at], np.diff(np.r_[at, len(sig)]))
-    near = own[np.lexsort((K.mix(own.view(np.uint64) ^ (sig & np.uint64(ORDERS - 1))), sig))]
+    near = own[np.lexsort((K.mix(own.view(np.uint64) ^ sig), sig))]
     pairs = np.r_[np.stack([hub, own], 1)[~first], np.stack([near, np.roll(near, 1)], 1)[~first]]
     return np.unique(np.sort(pairs, 1), axis=0)
 

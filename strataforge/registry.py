@@ -1056,10 +1056,10 @@ def _(s, d):
     return geospatial._valid(x, "lat", "lon").select("c_custkey", "lat", "lon")
 
 
-@_query("cluster_sizes", f"SELECT CAST(c_nationkey AS BIGINT) AS cluster, count(*) AS count, round(avg(lat), 6) AS latitude, round(avg(lon), 6) AS longitude FROM {_PLACES} GROUP BY 1")
+@_query("cluster_sizes", f"SELECT CAST(c_nationkey AS BIGINT) AS cluster, count(*) AS count, round(avg(lat), 9) AS latitude, round(avg(lon), 9) AS longitude FROM {_PLACES} GROUP BY 1")
 def _(s, d):
     x = _places(s, d).select("lat", "lon", F.col("c_nationkey").cast("bigint").alias("cluster"))
-    return charts.cluster_sizes(x).withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+    return charts.cluster_sizes(x).withColumns({c: F.round(c, 9) for c in ("latitude", "longitude")})
 
 
 @_query("usecases_by_industry", "SELECT DISTINCT 'size ' || (p_size % 5) AS usecase FROM part WHERE contains(lower(p_brand), (SELECT min(lower(p_brand)) FROM part))")

@@ -1,9 +1,9 @@
 """N-gram Jaccard join: a size-aware heavy-light set join, and the components of its links.
 
 A text's set is its distinct ``n``-word shingles as 64-bit hashes. Candidates are found by these; how many shingles two candidates
-share is counted by a second hash, of other hashes of the words, and whether sets are equal is decided by both. All tokens have one global order, rare ones first, by the smaller of two counts in a sketch of fixed
-size (the order decides speed only). Sets that link share, among the first
-s - t + k tokens of that order (s the set's size, t the least overlap a partner can have), at least k tokens. So
+share is counted by a second hash, of other hashes of the words, and whether sets are equal is decided by both. All tokens have one
+global order, rare ones first, by the smaller of two counts in a sketch of fixed size (the order decides speed only). Sets that link
+share, among the first s - t + k tokens of that order (s the set's size, t the least overlap a partner can have), at least k tokens. So
 
 * small sets enumerate the fixed-size subsets (pairs, k = 2) of that prefix, and meet where a subset is equal;
 * large sets post the tokens of their prefix (k = 1) to inverted lists, which are scanned; small sets whose size allows a
@@ -17,8 +17,8 @@ list's first one and one random neighbour; after that, only pairs of sets in one
 different components are checked, all of them: no link between components is lost, and a list of near copies, however
 long, gives pairs in proportion to its length. A list with many members in one slice of the input is tied together
 there, and only its first member meets the other slices. Sets of equal texts are one from the start. A pair's sizes
-and parity bits (two sets differ in as many tokens as bits at least) rule most others out; what is left is
-verified by the exact overlap of the two sets.
+and parity bits (two sets differ in as many tokens as bits at least) rule most others out; large sets have as many bits as tokens
+at least, so that few pairs which don't link are left. What is left is verified by the exact overlap of the two sets.
 
 Edge cases: null and empty texts have no shingles and are components of their own; a text of fewer than ``n`` words is one
 shingle; rows that share an id are judged each by its own text; a row with a null id has a null component; an empty table gives
@@ -109,12 +109,26 @@ def _places(tokens: np.ndarray) -> np.ndarray:
     return np.stack([high, low + (1 << SKETCH_BITS)])
 
 
-def parity(tokens: np.ndarray) -> bytes:
+def parity(tokens: np.ndarray, size: int = PARITY_BYTES) -> bytes:
     """One bit per place: whether an odd number of tokens falls on it. Two sets differ in as many tokens as bits at least."""
-    count = np.bincount((tokens & np.uint64(8 * PARITY_BYTES - 1)).astype(np.int64), minlength=8 * PARITY_BYTES)
+    count = np.bincount((tokens & np.uint64(8 * size - 1)).astype(np.int64), minlength=8 * size)
     return np.packbits((count & 1).astype(bool)).tobytes()
 
 
+def fine_parity(tokens: np.ndarray) -> bytes | None:
+    """The same with a bit for each token at least, of sets for which ``PARITY_BYTES`` are fewer."""
+    size = 1 << max(len(tokens) - 1, 0).bit_length() >> 3
+    return parity(tokens, size) if size > PARITY_BYTES else None
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two parities differ, the longer one folded to the other's length."""
+    a, b = sorted((np.frombuffer(z, np.uint64) for z in (x, y)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 class Rule:
     """Two sets link when ``den`` times their overlap is ``num`` times their union or more."""
 
@@ -235,14 +249,14 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
                 sketch += np.bincount(_places(np.concatenate(sets)).reshape(-1), minlength=len(sketch))
                 marks = [(name_of(x), name_of(y)) for x, y in both]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.n), batch.column(2).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.nulls(s.n, pa.int32()), pa.array([parity(x) if len(x) >= least_size else None for x in sets], pa.binary())],
-                    names=["id", "k", "n", "d", "d2", "chunk", "v"],
+                    [batch.column(0).slice(s.first, s.n), batch.column(2).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.nulls(s.n, pa.int32()), pa.array([parity(x) if len(x) >= least_size else None for x in sets], pa.binary()), pa.array([fine_parity(x) for x in sets], pa.binary())],
+                    names=["id", "k", "n", "d", "d2", "chunk", "v", "w"],
                 )
         rows = _chunks(sketch)
         none = pa.nulls(rows.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, *rows.columns], names=["id", "k", "n", "d", "d2", "chunk", "v"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, *rows.columns, pa.nulls(rows.num_rows, pa.binary())], names=["id", "k", "n", "d", "d2", "chunk", "v", "w"])
 
-    surveyed = stage(narrow.mapInArrow(survey, "id bigint, k bigint, n bigint, d bigint, d2 bigint, chunk int, v binary"), "sets")
+    surveyed = stage(narrow.mapInArrow(survey, "id bigint, k bigint, n bigint, d bigint, d2 bigint, chunk int, v binary, w binary"), "sets")
     rows = surveyed.where("chunk is null")
     members = rows.select("id", "k", "n", "d", "d2")
     sketch = _sum_chunks(surveyed.where("chunk is not null").select("chunk", "v"), SKETCH_ROWS << SKETCH_BITS)
@@ -334,6 +348,21 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
         two = one.join(marks.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb")), "b")
         return stage(two.select("a", "b", "na", "nb", "va", "vb").mapInArrow(differ, "a bigint, b bigint"), name + "-hopeful")
 
+    def finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sizes and fine parities, where both have some, allow a link."""
+        for batch in batches:
+            a, b, n_a, n_b, w_a, w_b = (c.to_pylist() for c in batch.columns)
+            ok = [x is None or y is None or bool(rule.possible(np.int64(i), np.int64(j), np.int64(differing(x, y)))) for i, j, x, y in zip(n_a, n_b, w_a, w_b, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    def finer(pairs: DataFrame, name: str) -> DataFrame:
+        """``pairs``: staged."""
+        ends = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
+        fine = stage(rows.where("w is not null and id is not null").select("d", "n", "w").join(ends, "d", "left_semi").groupBy("d").agg(F.min("n").alias("n"), F.min("w").alias("w")), name + "-fine")
+        one = pairs.join(fine.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa")), "a", "left")
+        two = one.join(fine.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb")), "b", "left")
+        return stage(two.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(finely, "a bigint, b bigint"), name + "-fine-hopeful")
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column(0), SLICE_BYTES):
@@ -395,7 +424,7 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
         return stage(renamed.unionByName(more.join(found, "node", "left_anti")), "components")
 
     # Sets are read and compared for one pair of each set first, the one with its least partner; then for what is still apart.
-    likely = hopeful(pairs, "pairs")
+    likely = finer(hopeful(pairs, "pairs"), "pairs")
     least = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
     chosen = stage(least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chosen")
     found = components(linked(chosen, "chosen"))
@@ -414,10 +443,10 @@ def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     # the join, so that only what can link is shuffled.
     long = stage(named.join(mixed.where(F.col("m") > LONG_LIST), "sig", "left_semi").join(marks, "d").mapInArrow(opened, f"sig bigint, d bigint, c bigint, n bigint, {', '.join(f'v{i} bigint' for i in range(PARITY_BYTES // 8))}"), "long")
     left, right = (long.select(*(F.col(c).alias(x + c) for c in long.columns)) for x in "lr")
-    differing = sum((F.bit_count(F.col(f"lv{i}").bitwiseXOR(F.col(f"rv{i}"))) for i in range(PARITY_BYTES // 8)), F.lit(0))
-    fits = (F.col("lc") < F.col("rc")) & (den * F.least("ln", "rn") >= num * F.greatest("ln", "rn")) & (differing * (den + num) <= (den - num) * (F.col("ln") + F.col("rn")))
+    apart_bits = sum((F.bit_count(F.col(f"lv{i}").bitwiseXOR(F.col(f"rv{i}"))) for i in range(PARITY_BYTES // 8)), F.lit(0))
+    fits = (F.col("lc") < F.col("rc")) & (den * F.least("ln", "rn") >= num * F.greatest("ln", "rn")) & (apart_bits * (den + num) <= (den - num) * (F.col("ln") + F.col("rn")))
     crossing_long = left.join(right, (F.col("lsig") == F.col("rsig")) & fits).select(F.least("ld", "rd").alias("a"), F.greatest("ld", "rd").alias("b"))
-    second = linked(stage(crossing.unionByName(crossing_long).distinct(), "crossing"), "crossing")
+    second = linked(finer(stage(crossing.unionByName(crossing_long).distinct(), "crossing"), "crossing"), "crossing")
     if second.limit(1).count():  # links between components of the first round: a graph of those components only
         found = merged(found, second)
     # A component's name is so far its smallest digest; the smallest id takes its place.

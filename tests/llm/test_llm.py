@@ -118,6 +118,40 @@ def test_ngram_join_long_lists(spark, monkeypatch):
     assert got == jaccard_brute(rows)
 
 
+def test_ngram_join_large_sets(spark):
+    """Texts of 900 to 5,000 words about the link's limit, some with many times another's bits of parity."""
+    from strataforge.llm import ngram_join
+
+    rng = random.Random(4)
+    rows = []
+    for base in range(4):
+        words = [f"b{base}w{i}" for i in range((900, 1030, 2100, 5000)[base])]
+        rows.append((len(rows), " ".join(words)))
+        for share in (0.01, 0.02, 0.035, 0.05, 0.1):
+            w = list(words)
+            for _ in range(int(share * len(w))):
+                w[rng.randrange(len(w))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(w[: int(len(w) * rng.choice((1, 0.97)))])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == jaccard_brute(rows)
+
+
+def test_fine_parity():
+    from strataforge.llm import ngram_join as J
+
+    rng = np.random.default_rng(5)
+    for n, m in ((1024, 1025), (1500, 1700), (1100, 9000), (4096, 4097)):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.r_[a[n // 10 :], rng.integers(0, 1 << 63, m - n + n // 10).astype(np.uint64)]
+        x, y = (J.fine_parity(z) or J.parity(z) for z in (a, b))
+        places = 8 * min(len(x), len(y))
+        odd = set()
+        for t in [*a.tolist(), *b.tolist()]:
+            odd ^= {t % places}
+        assert J.differing(x, y) == J.differing(y, x) == len(odd) <= len(np.setxor1d(a, b))
+    assert J.fine_parity(a[:1024]) is None and len(J.fine_parity(a[:1025])) == 256 and J.fine_parity(a[:0]) is None
+
+
 def test_pipeline_links_by_five_words(spark):
     from corpus_pipeline import near_duplicates
 

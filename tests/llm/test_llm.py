@@ -197,6 +197,17 @@ def test_suffix_dedup(docs):
     assert got == repeats_brute(rows)
 
 
+def test_anchors_fill_buckets_evenly():
+    """Anchors have the least hashes: by their high bits the first of 100 buckets would get 15 times its share."""
+    from strataforge.llm.suffix_dedup import Anchors
+
+    buf = np.random.default_rng(5).integers(97, 123, 500_000).astype(np.uint8)
+    keys = Anchors(K.Slice(0, buf, np.array([0, len(buf)])), 50).keys(100)
+    share = np.bincount(keys >> 32, minlength=100) / len(keys)
+    assert share.max() < 0.02
+    assert len(np.unique(keys)) > 0.99 * len(keys)
+
+
 def test_decontaminate(spark, docs, texts):
     from strataforge.llm.decontaminate import find_windows
 

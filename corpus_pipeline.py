@@ -18,7 +18,7 @@ from strataforge.llm.decontaminate import find_windows
 from strataforge.llm.ngram_join import jaccard_components
 from strataforge.llm.packing import pack, tokenize_pieces
 from strataforge.llm.quality_nbsvm import score
-from strataforge.llm.staging import stage
+from strataforge.llm.staging import passing, stage
 from strataforge.llm.suffix_dedup import find_repeats
 from strataforge.llm.textkit import cut_spans
 
@@ -47,8 +47,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     plain, name = _plain(docs)
     text = F.coalesce(F.col(name["text"]), F.lit(""))
     rows = plain.where(F.col(name["doc_id"]).isNotNull()).withColumns({"id": F.col(name["doc_id"]).cast("bigint"), "key": F.xxhash64(text)})
-    found = jaccard_components(rows, n=5, num=80, den=100, id_col="id", text_col=name["text"], key_col="key")
-    kept = stage(found.where("id = component_id").select("id", "key").distinct(), "kept")
+    with passing() as left:
+        found = jaccard_components(rows, n=5, num=80, den=100, id_col="id", text_col=name["text"], key_col="key")
+        kept = stage(found.where("id = component_id").select("id", "key").distinct(), "kept")
+        left.append(kept)
     first = rows.join(kept, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select(*plain.columns)
     return first.unionByName(plain.where(F.col(name["doc_id"]).isNull())).toDF(*docs.columns)
 
@@ -56,8 +58,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that an earlier document has too are cut; documents of which nothing is left go."""
     plain, name = _plain(docs)
-    found = find_repeats(plain, id_col=name["doc_id"], text_col=name["text"]).where("n_removed > 0")
-    found = stage(found.select(F.col(name["doc_id"]).alias("id"), "n_bytes", "removed", (F.col("n_removed") == F.col("n_bytes")).alias("gone"), "sha256"), "cut")
+    with passing() as kept:
+        found = find_repeats(plain, id_col=name["doc_id"], text_col=name["text"]).where("n_removed > 0")
+        found = stage(found.select(F.col(name["doc_id"]).alias("id"), "n_bytes", "removed", (F.col("n_removed") == F.col("n_bytes")).alias("gone"), "sha256"), "cut")
+        kept.append(found)
     joined = plain.join(found.dropDuplicates(["id", "sha256"]), (F.col(name["doc_id"]) == F.col("id")) & (F.sha2(F.coalesce(F.col(name["text"]), F.lit("")), 256) == F.col("sha256")), "left")
     left = joined.where(~F.coalesce("gone", F.lit(False))).select(*plain.columns, "removed")
     return cut_spans(left, "removed", name["text"], name.get("n_chars")).toDF(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strataforge.llm import textkit as K
 from strataforge.llm.bloom import may_match
 from strataforge.llm.components import components
-from strataforge.llm.staging import drop, lanes, parts, small_batches, stage
+from strataforge.llm.staging import drop, lanes, parts, passing, small_batches, stage
 
 SKETCH_BITS, SKETCH_ROWS = 20, 2
 CHUNK = 4096
@@ -230,8 +230,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     ``key_col``, a whole number that tells rows with one id apart, is handed on if it is named.
     """
-    with small_batches(docs.sparkSession):
-        return _jaccard_components(docs, n, num, den, id_col, text_col, key_col)
+    with small_batches(docs.sparkSession), passing() as kept:
+        out = _jaccard_components(docs, n, num, den, id_col, text_col, key_col)
+        kept.append(out)
+        return out
 
 
 def _jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, key_col: str | None) -> DataFrame:

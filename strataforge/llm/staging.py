@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: Spark's setting that deletes a query's shuffle files when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,10 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: later passes depend on no executor."""
+    """Writes ``df`` as a table in the shared folder and reads it back: later passes depend on no executor, and the shuffle files of
+    this one go at once, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/strataforge-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _setting(spark, SHUFFLE_CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
         atexit.register(_sweep)
     _WRITTEN.append((spark, path))
@@ -48,6 +52,21 @@ def drop(df: DataFrame) -> None:
             _WRITTEN.remove(item)
 
 
+@contextlib.contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables staged inside go at its end, but for those that are put in the list it gives: a run's disk holds what is still to be read."""
+    before, kept = list(_WRITTEN), []
+    try:
+        yield kept
+    finally:
+        files = [f for df in kept for f in df.inputFiles()]
+        for item in [x for x in _WRITTEN if x not in before]:
+            name = item[1].split("/")[-1]
+            if not any(name in f for f in files):
+                _delete(*item)
+                _WRITTEN.remove(item)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -101,10 +120,19 @@ def _spark_hash(number: np.ndarray) -> np.ndarray:
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While staged passes run, Arrow batches of whole texts hold at most ``rows`` of them; the session's setting is put back after."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if int(before) <= 0 or int(before) > rows:
-        spark.conf.set(key, str(rows))
+    before = int(spark.conf.get(key))
+    with _setting(spark, key, str(rows if before <= 0 or before > rows else before)):
+        yield
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from strataforge.llm import textkit as K
 from strataforge.llm.bloom import filter_of, holds, may_match
 from strataforge.llm.gsaca import suffix_array
-from strataforge.llm.staging import drop, lanes, parts, small_batches, stage
+from strataforge.llm.staging import drop, lanes, parts, passing, small_batches, stage
 
 ANCHOR = 20
 #: Bytes in a letter of the suffix arrays, the most that keeps a letter a whole number of 63 bits.
@@ -134,6 +134,19 @@ def windows_of(anchor_hash: np.ndarray, body: np.ndarray, low: np.ndarray, high:
     return least[back], mask[back]
 
 
+def _bodies(buf: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """A row of ``length - ANCHOR`` bytes before each anchor and ``length`` from it on, zeros where none of its windows reaches."""
+    lead = length - ANCHOR
+    at, low, high = (x.astype(np.int64) for x in (at, low, high))
+    offset = np.arange(-lead, length, dtype=np.int32)
+    body = np.zeros((len(at), lead + length), np.uint8)
+    for a in range(0, len(at), 16384):
+        rows = slice(a, a + 16384)
+        body[rows] = buf[np.clip(at[rows, None] + offset, 0, len(buf) - 1)]
+        body[rows][(offset < -high[rows, None]) | (offset >= length - low[rows, None])] = 0
+    return body
+
+
 def _row_hash(code: np.ndarray) -> np.ndarray:
     weight = K.mix(np.arange(1, code.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     row = np.zeros(len(code), np.uint64)
@@ -215,13 +228,15 @@ def _smaller(body: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.nda
 
 
 _POSTED = "bucket int, ident bigint, keys binary, who binary, idents binary"
-_CUT = "part bigint, n int, ids binary, idents binary, sizes binary, text binary, doc binary, at binary, low binary, high binary, entry binary, keys binary, lead binary, body binary, lows binary, highs binary, owners binary"
+_CUT = "part bigint, n int, ids binary, idents binary, sizes binary, text binary, doc binary, at binary, low binary, high binary, entry binary, keys binary, lead binary, one binary, owners binary"
 
 
 def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id (a whole number), ``n_bytes``, ``n_removed``, ``removed`` (byte spans, maximal runs), ``kept_sha256`` and ``sha256`` (of the whole text)."""
-    with small_batches(docs.sparkSession):
-        return _find_repeats(docs, length, id_col, text_col)
+    with small_batches(docs.sparkSession), passing() as kept:
+        out = _find_repeats(docs, length, id_col, text_col)
+        kept.append(out)
+        return out
 
 
 def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
@@ -341,12 +356,7 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
                     key, doc, at, low, high, h = (np.repeat(x, times) for x in (key, doc, at, low, high, h))
                     low = low + np.where(hot, nth, 0)
                     high = np.where(hot, low, high)
-                offset = np.arange(-lead, length, dtype=np.int32)
-                body = np.zeros((len(at), lead + length), np.uint8)
-                for a in range(0, len(at), 16384):
-                    rows = slice(a, a + 16384)
-                    body[rows] = s.buf[np.clip(at[rows, None] + offset, 0, len(s.buf) - 1)]
-                    body[rows][(offset < -high[rows, None]) | (offset >= length - low[rows, None])] = 0
+                body = _bodies(s.buf, at, low, high, length)
                 low8, high8, owner = low.astype(np.uint8), high.astype(np.uint8), ids[doc] if len(doc) else doc
                 code = np.concatenate([body, low8[:, None], high8[:, None]], 1)
                 row = _row_hash(code)
@@ -364,20 +374,25 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
                 begin = np.r_[0, np.cumsum(np.diff(s.offsets)[texts])]
                 blobs += [x.astype("<u4").tobytes() for x in (seat[doc], at - s.offsets[doc] + begin[seat[doc]])]
                 blobs += [low8.tobytes(), high8.tobytes(), entry.astype("<u4").tobytes()]
-                blobs += [key[one].tobytes(), h[one].tobytes(), body[one].tobytes(), low8[one].tobytes(), high8[one].tobytes(), owner[one].astype(np.int64).tobytes()]
+                blobs += [key[one].tobytes(), h[one].tobytes(), one.astype("<u4").tobytes(), owner[one].astype(np.int64).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([len(texts)], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=[x.split()[0] for x in _CUT.split(", ")])
 
     cuts = stage(again.select("id", "t", "ident", "keys").mapInArrow(cut, _CUT), "cuts")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "keys", "lead", "body", "lows", "highs", "owners"]
         width = {"lead": 8, "body": lead + length, "lows": 1, "highs": 1, "owners": 8}
         for batch in batches:
-            for r in batch.select(names).to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                one = np.frombuffer(r["one"], "<u4")
+                at, low, high = (np.frombuffer(r[c], kind)[one] for c, kind in (("at", "<u4"), ("low", np.uint8), ("high", np.uint8)))
+                # The strings are cut from the text here, not kept beside it: they are many times as long.
+                r |= {"body": _bodies(np.frombuffer(r["text"], np.uint8), at, low, high, length).tobytes(), "lows": low.tobytes(), "highs": high.tobytes()}
                 edge = np.searchsorted(np.frombuffer(r["keys"], np.int64) >> 32, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edge))
                 columns = [pa.array([r[c][edge[b] * w : edge[b + 1] * w] for b in some], pa.binary()) for c, w in width.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(lane[some]), pa.array(np.full(len(some), r["part"], np.int64)), *columns], names=["bucket", "part", *width])
+            K.trim()
 
     def settle(table: pa.Table) -> pa.Table:
         join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
@@ -388,7 +403,7 @@ def _find_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> D
         K.trim()
         return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "least": pieces[0], "mask": pieces[1]})
 
-    settled = stage(cuts.select("part", "keys", "lead", "body", "lows", "highs", "owners").mapInArrow(deal, "bucket int, part bigint, lead binary, body binary, lows binary, highs binary, owners binary").groupBy("bucket").applyInArrow(settle, "bucket int, part bigint, least binary, mask binary"), "settled")
+    settled = stage(cuts.select("part", "text", "at", "low", "high", "keys", "lead", "one", "owners").mapInArrow(deal, "bucket int, part bigint, lead binary, body binary, lows binary, highs binary, owners binary").groupBy("bucket").applyInArrow(settle, "bucket int, part bigint, least binary, mask binary"), "settled")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

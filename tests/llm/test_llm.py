@@ -208,6 +208,33 @@ def test_anchors_fill_buckets_evenly():
     assert len(np.unique(keys)) > 0.99 * len(keys)
 
 
+def test_staged_tables_go_when_read(spark, docs):
+    """Of a dedup or a join only what its result reads stays on disk, and no shuffle file of a staged table."""
+    import time
+    from pathlib import Path
+
+    from strataforge.llm.ngram_join import jaccard_components
+    from strataforge.llm.staging import shared_folder, stage
+    from strataforge.llm.suffix_dedup import find_repeats
+
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    for operator, kept in ((find_repeats, {"told", "repeats"}), (jaccard_components, {"sets", "final", "tiny"})):
+        before = set(shared.iterdir())
+        out = operator(docs)
+        assert {x.name.split("-")[1] for x in set(shared.iterdir()) - before} == kept
+        assert out.count() == docs.count()
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffled()
+    stage(docs.repartition(3, "doc_id").select("doc_id"), "dealt")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+
+
 def test_decontaminate(spark, docs, texts):
     from strataforge.llm.decontaminate import find_windows
 

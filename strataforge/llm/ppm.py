@@ -275,30 +275,13 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
             ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for s in K.slices(batch.column(1), SLICE_BYTES):
                 rows = slice(s.first, s.first + s.n)
-                value, h, doc, grams = np.zeros(s.n if shared else 0), [], [], []
-                for piece in s.pieces():
-                    code, edge = gram_codes(piece)
-                    if shared:
-                        value[piece.first : piece.first + piece.n] = np.add.reduceat(shared.value.log10(code), edge[:-1])
-                    else:
-                        grams.append(_counted(code, np.repeat(~held[rows][piece.first : piece.first + piece.n], np.diff(edge))))
-                    buf = K.LOWER[piece.buf]
-                    starts, ends, owner = K.spans(piece, K.SPACED, buf)
-                    h.append(K.span_hashes(buf, starts, ends))
-                    doc.append(owner + piece.first)
-                h, doc = np.concatenate(h), np.concatenate(doc)
-                n_words = np.bincount(doc, minlength=s.n)
-                order = np.argsort(h, kind="stable")  # texts stay in order within a word
-                h, doc = h[order], doc[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-                at = np.flatnonzero(new)
-                times = np.diff(np.r_[at, len(h)])
-                h, doc = h[at], doc[at]
+                value, (codes, seen), n_words, h, doc, times = _taken(s, held[rows], shared.value if shared else None)
                 words, first = np.unique(h, return_index=True)
                 sizes = np.diff(np.r_[first, len(h)])
                 learned = np.where(held[rows][doc], 0, times)
                 train = np.add.reduceat(learned, first) if len(first) else first
                 id_part = ids.slice(s.first, s.n)
+                pairs = len(doc)
                 null = id_part.is_null().to_numpy(zero_copy_only=False)
                 packed_ids = id_part.fill_null(0).to_numpy().astype("<i8").tobytes() + (np.packbits(null).tobytes() if null.any() else b"")
                 binary = [packed_ids, held[rows].tobytes(), n_words.astype("<u4").tobytes(), value.astype("<f8").tobytes()]
@@ -306,10 +289,11 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
                 if shared:
                     blobs += [b""] * 4
                 else:
-                    codes, seen = _added(grams)
                     blobs += [K.LOWER[s.buf].tobytes(), _narrow(np.diff(s.offsets)).tobytes(), _planes(codes), _narrow(seen).tobytes()]
+                del codes, seen, h, doc, times, learned, sizes, words, first
+                K.trim()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([s.n], pa.int32()), *(pa.array([x], pa.binary()) for x in binary), pa.array([len(doc)], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)],
+                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([s.n], pa.int32()), *(pa.array([x], pa.binary()) for x in binary), pa.array([pairs], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)],
                     names=[x.split()[0] for x in _SLICE.split(", ")],
                 )
 
@@ -390,6 +374,35 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
 WORDS, SEEN, UNSEEN = range(3)
 
 
+def _taken(s: K.Slice, held: np.ndarray, trie: Trie | None = None) -> tuple:
+    """Of a slice: the texts' scores by ``trie``; without one, the distinct codes and how often each stands in texts not held out; the
+    number of words of each text; and distinct pairs of a word's hash and a text, in order, with their counts.
+
+    Codes and pairs are counted piece by piece and added up after every few: a worker stands beside a JVM that takes most of the memory.
+    """
+    value, grams, n_words, pairs = np.zeros(s.n if trie else 0), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], [], []
+    for piece in s.pieces():
+        code, edge = gram_codes(piece)
+        if trie:
+            value[piece.first : piece.first + piece.n] = np.add.reduceat(trie.log10(code), edge[:-1])
+        else:
+            grams.append(_counted(code, np.repeat(~held[piece.first : piece.first + piece.n], np.diff(edge))))
+            if len(grams) == 8:
+                grams = [_added(grams)]
+        buf = K.LOWER[piece.buf]
+        starts, ends, owner = K.spans(piece, K.SPACED, buf)
+        h = K.span_hashes(buf, starts, ends)
+        n_words.append(np.bincount(owner, minlength=piece.n))
+        order = np.argsort(h, kind="stable")  # texts stay in order within a word
+        h, owner = h[order], owner[order]
+        at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, np.int64)
+        pairs.append((h[at], (owner[at] + piece.first).astype(np.int32), np.diff(np.r_[at, len(h)]).astype(np.int32)))
+    h, doc, times = (np.concatenate([p[i] for p in pairs]) for i in range(3))
+    del pairs
+    order = np.argsort(h, kind="stable")
+    return value, _added(grams), np.concatenate(n_words), h[order], doc[order], times[order]
+
+
 def _counted(code: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes, and how often each stands where ``learned`` holds."""
     codes, at = np.unique(code, return_inverse=True)

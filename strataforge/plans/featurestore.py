@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.functions.columns import col
@@ -71,7 +71,8 @@ def point_in_time_join(entities: DataFrame, features: DataFrame, keys: Sequence[
     """Each entity row with the features of its keys that were the latest at its time: one union, one sort per key, no pairs.
 
     Rows of both sides are put in time order per key and the last features are carried on. Feature rows of one key and time: the
-    greatest by its values, in the order of the columns. As in any equi-join, a key with a null has no features.
+    greatest by its values, in the order of the columns. As in any equi-join, a key with a null has no features. Features older than
+    ``ttl_seconds``, to the microsecond, count as none.
     """
     null_key = reduce(lambda a, b: a | b, (col(k).isNull() for k in keys))
     keyless, entities, features = entities.where(null_key), entities.where(~null_key), features.where(~null_key)
@@ -80,11 +81,19 @@ def point_in_time_join(entities: DataFrame, features: DataFrame, keys: Sequence[
     right = features.select(*(col(k) for k in keys), col(feature_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), F.struct(col(feature_time).alias("_ft"), *(col(c) for c in values)).alias("_f"))
     w = Window.partitionBy(*(col(k) for k in keys)).orderBy("_t", "_side", F.to_json("_f") if _unordered(features, values) else "_f").rowsBetween(Window.unboundedPreceding, 0)
     found = left.unionByName(right).withColumn("_last", F.last("_f", ignorenulls=True).over(w)).where("_side = 1")
-    fresh = F.lit(True) if ttl_seconds is None else (F.unix_seconds(F.col("_t").cast("timestamp")) - F.unix_seconds(F.col("_last._ft").cast("timestamp")) <= ttl_seconds)
+    fresh = F.lit(True) if ttl_seconds is None else _fresh(found, ttl_seconds)
     joined = found.select("_e.*", *(F.when(fresh, F.col(f"_last.`{c}`")).alias(c) for c in values))
     return joined.unionByName(keyless.select("*", *(F.lit(None).cast(features.schema[c].dataType).alias(c) for c in values)))
 
 
+def _fresh(found: DataFrame, ttl_seconds: int) -> Column:
+    """Whether the last features are young enough. Times without a zone are taken as they stand, whatever the session's zone."""
+    kinds = {found.schema["_t"].dataType.typeName(), found.schema["_last"].dataType["_ft"].dataType.typeName()}
+    if kinds <= {"timestamp_ntz", "date"}:
+        return F.col("_t").cast("timestamp_ntz") - F.col("_last._ft").cast("timestamp_ntz") <= F.lit(timedelta(seconds=ttl_seconds))
+    return F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_last._ft").cast("timestamp")) <= ttl_seconds * 1_000_000
+
+
 def _unordered(features: DataFrame, values: Sequence[str]) -> bool:
     """Whether a value's type, such as a map, has no order."""
     return any("map<" in features.schema[c].dataType.simpleString() or features.schema[c].dataType.typeName() == "variant" for c in values)

@@ -295,6 +295,17 @@ def test_point_in_time_join_null_keys_and_ties(spark):
     assert sorted((r["i"], r["v"]) for r in point_in_time_join(entities, features, ["k"], "t", "ft").collect()) == [(1, None), (2, "c"), (3, None)]
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_point_in_time_join_ttl_counts_fractions(spark, kind):
+    from strataforge.plans.featurestore import point_in_time_join
+
+    stamp = lambda x, c: x.withColumn(c, F.to_timestamp(c).cast(kind))
+    entities = stamp(spark.createDataFrame([(1, 7, "2024-01-01 00:00:10.2"), (2, 7, "2024-01-01 00:00:10.9"), (3, 8, "2024-01-01 00:00:10.1")], "i int, k int, t string"), "t")
+    features = stamp(spark.createDataFrame([(7, "2024-01-01 00:00:00.2", "a"), (8, "2023-12-31 23:59:59.9", "b")], "k int, ft string, v string"), "ft")
+    got = sorted((r["i"], r["v"]) for r in point_in_time_join(entities, features, ["k"], "t", "ft", 10).collect())
+    assert got == [(1, "a"), (2, None), (3, None)]
+
+
 def test_reverse_geocoding_round_the_globe(spark):
     import math
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm import textkit as K
-from strataforge.llm.staging import lanes, parts, small_batches, stage
+from strataforge.llm.staging import lanes, light_batches, parts, passing, small_batches, stage
 
 ORDER = 5
 #: Bytes that UTF-8 never has, for the place before a text and its end.
@@ -81,8 +81,12 @@ def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) ->
 
 
 def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-    return codes, np.bincount(at, np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
+    codes = np.concatenate([c for c, _ in found])
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], np.concatenate([n for _, n in found])[order].astype(np.int64, copy=False)
+    del order
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
 
 
 class Order:
@@ -266,6 +270,12 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
 
     The model is that of the rows not held out, kept in parts, unless a ``trie`` in one process is given.
     """
+    with light_batches(docs.sparkSession), passing() as kept:
+        kept.append(stage(_scored(docs, held_out, trie, id_col, text_col), "scores"))
+    return kept[0]
+
+
+def _scored(docs: DataFrame, held_out: Column, trie: Trie | None, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     shared = trie and spark.sparkContext.broadcast(trie)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col, held_out.alias("h"))
@@ -289,7 +299,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
                 if shared:
                     blobs += [b""] * 4
                 else:
-                    blobs += [K.LOWER[s.buf].tobytes(), _narrow(np.diff(s.offsets)).tobytes(), _planes(codes), _narrow(seen).tobytes()]
+                    blobs += [pa.compress(K.LOWER[s.buf].tobytes(), "zstd", asbytes=True) if len(s.buf) else b"", _narrow(np.diff(s.offsets)).tobytes(), _planes(codes), _narrow(seen).tobytes()]
                 del codes, seen, h, doc, times, learned, sizes, words, first
                 K.trim()
                 yield pa.RecordBatch.from_arrays(
@@ -298,7 +308,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
                 )
 
     with small_batches(spark):
-        cuts = stage(narrow.mapInArrow(cut, _SLICE), "slices")
+        cuts = stage(narrow.mapInArrow(cut, _SLICE), "slices", wide=True)
     volume = cuts.agg(F.sum(F.octet_length("words") + 2 * F.octet_length("codes")).alias("v")).first()["v"] or 0
     buckets = max(parts(spark), -(-volume // BUCKET_BYTES))
     lane = lanes(spark, buckets)
@@ -329,7 +339,7 @@ def score(docs: DataFrame, held_out: Column, trie: Trie | None = None, id_col: s
         return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "c": pa.array([back[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), "known": known})
 
     dealt = cuts.select("part", "words", "train").mapInArrow(deal, "bucket int, part bigint, words binary, train binary")
-    totals = stage(dealt.groupBy("bucket").applyInArrow(total, "bucket int, part bigint, c binary, known bigint"), "totals")
+    totals = stage(dealt.groupBy("bucket").applyInArrow(total, "bucket int, part bigint, c binary, known bigint"), "totals", wide=True)
     types = totals.agg(F.sum("known").alias("v")).first()["v"] or 0
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,10 +407,12 @@ def _taken(s: K.Slice, held: np.ndarray, trie: Trie | None = None) -> tuple:
         h, owner = h[order], owner[order]
         at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, np.int64)
         pairs.append((h[at], (owner[at] + piece.first).astype(np.int32), np.diff(np.r_[at, len(h)]).astype(np.int32)))
+    grams = _added(grams)  # before the pairs are put together: their arrays are the largest
     h, doc, times = (np.concatenate([p[i] for p in pairs]) for i in range(3))
     del pairs
     order = np.argsort(h, kind="stable")
-    return value, _added(grams), np.concatenate(n_words), h[order], doc[order], times[order]
+    h, doc, times = h[order], doc[order], times[order]
+    return value, grams, np.concatenate(n_words), h, doc, times
 
 
 def _counted(code: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -449,7 +461,7 @@ def _parted(cuts: DataFrame, lane: np.ndarray) -> list[DataFrame]:
         return pa.table([parts_, pa.array([SEEN] * len(parts_), pa.int32()), bucket, pa.array([*a, o.code.tobytes()], pa.binary()), pa.array([*b, o.count.astype("<i8").tobytes()], pa.binary())], names=["part", "kind", "bucket", "a", "b"])
 
     dealt = cuts.select("part", "codes", "learned").mapInArrow(deal, "bucket int, part bigint, codes binary, n binary")
-    sums = stage(dealt.groupBy("bucket").applyInArrow(total, _BACK), "values")
+    sums = stage(dealt.groupBy("bucket").applyInArrow(total, _BACK), "values", wide=True)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -501,7 +513,9 @@ def _parted(cuts: DataFrame, lane: np.ndarray) -> list[DataFrame]:
 
 def _read(row: dict, back: list[tuple], buckets: int) -> np.ndarray:
     """The score of each text of a slice, from the values that came back."""
-    s = K.Slice(0, np.frombuffer(row["text"], np.uint8), np.cumsum([0, *_wide(row["lengths"], row["n"])]))
+    edges = np.cumsum([0, *_wide(row["lengths"], row["n"])])
+    raw = pa.decompress(row["text"], int(edges[-1]), "zstd", asbytes=True) if row["text"] else b""  # packed on its way: what is shuffled stays small
+    s = K.Slice(0, np.frombuffer(raw, np.uint8), edges)
     found = []
     for piece in s.pieces():
         code, edge = gram_codes(piece)

@@ -31,13 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Parquet looks at the size of pages and row groups after 100 rows at first, keeps the least and greatest value of each whole until a file
+#: is closed, and Spark reads a row group's column as one array: with rows of megabytes a task would hold all of its rows.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "100", "parquet.block.size": str(1 << 24), "parquet.column.statistics.enabled": "false"}
+
+
+def stage(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: later passes depend on no executor, and the shuffle files of
-    this one go at once, not when the driver happens to collect its garbage."""
+    this one go at once, not when the driver happens to collect its garbage. ``wide``: rows may take megabytes each."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/strataforge-{name}-{uuid.uuid4().hex}"
     with _setting(spark, SHUFFLE_CLEANUP, "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**WIDE_ROWS if wide else {}).parquet(path)
     if not _WRITTEN:
         atexit.register(_sweep)
     _WRITTEN.append((spark, path))
@@ -125,6 +130,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
 
 
+@contextlib.contextmanager
+def light_batches(spark: SparkSession, size: int = 1 << 23) -> Iterator[None]:
+    """While staged passes run, Arrow batches end once they hold ``size`` bytes, so that wide rows go few at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key).removesuffix("b")
+    with _setting(spark, key, before if before.isdigit() and 0 < int(before) < size else str(size)):
+        yield
+
+
 @contextlib.contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)

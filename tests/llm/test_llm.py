@@ -410,6 +410,33 @@ def test_ppm_slices_take_little_memory():
     assert seen.sum() == sum(len(t) + 1 for k, t in enumerate(texts) if k % 3)
 
 
+def test_wide_rows_are_held_one_by_one(spark, tmp_path):
+    """Tables of rows of megabytes: a row group of many of them was written and read at once, and its statistics held them all."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from strataforge.llm.staging import light_batches, stage
+
+    def cut(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(i).bytes(9 << 20)])], names=["a"])
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with light_batches(spark):
+        table = stage(spark.range(0, 6, 1, 1).mapInArrow(cut, "a binary"), "wide", wide=True)
+        assert max(r["n"] for r in table.mapInArrow(count, "n bigint").collect()) == 1
+    assert spark.conf.get(key) == before
+    for f in table.inputFiles():
+        m = pq.ParquetFile(f.removeprefix("file://")).metadata
+        assert m.num_row_groups == m.num_rows and not m.row_group(0).column(0).is_stats_set
+
+
 def test_ppm_in_parts(docs):
     """The trie that is kept in parts scores as the whole one, contexts of one text included, and with nothing to learn from."""
     from strataforge.llm import ppm

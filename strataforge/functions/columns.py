@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rank error of approximate quantiles is one part in this many rows; the sketch's size is bounded by it too.
 ACCURACY = 100_000
+#: The finest sketch that exact quantiles begin with: finer ones take longer than the second pass.
+SKETCH = 10_000
+#: Exact quantiles of more columns than this go in several passes, to stay within code generation limits.
+QUANTILE_CHUNK = 24
 #: Aggregates over more columns than this go in several passes, to stay within code generation limits.
 CHUNK = 200
 
@@ -114,11 +119,76 @@ def place(df: DataFrame, made: dict[str, Column], suffix: str, output_mode: str)
 
 
 def quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY) -> dict[str, list[float] | None]:
-    """Values of given ranks, from the data; one pass. None for a column without values."""
-    if not names:
-        return {}
-    row = df.agg(*(F.percentile_approx(col(c).cast("double"), list(probs), accuracy).alias(f"_{i}") for i, c in enumerate(names))).first()
-    return {c: row[f"_{i}"] for i, c in enumerate(names)}
+    """Values of given ranks, the ceil(p * rows)-th least each, from the data and exact. None for a column without values.
+
+    A sketch of ``accuracy``, but ``SKETCH`` at most, gives two values around each rank; a second pass counts the rows below these and each
+    value between them. The sketch's size doesn't grow with the rows, and few values lie between.
+    """
+    out: dict[str, list[float] | None] = {}
+    for at in range(0, len(names), QUANTILE_CHUNK):
+        out |= _quantiles(df, names[at : at + QUANTILE_CHUNK], list(probs), min(accuracy, SKETCH))
+    return out
+
+
+def _quantiles(df: DataFrame, names: Sequence[str], probs: list[float], sketch: int) -> dict[str, list[float] | None]:
+    sides = {p: (max(p - 2 / sketch, 0.0), min(p + 2 / sketch, 1.0)) for p in probs}
+    asked = sorted({*probs, *(q for s in sides.values() for q in s)})
+    values = [col(c).cast("double") for c in names]
+    row = df.agg(*(x for i, v in enumerate(values) for x in (F.count(v).alias(f"n{i}"), F.percentile_approx(v, asked, sketch).alias(f"q{i}")))).first()
+    out: dict[str, list[float] | None] = {}
+    ranks: dict[int, dict[int, tuple[float, float]]] = {}  # by column, the values around each rank
+    for i, c in enumerate(names):
+        n, found = row[f"n{i}"], dict(zip(asked, row[f"q{i}"] or [], strict=False))
+        out[c] = [found[p] for p in probs] if n else None
+        if n > sketch // 2:  # so few rows the sketch keeps whole
+            ranks[i] = {max(1, math.ceil(p * n)): (found[sides[p][0]], found[sides[p][1]]) for p in probs}
+    exact: dict[tuple[int, int], float] = {}
+    for _ in range(3):  # once more only if a sketch was wrong: then what lies between two others is searched whole
+        if not ranks:
+            break
+        ranks = _ranked(df, values, ranks, exact)
+    if ranks:
+        raise RuntimeError("the rows changed between two passes")
+    for i, c in enumerate(names):
+        if out[c] and (n := row[f"n{i}"]) > sketch // 2:
+            out[c] = [exact[i, max(1, math.ceil(p * n))] for p in probs]
+    return out
+
+
+def _ranked(df: DataFrame, values: Sequence[Column], ranks: dict[int, dict[int, tuple[float, float]]], exact: dict[tuple[int, int], float]) -> dict[int, dict[int, tuple[float, float]]]:
+    """Puts the values of ranks into ``exact``; what is left lies outside the given values, and gets others."""
+    order = lambda v: (math.isnan(v), 0.0 if math.isnan(v) else v)
+    between: dict[int, list[tuple[float, float]]] = {}
+    cells, wanted = [], F.lit(False)
+    for i, around in ranks.items():
+        spans: list[tuple[float, float]] = []
+        for lo, hi in sorted(around.values(), key=lambda s: order(s[0])):
+            if spans and order(lo) <= order(spans[-1][1]):
+                spans[-1] = (spans[-1][0], max(hi, spans[-1][1], key=order))
+            else:
+                spans.append((lo, hi))
+        between[i] = spans
+        made = lambda k, v, i=i: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), v.alias("v"))
+        nothing = F.lit(None).cast("double")
+        cell = F.when(values[i].isNull(), made(-1, nothing))
+        for k, (lo, hi) in enumerate(spans):
+            cell = cell.when(values[i] < lo, made(2 * k, nothing)).when(values[i] <= hi, made(2 * k + 1, values[i]))
+        cells.append(cell.otherwise(made(2 * len(spans), nothing)))
+        for r in around:
+            wanted = wanted | ((F.col("i") == i) & (F.col("upto") >= r) & (F.col("upto") - F.col("n") < r))
+    counts = df.select(F.inline(F.array(*cells))).where("k >= 0").groupBy("i", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("k", "v").rowsBetween(Window.unboundedPreceding, 0))
+    left: dict[int, dict[int, tuple[float, float]]] = {i: {} for i in ranks}
+    found = counts.withColumn("upto", upto).where(wanted).collect()
+    for i, around in ranks.items():
+        for r in around:
+            x = next((x for x in found if x["i"] == i and x["upto"] - x["n"] < r <= x["upto"]), None)
+            if x is not None and x["k"] % 2:
+                exact[i, r] = x["v"]
+            else:
+                k = x["k"] // 2 if x is not None else 0
+                left[i][r] = (between[i][k - 1][1] if k else -math.inf, between[i][k][0] if x is not None and k < len(between[i]) else math.nan)
+    return {i: around for i, around in left.items() if around}
 
 
 def model_frame(df_or_spark, rows: Iterable[tuple], schema: str) -> DataFrame:

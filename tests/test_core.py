@@ -295,6 +295,23 @@ def test_point_in_time_join_null_keys_and_ties(spark):
     assert sorted((r["i"], r["v"]) for r in point_in_time_join(entities, features, ["k"], "t", "ft").collect()) == [(1, None), (2, "c"), (3, None)]
 
 
+def test_quantiles_are_exact_whatever_the_sketch(spark, monkeypatch):
+    import math
+
+    from strataforge.functions import columns
+
+    n, probs = 30_011, [0.1, 0.30000000000000004, 0.5, 0.95, 1.0]
+    x = spark.range(n).select((F.col("id") * 7919 % n).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 11 - 5).alias("b"), F.lit(None).cast("double").alias("c"), F.when(F.col("id") < 900, F.lit(float("nan"))).otherwise(-F.col("id")).alias("d"))
+    b, d = sorted(i % 11 - 5 for i in range(n) if i % 3), [*map(float, range(1 - n, -899)), *[math.nan] * 900]
+    for sketch in (100, 5000):
+        got = columns.quantiles(x, ["a", "b", "c", "d"], probs, sketch)
+        assert got["a"] == [math.ceil(p * n) - 1 for p in probs] and got["c"] is None
+        assert got["b"] == [b[math.ceil(p * len(b)) - 1] for p in probs]
+        assert repr(got["d"]) == repr([d[math.ceil(p * n) - 1] for p in probs])
+    wrong = columns._ranked(x, [F.col("a").cast("double")], {0: {15_000: (3.0, 5.0), 20_000: (29_000.0, 29_001.0)}}, exact := {})
+    assert columns._ranked(x, [F.col("a").cast("double")], wrong, exact) == {} and exact == {(0, 15_000): 14_999.0, (0, 20_000): 19_999.0}
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 def test_point_in_time_join_ttl_counts_fractions(spark, kind):
     from strataforge.plans.featurestore import point_in_time_join

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.functions.columns import ACCURACY, Columns, col, discrete, long_text, model_frame, numeric_columns, per_attribute, resolve, type_classes
+from strataforge.functions.columns import ACCURACY, Columns, col, discrete, long_text, model_frame, numeric_columns, per_attribute, quantiles, resolve, type_classes
 
 _Measures = dict[str, Callable[[str], Column]]
 
@@ -76,9 +76,10 @@ def central_tendency(df: DataFrame, list_of_cols: Columns = "all", drop_cols: Co
     """Mean and median of numeric columns, mode of discrete ones (string, int, bigint), its rows and their share of non-null rows."""
     names = resolve(df, list_of_cols, drop_cols)
     numeric, listed = type_classes(df)[0], [c for c in names if c in discrete(df)]
+    medians = quantiles(df, [c for c in names if c in numeric], [0.5], accuracy)
     measures: _Measures = {
         "mean": lambda c: F.avg(col(c)) if c in numeric else F.lit(None),
-        "median": lambda c: F.percentile_approx(col(c).cast("double"), 0.5, accuracy) if c in numeric else F.lit(None),
+        "median": lambda c: F.lit((medians.get(c) or [None])[0]),
         "_n": lambda c: F.count(col(c)),
     }
     found = per_attribute(df, names, measures, "mean double, median double, _n bigint")
@@ -114,10 +115,11 @@ def measures_of_cardinality(df: DataFrame, list_of_cols: Columns = "all", drop_c
 def measures_of_dispersion(df: DataFrame, list_of_cols: Columns = "all", drop_cols: Columns = (), accuracy: int = ACCURACY) -> DataFrame:
     """Numeric columns. ``variance`` is the square of the rounded ``stddev``, ``cov`` the rounded stddev over the mean."""
     names = numeric_columns(df, list_of_cols, drop_cols, empty_ok=True)
+    quarters = quantiles(df, names, [0.25, 0.75], accuracy)
     measures: _Measures = {
         "s": lambda c: F.stddev_samp(col(c)),
         "m": lambda c: F.avg(col(c)),
-        "q": lambda c: F.percentile_approx(col(c).cast("double"), [0.25, 0.75], accuracy),
+        "q": lambda c: F.lit(quarters[c]),
         "lo": lambda c: F.min(col(c)),
         "hi": lambda c: F.max(col(c)),
     }
@@ -138,9 +140,10 @@ PERCENTILES = {"1%": 0.01, "5%": 0.05, "10%": 0.1, "25%": 0.25, "50%": 0.5, "75%
 
 def measures_of_percentiles(df: DataFrame, list_of_cols: Columns = "all", drop_cols: Columns = (), accuracy: int = ACCURACY) -> DataFrame:
     names = numeric_columns(df, list_of_cols, drop_cols, empty_ok=True)
+    found = quantiles(df, names, list(PERCENTILES.values()), accuracy)
     measures: _Measures = {
         "lo": lambda c: F.min(col(c)),
-        "q": lambda c: F.percentile_approx(col(c).cast("double"), list(PERCENTILES.values()), accuracy),
+        "q": lambda c, found=found: F.lit(found[c]),
         "hi": lambda c: F.max(col(c)),
     }
     found = per_attribute(df, names, measures, "lo double, q array<double>, hi double")

@@ -191,6 +191,16 @@ def _ranked(df: DataFrame, values: Sequence[Column], ranks: dict[int, dict[int,
     return {i: around for i, around in left.items() if around}
 
 
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """The keys, ``min``, ``q`` (the exact values of given ranks) and ``max`` of ``value`` by group: a sort of each group's distinct values."""
+    group = Window.partitionBy(*(col(k) for k in keys))
+    counts = df.groupBy(*(col(k) for k in keys), col(value).alias("_v")).agg(F.count(col(value)).alias("_n"))
+    upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_upto": upto, "_rows": F.sum("_n").over(group)})
+    at = [F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_rows"))), F.col("_v"))) for p in probs]
+    return ranked.groupBy(*(col(k) for k in keys)).agg(F.min("_v").alias("min"), F.array(*at).alias("q"), F.max("_v").alias("max"))
+
+
 def model_frame(df_or_spark, rows: Iterable[tuple], schema: str) -> DataFrame:
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
     return spark.createDataFrame(list(rows), schema)

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.functions.columns import Columns, as_list, col, model_frame, resolve, type_classes, union_all
+from strataforge.functions.columns import Columns, as_list, col, group_quantiles, model_frame, resolve, type_classes, union_all
 from strataforge.functions.paths import ends_with
 from strataforge.operators import binning, timeseries
 from strataforge.operators.imputation import impute_mmm
@@ -64,13 +64,14 @@ def bin_index(df: DataFrame, name: str, cuts: Sequence[float]) -> DataFrame:
 
 
 def outlier_spread(df: DataFrame, list_of_cols: Columns = "all", drop_cols: Columns = (), split_col: str | None = None, accuracy: int = 100_000) -> DataFrame:
-    """Per attribute (and group): quartiles, the fences 1.5 quartile ranges from them and rows outside: a violin's or box's outline, of all rows."""
+    """Per attribute (and group): quartiles, the fences 1.5 quartile ranges from them and rows outside: a violin's or box's outline, of all
+    rows. Quartiles are exact, whatever the ``accuracy``."""
     names = [c for c in resolve(df, list_of_cols, drop_cols, type_classes(df)[0]) if c != split_col]
     group = [col(split_col).alias("group")] if split_col else []
     cells = F.array(*(F.struct(F.lit(c).alias("attribute"), col(c).cast("double").alias("v")) for c in names))
     long = df.select(*group, F.inline(cells))
     keys = [*(["group"] if split_col else []), "attribute"]
-    q = long.groupBy(*keys).agg(F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy).alias("q"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = group_quantiles(long, keys, "v", [0.25, 0.5, 0.75])
     q = q.select(*keys, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     # Fences are one row per attribute and group.

@@ -312,6 +312,19 @@ def test_quantiles_are_exact_whatever_the_sketch(spark, monkeypatch):
     assert columns._ranked(x, [F.col("a").cast("double")], wrong, exact) == {} and exact == {(0, 15_000): 14_999.0, (0, 20_000): 19_999.0}
 
 
+def test_outlier_spread_is_exact_whatever_the_sketch(spark):
+    import math
+
+    from strataforge.plans import charts
+
+    n = 20_011
+    x = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), (F.col("id") * 7919 % n % 2).alias("g"), F.lit(None).cast("double").alias("e"))
+    got = {(r["group"], r["attribute"]): (r["min"], r["q1"], r["median"], r["q3"], r["max"]) for r in charts.outlier_spread(x, "v|e", split_col="g", accuracy=100).collect()}
+    for g in (0, 1):
+        v = list(range(g, n, 2))
+        assert got[g, "v"] == (v[0], *(v[math.ceil(p * len(v)) - 1] for p in (0.25, 0.5, 0.75)), v[-1]) and got[g, "e"] == (None,) * 5
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 def test_point_in_time_join_ttl_counts_fractions(spark, kind):
     from strataforge.plans.featurestore import point_in_time_join

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataforge.functions.columns import ACCURACY, Columns, as_list, col, place
+from strataforge.functions.columns import ACCURACY, Columns, as_list, col, group_quantiles, place
 
 #: Seconds in a unit; months and years are averages.
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2628000, "year": 31536000}
@@ -196,14 +196,14 @@ def is_weekend(df: DataFrame, list_of_cols: Columns, output_mode: str = "append"
 
 
 def aggregator(df: DataFrame, list_of_cols: Columns, list_of_aggs: Columns, time_col: str, granularity_format: str = "%Y-%m-%d", accuracy: int = ACCURACY) -> DataFrame:
-    """Aggregates by the formatted time; ``median`` is a value of the data."""
+    """Aggregates by the formatted time; ``median`` is a value of the data and exact, whatever the ``accuracy``."""
     makers = {
         "count": F.count,
         "min": F.min,
         "max": F.max,
         "sum": F.sum,
         "mean": F.avg,
-        "median": lambda c: F.percentile_approx(c, 0.5, accuracy),
+        "median": None,  # by a sort of its own
         "stddev": F.stddev_samp,
         "countDistinct": F.count_distinct,
         "sumDistinct": F.sum_distinct,
@@ -214,7 +214,14 @@ def aggregator(df: DataFrame, list_of_cols: Columns, list_of_aggs: Columns, time
     for a in aggs:
         _one_of(a, list(makers), "list_of_aggs")
     bucket = F.date_format(col(time_col), java_pattern(granularity_format)) if granularity_format else col(time_col)
-    return df.groupBy(bucket.alias(time_col)).agg(*(makers[a](col(c)).alias(f"{c}_{a}") for c in names for a in aggs))
+    plain = [makers[a](col(c)).alias(f"{c}_{a}") for c in names for a in aggs if a != "median"]
+    out = df.groupBy(bucket.alias(time_col)).agg(*plain) if plain else df.select(bucket.alias(time_col)).distinct()
+    if "median" not in aggs:
+        return out
+    for c in names:
+        middle = group_quantiles(df.select(bucket.alias("_time"), col(c).alias("_value")), ["_time"], "_value", [0.5]).select("_time", F.col("q")[0].alias(f"{c}_median"))
+        out = out.join(middle, out[f"`{time_col}`"].eqNullSafe(middle["_time"]), "left").drop("_time")
+    return out.select(col(time_col), *(col(f"{c}_{a}") for c in names for a in aggs))
 
 
 def window_aggregator(df: DataFrame, list_of_cols: Columns, list_of_aggs: Columns, order_col: str, window_type: str = "expanding", window_size: int | str = "unbounded", partition_col: str | None = None, output_mode: str = "append", accuracy: int = 10_000) -> DataFrame:

@@ -312,6 +312,15 @@ def test_quantiles_are_exact_whatever_the_sketch(spark, monkeypatch):
     assert columns._ranked(x, [F.col("a").cast("double")], wrong, exact) == {} and exact == {(0, 15_000): 14_999.0, (0, 20_000): 19_999.0}
 
 
+def test_aggregator_medians_are_exact_whatever_the_sketch(spark):
+    n = 20_011
+    x = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), F.when(F.col("id") > 0, F.timestamp_seconds(F.col("id") * 7919 % n % 2 * 86400)).alias("t"), F.lit(None).cast("double").alias("e"))
+    got = {r["t"]: r.asDict() for r in dt.aggregator(x, "v|e", "median|count", "t", accuracy=100).collect()}
+    odd, even = list(range(1, n, 2)), list(range(2, n, 2))
+    for day, v in (("1970-01-01", even), ("1970-01-02", odd), (None, [0])):
+        assert got[day] == {"t": day, "v_median": v[(len(v) + 1) // 2 - 1], "v_count": len(v), "e_median": None, "e_count": 0}
+
+
 def test_outlier_spread_is_exact_whatever_the_sketch(spark):
     import math
 
